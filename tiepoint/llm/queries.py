@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, packing, secrets, token_files
+from . import fingerprints, lines, packing, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
+    "op2_fingerprints": fingerprints.op2,
     "op3_token_files": token_files.op3,
     "op5_secret_scan": secrets.op5,
     "op9_line_dedup": lines.op9,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lines, packing, secrets, token_files
+from . import fingerprints, lines, packing, secrets, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": token_files.op3,
     "op5_secret_scan": secrets.op5,
     "op9_line_dedup": lines.op9,
+    "op10_substring_dedup": substrings.op10,
 }
 
 ORACLES: dict[str, str] = {

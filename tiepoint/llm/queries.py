@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lines, packing, secrets, substrings, token_files
+from . import fingerprints, lines, neardup, packing, secrets, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
     "op2_fingerprints": fingerprints.op2,
     "op3_token_files": token_files.op3,
+    "op4_minhash_near_dedup": neardup.op4,
     "op5_secret_scan": secrets.op5,
     "op9_line_dedup": lines.op9,
     "op10_substring_dedup": substrings.op10,

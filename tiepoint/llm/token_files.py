@@ -88,11 +88,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(files: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    """Add ``start``: the ids of all documents before the row's own. A row for each file is gathered, no more."""
+    """Add ``start``: the ids of all documents before the row's own.
+
+    A row for each file is gathered and broadcast: 16 bytes for every ``PARTITION_BYTES`` of text or so.
+    """
     totals = (metadata if metadata is not None else files).groupBy("part_no").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part_no", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return files.join(offsets, "part_no").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
+    return files.join(F.broadcast(offsets), "part_no").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
 def ids_crc32(files: DataFrame, *keep: str) -> DataFrame:

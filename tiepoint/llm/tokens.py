@@ -8,7 +8,6 @@ worker keeps the ids of the words it met last in a bounded cache.
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
 
@@ -16,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 150_000  # words in each of the cache's two generations, in each worker
+CACHE_WORDS = 300_000  # words in each of the cache's two generations, in each worker
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() drops these, the tokenizer does not
 # One pre-token that normalization only lower-cases, letter by letter.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -32,6 +31,21 @@ def _byte_letters() -> dict[int, str]:
 _AS_BYTES = {c: "".join(_byte_letters()[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
 
+class _Cache(dict):
+    """Ids by word; what it lacks comes from the older generation or is encoded."""
+
+    def __init__(self, old: dict[str, bytes], encode):
+        super().__init__()
+        self.old, self.encode = old, encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
@@ -40,53 +54,41 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
-        probe = ["Thé", "naïvetÉ", "x"]
-        self._plain = [self._word(w) for w in probe] == self._whole(probe)
+        self._merge = self._tokenizer.model.tokenize
+        self._bytes = [k.to_bytes(4, "little") for k in range(self._tokenizer.get_vocab_size() + 1)]
         self._limit = cache_words
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        probe = ["Thé", "naïvetÉ", "x"]
+        self._plain = [self._letters(w) for w in probe] == self._whole(probe)
+        self._cache = _Cache({}, self._word)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _word(self, word: str) -> bytes:
+    def _letters(self, word: str) -> bytes:
         """For words of ``_LETTERS``: straight to the merges."""
-        shown = word.lower().translate(_AS_BYTES)
-        return np.asarray([t.id for t in self._model.tokenize(shown)], dtype="<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Words that the newer generation lacks: copied from the older one or encoded."""
-        new, old = self._new, self._old
-        stems: dict[str, str] = {}
-        ask = []
-        for w in words:
-            if (ids := old.get(w)) is not None:
-                new[w] = ids
-            elif w[-1] in ".," and w[-2:-1].isalpha():
-                # a letter, then one stop or comma: two pre-tokens, whose ids stand side by side
-                stems[w] = w[:-1]
-            else:
-                ask.append(w)
-        ask += {s for s in (*stems.values(), ",", ".") if s not in new}
-        if self._plain:
-            new.update((w, self._word(w)) for w in ask if _LETTERS.fullmatch(w))
-            ask = [w for w in ask if w not in new]
-        new.update(zip(ask, self._whole(ask), strict=True))
-        for w, stem in stems.items():
-            new[w] = new[stem] + new[w[-1]]
+        shown = word.lower()
+        if not shown.isascii():
+            shown = shown.translate(_AS_BYTES)
+        return b"".join([self._bytes[t.id] for t in self._merge(shown)])
+
+    def _word(self, word: str) -> bytes:
+        if word[-1] in ".," and word[-2:-1].isalpha():
+            # a letter, then one stop or comma: two pre-tokens, whose ids stand side by side
+            return self._cache[word[:-1]] + self._cache[word[-1]]
+        if self._plain and _LETTERS.fullmatch(word):
+            return self._letters(word)
+        return self._whole([word])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""
-        if len(self._new) > self._limit:
-            self._old, self._new = self._new, {}
-        split = [[] if not x or _SEPARATORS.search(x) else x.split() for x in texts]
-        self._learn(set(itertools.chain.from_iterable(split)).difference(self._new))
-        ids = self._new.__getitem__
+        if len(self._cache) > self._limit:
+            self._cache.old = {}  # freed before the next generation grows
+            self._cache = _Cache(self._cache, self._word)
+        ids = self._cache.__getitem__
         return [
-            b"".join(map(ids, words)) if words or not text else self._whole([text])[0]
-            for words, text in zip(split, texts, strict=True)
+            b"" if not x else self._whole([x])[0] if _SEPARATORS.search(x) else b"".join(map(ids, x.split()))
+            for x in texts
         ]
 
 

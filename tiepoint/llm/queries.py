@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, lines, neardup, packing, quality, secrets, substrings, token_files
+from . import chat, decontaminate, fingerprints, lines, neardup, packing, quality, secrets, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": token_files.op3,
     "op4_minhash_near_dedup": neardup.op4,
     "op5_secret_scan": secrets.op5,
+    "op6_chat_format": chat.op6,
     "op7_quality": quality.op7,
     "op8_decontamination": decontaminate.op8,
     "op9_line_dedup": lines.op9,

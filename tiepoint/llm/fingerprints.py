@@ -1,12 +1,13 @@
 """Document fingerprints with DataFrame functions only: invertible Bloom lookup sketches of paragraphs.
 
-A text's distinct paragraphs (lines, and within lines the sentences that end in ``.``, ``!`` or ``?`` and a
-space) are hashed. A sketch has cells ``(count, xor of digests, xor of check hashes)``; each digest is in
-three of them. Sketches of two versions subtract cell by cell: what both hold cancels. Cells with a single
+A text's distinct paragraphs are hashed: lines, cut also after some of the sentences in them, namely those
+whose last letter is in ``a e o``; long lines thus fall into pieces wherever they stand. A sketch has cells
+``(count, xor of digests, xor of check hashes)``; each digest is in three of them. Sketches of two versions
+subtract cell by cell: what both hold cancels. Cells with a single
 digest left give it up (peeling), which frees others, until all cells are empty. If that fails, larger
-sketches are made of both texts: ``RETRIES`` times as many sub-sketches, each for its share of the digest
-space, so that a sketch's size follows the texts and peeling stays local. After the last retry the two
-digest sets are compared directly.
+sketches are made of both texts: many sub-sketches, each for its share of the digest space, so that the
+sketch follows the texts and peeling stays local; a sub-sketch that fails is made again with twice the
+cells. What the last of ``LARGER`` can't peel is compared digest by digest.
 
 Cases: null text is empty; an empty text has one empty paragraph; equal texts have equal fingerprints and
 likeness 1; repeated paragraphs count once; a single document is its own next one; rows that share a
@@ -21,12 +22,11 @@ from pyspark.sql import functions as F
 
 from .storage import table
 
-PARAGRAPH = r"\n|(?<=[.!?])\x20"
+PARAGRAPH = r"\n|(?<=[aeo][.!?])\x20"
 PART = 5  # cells in each third of a base sketch
-LARGER = 10  # cells in each third of a larger sub-sketch
-DIGESTS = 16  # differing digests for each larger sub-sketch, about
-RETRIES = (1, 2, 4)
-ROUNDS = 12
+DIGESTS = 5  # digests of both texts for each sub-sketch, about
+LARGER = (5, 10, 20)  # cells in each third of a sub-sketch, one try after another
+ROUNDS = 10
 BUCKETS = 4  # ranges of documents for each shuffle partition
 
 
@@ -117,23 +117,40 @@ def peel(cells: Column, part: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, end)
 
 
-def _larger(a: Column, b: Column, times: int) -> Column:
-    """Size of the difference from sub-sketches; null if one of them can't be peeled."""
-    shares = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) * times / DIGESTS)).cast("int")
+def _attempt(a: Column, b: Column, part: int) -> Column:
+    entries = F.concat(_entries(a, part, 1), _entries(b, part, -1))
+    return peel(let(entries, lambda e: _cells(e, part)), part)
 
-    def share(i: Column) -> Column:
-        own = lambda keys: F.filter(keys, lambda k: F.pmod(k, shares) == i)
-        entries = F.concat(_entries(own(a), LARGER, 1), _entries(own(b), LARGER, -1))
-        return peel(let(entries, lambda e: _cells(e, LARGER)), LARGER)
 
-    found = F.transform(F.sequence(F.lit(0), shares - 1), share)
-    return let(found, lambda x: F.when(F.exists(x, lambda n: n.isNull()), None).otherwise(F.aggregate(x, F.lit(0), lambda s, n: s + n)))
+def _larger(a: Column, b: Column) -> Column:
+    """Size of the difference by sub-sketches of ``DIGESTS`` digests or so; those that can't be peeled grow.
+
+    The digests are dealt in two steps, each over the square root of the number of sub-sketches, so that the
+    work doesn't grow with the square of a text's length.
+    """
+    side = F.greatest(F.lit(1), F.round(F.sqrt((F.size(a) + F.size(b)) / DIGESTS))).cast("int")
+    numbers = F.sequence(F.lit(0), side - 1)
+
+    def group(i: Column) -> Column:
+        own = lambda keys: F.filter(keys, lambda k: F.pmod(k, side) == i)
+
+        def share(x: Column, j: Column) -> Column:
+            mine = lambda keys: F.filter(keys, lambda k: F.pmod(F.shiftright(k, 24), side) == j)
+            exact = lambda y: F.size(F.array_except(y["a"], y["b"])) + F.size(F.array_except(y["b"], y["a"]))
+            return let(
+                F.struct(mine(x["a"]).alias("a"), mine(x["b"]).alias("b")),
+                lambda y: F.coalesce(*(_attempt(y["a"], y["b"], part) for part in LARGER), exact(y)),
+            )
+
+        return let(F.struct(own(a).alias("a"), own(b).alias("b")), lambda x: F.transform(numbers, lambda j: share(x, j)))
+
+    return F.aggregate(F.flatten(F.transform(numbers, group)), F.lit(0), lambda s, n: s + n)
 
 
 def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
     """How many digests are in one of the sets only."""
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(peel(subtract(sketch_a, sketch_b), PART), *(_larger(a, b, t) for t in RETRIES), exact)
+    small = F.when(F.abs(F.size(a) - F.size(b)) < 3 * PART, peel(subtract(sketch_a, sketch_b), PART))
+    return F.coalesce(small, _larger(a, b))
 
 
 def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 300_000  # words in each of the cache's two generations, in each worker
+CACHE_WORDS = 200_000  # words in each of the cache's two generations, in each worker
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() drops these, the tokenizer does not
 # One pre-token that normalization only lower-cases, letter by letter.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -98,7 +98,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Cut a record batch into pieces of about ``most`` bytes of text (one row at least)."""
     texts = batch.column(column)
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0))

@@ -453,3 +453,9 @@ ORACLES["assignment_totals"] = _PLANTED_PAIRS + " SELECT count(*) AS n, round(su
 ORACLES["second_run"] = _PLANTED + "," + _SOURCE + """, late AS (SELECT t.*, a.oid AS auth_oid FROM todo t LEFT JOIN auth a ON a.k = t.k AND NOT a.away
         WHERE t.lon IS NULL OR EXISTS (SELECT 1 FROM named n WHERE n.parent = t.oid AND n.name IS NULL))
     SELECT CASE WHEN lon IS NULL THEN 'skipped_no_geometry' WHEN auth_oid IS NULL THEN 'would_append' ELSE 'would_update' END AS action, count(*) AS planned FROM late GROUP BY 1"""
+ORACLES["assign_star"] = _CONTENTION + """ SELECT cap_oid, auth_oid, round(d, 3) AS distance_m, false AS assignment_overridden_nearest FROM (
+        SELECT *, row_number() OVER (PARTITION BY auth_oid ORDER BY round(d * 1e6), cap_oid) AS r FROM pairs) WHERE r = 1"""
+ORACLES["verify_diff"] = _PLANTED + f""", moved AS (SELECT *, segment <> 'BUILDING' AS found, oid % 9 <> 2 AS whole,
+        CASE WHEN oid % 4 = 1 THEN 2 * 6378137.0::DOUBLE / sqrt(1.0::DOUBLE - {geo.WGS84_E2!r}::DOUBLE * sin(radians(lat)) * sin(radians(lat))) * cos(radians(lat)) * sin(radians(0.0001::DOUBLE) / 2) ELSE 0 END AS chord FROM auth)
+    SELECT oid, found AS live_feature_found, found AND whole AND oid % 5 <> 0 AND oid % 4 <> 1 AS verified, CASE WHEN found AND oid % 5 = 0 THEN 'Notes' ELSE '' END AS fields,
+        CASE WHEN found AND whole THEN round(2 * 6371008.8::DOUBLE * asin(chord / (2 * 6371008.8::DOUBLE)), 3) END AS geometry_mismatch_m FROM moved"""

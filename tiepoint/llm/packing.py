@@ -31,6 +31,8 @@ from .tokens import encoder, slices
 
 GROUP_PIECES = 8_000  # pieces packed together in one task, about
 UNDERFULL = 32  # sequences that miss over a 32nd of their tokens are packed again
+DONORS = 24  # of the least full sequences of a group, tried in turn when one is stuck
+STEPS = 4  # steps for each sequence of a group
 
 
 # ---- tokens to pieces ---------------------------------------------------------------------------
@@ -120,7 +122,7 @@ class Bins:
         own = self.items[low]
         for item in reversed(own):
             b = self.fit(item[0], skip=low)
-            if b >= 0:
+            if b >= 0 and item[0] - self.gap[b] > -self.gap[low]:  # the sum of squared fills rises
                 self.take(low, item)
                 self.put(b, item)
                 return True
@@ -159,13 +161,24 @@ class Bins:
         return False
 
     def improve(self) -> None:
-        """Empty the least full sequences one after another, until one can't be emptied."""
-        while sum(bool(x) for x in self.items) > -(-sum(x[0] for own in self.items for x in own) // self.capacity):
-            low = max((b for b, own in enumerate(self.items) if own), key=lambda b: (self.gap[b], b))
-            while self.items[low] and self._exchange(low):
-                pass
-            if self.items[low]:
+        """Empty the least full sequences one after another; where one is stuck, steps between other underfull
+        ones may free it. Ends at the lower bound, when no step is left, or after ``STEPS`` steps for each sequence."""
+        least = -(-sum(x[0] for own in self.items for x in own) // self.capacity)
+        used = sum(bool(x) for x in self.items)
+        steps = STEPS * max(used, 1)
+        while used > least and steps:
+            lowest = sorted((b for b, own in enumerate(self.items) if own and self.gap[b]), key=lambda b: (-self.gap[b], b))[:DONORS]
+            for low in lowest:
+                if self._exchange(low):
+                    steps -= 1
+                    used -= not self.items[low]
+                    break
+            else:
                 return
+            # stay with the least full one as long as it gives pieces away
+            while steps and self.items[lowest[0]] and self._exchange(lowest[0]):
+                steps -= 1
+                used -= not self.items[lowest[0]]
 
 
 def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

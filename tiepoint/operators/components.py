@@ -27,15 +27,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where(F.col("a") != F.col("b")).distinct()
 
 
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether every node either has one smaller neighbour or only larger ones: nothing is left to do."""
+    ends = links.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(links.select(F.col("b").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    odd = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)")
+    return not odd.limit(1).count()
+
+
 def connected_components(edges: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` of all nodes of ``edges``; ``component`` is the smallest node reachable."""
     nodes = edges.select(F.explode(F.array(src, dst)).alias("node")).distinct()
     links = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col("a") != F.col("b")).distinct()
-    links, seen = checkpoint(links), None
-    while True:
+    links = checkpoint(links)
+    while not _is_forest_of_stars(links):
         links = checkpoint(_star(_star(links, large=True), large=False))
-        state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
     return nodes.join(links.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))

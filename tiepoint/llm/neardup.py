@@ -9,10 +9,15 @@ whole sequence). Documents are linked if their sets' Jaccard similarity is ``SIM
 2. In each band bucket every class is a candidate with the bucket's smallest class: a star, not all pairs.
    The XOR population count of two odd sketches estimates their similarity closely when it is high;
    candidates well below the threshold go. Each class's best candidate is compared on the full sets.
-3. Connected components of the confirmed links. Buckets that still hold several components are joined
-   with themselves, across components only; what the sketches let through is confirmed in full as well,
-   and the components are taken again. Every pair that shares a band is thus in one component, refuted by
-   its sketches (by over five standard deviations) or refuted on its full sets.
+3. Connected components of the confirmed links. For the classes in buckets that still hold several
+   components it is counted how many shingles no other of them has: those can't be shared, which bounds any
+   similarity from above and refutes loose members of large groups at once. A second star, around each
+   bucket's class with the fewest of these, is confirmed and the components are taken again.
+4. Buckets that still hold several components are joined with themselves, across components only; what
+   sketches and lone shingles let through is confirmed in full, and the components are taken a last time.
+
+Every pair that shares a band is thus in one component, refuted by its sketches (by over five standard
+deviations), by its lone shingles (exactly) or on its full sets.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^40 = 2.5e-7, less above.
 
@@ -140,12 +145,43 @@ def _alike(a: str, b: str) -> Column:
     return (small * den >= large * num) & (_flips(a, b) <= max_flips())
 
 
+def _pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``ids(doc_id)``, a stored table; it is broadcast only if it is small."""
+    picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(picked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def lone_shingles(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(class, lone)``: how many shingles of each of ``classes(class)`` no other of them has."""
+    texts = _pick(docs, materialize(classes.select(F.col("class").alias("doc_id")), "rest-ids"))
+
+    def run(batches):
+        for batch in batches:
+            for lo, sets in shingle_sets(batch.column("text")):
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                values = np.concatenate(sets).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)), lists], names=["class", "hashes"])
+
+    rows = texts.mapInArrow(run, "class long, hashes array<long>").select("class", F.explode("hashes").alias("hash"))
+    single = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+    counts = single.groupBy("class").agg(F.count("*").alias("lone"))
+    return classes.join(counts, "class", "left").select("class", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+def _may_share(a: str, b: str) -> Column:
+    """Lone shingles of aliases ``a`` and ``b`` allow the similarity: neither set shares them with anything."""
+    num, den = SIMILARITY
+    sizes = [F.col(f"{x}.n_shingles") for x in (a, b)]
+    most = F.least(*(n - F.col(f"{x}.lone") for n, x in zip(sizes, (a, b), strict=True)))
+    return most * den >= (sizes[0] + sizes[1] - most) * num
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets reach the similarity. ``docs(doc_id, text)`` without nulls in ``doc_id``."""
     num, den = SIMILARITY
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialize(docs.join(picked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = materialize(_pick(docs, materialize(ids, "pair-ids")), "pair-texts")
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     salted = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / GROUP)).cast("int").alias("salt"))
     salted = materialize(salted, "pairs")
@@ -171,6 +207,13 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return left.groupBy("a", "salt").cogroup(right.groupBy("leader", "share")).applyInArrow(compare, "a long, b long")
 
 
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """``(band, class, part)`` of the buckets that hold several components."""
+    named = shared.join(found, F.col("class") == F.col("node"), "left").select("band", "class", F.coalesce("component", "class").alias("part"))
+    several = named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band")
+    return named.join(several, "band", "left_semi")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text)``."""
     keep = lambda df: materialize(df, "near")
@@ -193,18 +236,27 @@ def components(docs: DataFrame) -> DataFrame:
     links = keep(confirm(tested, docs))
     found = keep(connected_components(links, keep, "a", "b"))
 
-    named = shared.join(found, F.col("class") == F.col("node"), "left").select("band", "class", F.coalesce("component", "class").alias("part"))
-    mixed = named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band")
-    mixed = keep(named.join(mixed, "band", "left_semi").join(sketches, "class"))
-    cross = mixed.alias("x").join(
-        mixed.alias("y"),
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.part") != F.col("y.part")) & _alike("x", "y"),
+    mixed = keep(_mixed(shared, found))
+    lone = keep(lone_shingles(mixed.select("class").distinct(), docs).join(sketches, "class"))
+    # a second star, around each bucket's most typical class
+    rest = keep(mixed.join(lone, "class"))
+    heads = rest.groupBy("band").agg(F.min_by(F.struct("class", "part", "lone", "n_shingles", *SKETCHES), F.struct("lone", "class")).alias("x"))
+    spokes = rest.alias("y").join(heads, "band").where((F.col("x.part") != F.col("y.part")) & _alike("x", "y") & _may_share("x", "y"))
+    best = spokes.groupBy(F.col("y.class").alias("b")).agg(F.min(F.struct(_flips("x", "y").alias("flips"), F.col("x.class").alias("a"))).alias("best"))
+    tested_too = keep(best.select("best.a", "b").join(tested, ["a", "b"], "left_anti"))
+    links = keep(links.unionByName(confirm(tested_too, docs)))
+    found = keep(connected_components(links, keep, "a", "b"))
+    # what still may be linked across components
+    rest = keep(_mixed(shared.join(lone.select("class"), "class", "left_semi"), found).join(lone, "class"))
+    cross = rest.alias("x").join(
+        rest.alias("y"),
+        (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.part") != F.col("y.part")) & _alike("x", "y") & _may_share("x", "y"),
     )
-    cross = cross.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    cross = keep(cross)
-    if cross.limit(1).count():
-        links = keep(links.unionByName(confirm(cross, docs)))
-        found = keep(connected_components(links, keep, "a", "b"))
+    done = tested.unionByName(tested_too).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = keep(cross.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
+    late = keep(confirm(cross, docs))
+    if late.limit(1).count():
+        found = keep(connected_components(links.unionByName(late), keep, "a", "b"))
 
     of_class = classes.join(found, F.col("class") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "class").alias("component"))
     done = signed.join(of_class, ["k1", "k2"], "left").withColumn("component", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")))

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from tiepoint.config import LayerConfig
 
+POINT = "esriGeometryPoint"  # fixed value: how sources declare point layers
 GEOMETRY = "struct<x:double,y:double,spatialReference:struct<wkid:int,latestWkid:int>>"
 
 
@@ -47,7 +48,7 @@ def check_layer_pair(captured: DataFrame, authoritative: DataFrame, config: Laye
 def check_points(features: DataFrame, geometry_type: str | None = None) -> None:
     """Fail unless the layer holds points, by its declared type or else by the geometry's fields."""
     if geometry_type is not None:
-        if geometry_type != "esriGeometryPoint":
+        if geometry_type != POINT:
             raise ValueError(f"only point layers are supported, not {geometry_type}")
         return
     kind = features.schema["geometry"].dataType

@@ -242,7 +242,7 @@ def components(docs: DataFrame) -> DataFrame:
     rest = keep(mixed.join(lone, "class"))
     heads = rest.groupBy("band").agg(F.min_by(F.struct("class", "part", "lone", "n_shingles", *SKETCHES), F.struct("lone", "class")).alias("x"))
     spokes = rest.alias("y").join(heads, "band").where((F.col("x.part") != F.col("y.part")) & _alike("x", "y") & _may_share("x", "y"))
-    best = spokes.groupBy(F.col("y.class").alias("b")).agg(F.min(F.struct(_flips("x", "y").alias("flips"), F.col("x.class").alias("a"))).alias("best"))
+    best = spokes.groupBy(F.col("y.class").alias("b")).agg(F.min(F.struct(F.col("x.lone").alias("lone"), _flips("x", "y").alias("flips"), F.col("x.class").alias("a"))).alias("best"))
     tested_too = keep(best.select("best.a", "b").join(tested, ["a", "b"], "left_anti"))
     links = keep(links.unionByName(confirm(tested_too, docs)))
     found = keep(connected_components(links, keep, "a", "b"))

@@ -156,6 +156,20 @@ def test_fingerprints(spark):
     assert got[52].print == got[53].print == got[0].print != got[1].print and got[53].near_next == 1.0
 
 
+def test_fingerprints_cut_at_every_sentence_end_and_in_long_pieces(spark):
+    ends = " ".join(f"This is sentence number{k}{'nstr9'[k % 5]}{'.!?'[k % 3]}" for k in range(40))
+    words = " ".join(f"word{k}" for k in range(900))  # one line without any sentence end
+    got = {r.doc_id: r for r in fingerprints.fingerprints(fingerprints.with_next(docs(spark, [(3, ends), (2, words), (1, "other\ntext")]))).collect()}
+    cut = re.compile(r"\n|(?<=[.!?]) ")
+    edited = ends[: len(ends) - len(ends) // 3] + words[: len(ends) // 3]
+    a, b = set(cut.split(ends)), set(cut.split(edited)[:-1])  # the last piece is long: more than one paragraph
+    assert len(a & b) / len(a | b) > got[3].near_edited > 0.9 * len(a & b) / (len(a | b) + 30) > 0.3
+    assert 0.5 < got[2].near_edited < 0.8
+    pieces = docs(spark, [(1, words), (2, "a " * 128 + "b")]).select("doc_id", fingerprints.paragraphs(F.col("text")).alias("p")).collect()
+    assert all(" ".join(r.p) == t for r, t in zip(sorted(pieces), [words, "a " * 128 + "b"]))
+    assert 20 < len(sorted(pieces)[0].p) < 120
+
+
 def test_one_document_is_its_own_next(spark):
     r = fingerprints.with_next(docs(spark, [(4, "abc")])).first()
     assert r.next_text == "abc"

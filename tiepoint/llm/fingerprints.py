@@ -1,7 +1,8 @@
 """Document fingerprints with DataFrame functions only: invertible Bloom lookup sketches of paragraphs.
 
-A text's distinct paragraphs are hashed: lines, cut also after some of the sentences in them, namely those
-whose last letter is in ``a e o``; long lines thus fall into pieces wherever they stand. A sketch has cells
+A text's distinct paragraphs are hashed: lines, cut also after every sentence in them (``.``, ``!`` or ``?``
+and a space). What is then still longer than ``LONG`` characters is cut after the words whose hash is a
+multiple of ``WORDS``; long pieces thus fall into the same parts wherever they stand. A sketch has cells
 ``(count, xor of digests, xor of check hashes)``; each digest is in three of them. Sketches of two versions
 subtract cell by cell: what both hold cancels. Cells with a single
 digest left give it up (peeling), which frees others, until all cells are empty. If that fails, larger
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .storage import table
 
-PARAGRAPH = r"\n|(?<=[aeo][.!?])\x20"
+PARAGRAPH = r"\n|(?<=[.!?])\x20"
+LONG = 256  # characters; a longer piece without line or sentence ends is cut after some of its words
+WORDS = 16  # words in each of its parts, about
 PART = 5  # cells in each third of a base sketch
 DIGESTS = 5  # digests of both texts for each sub-sketch, about
 LARGER = (5, 10, 20)  # cells in each third of a sub-sketch, one try after another
@@ -35,26 +38,43 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _parts(piece: Column) -> Column:
+    """A long piece cut after the words whose hash says so, in place of the space that follows."""
+    marked = F.transform(F.split(piece, "\x20", -1), lambda w: F.concat(w, F.when(F.pmod(F.xxhash64(w), F.lit(WORDS)) == 0, "\n").otherwise(" ")))
+    return let(F.array_join(marked, ""), lambda x: F.split(F.left(x, F.char_length(x) - 1), "\n", -1))
+
+
+def paragraphs(text: Column) -> Column:
+    pieces = F.split(text, PARAGRAPH, -1)
+    return F.flatten(F.transform(pieces, lambda p: F.when(F.char_length(p) > LONG, _parts(p)).otherwise(F.array(p))))
+
+
 def digests(text: Column) -> Column:
     """Sorted distinct 64-bit digests of the text's paragraphs."""
-    return F.array_sort(F.array_distinct(F.transform(F.split(text, PARAGRAPH, -1), lambda p: F.xxhash64(p))))
+    return F.array_sort(F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p))))
 
 
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(1))
 
 
-def _places(key: Column, part: int) -> list[Column]:
-    """One cell in each third of the sketch."""
-    return [F.pmod(F.shiftright(key, 20 * t + 2), F.lit(part)).cast("int") + t * part for t in range(3)]
+def _places(key: Column, part: int) -> Column:
+    """One cell in each third of the sketch, as bits of a number."""
+    places = [F.pmod(F.shiftright(key, 20 * t + 2), F.lit(part)).cast("int") + t * part for t in range(3)]
+    a, b, c = (F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in places)
+    return a.bitwiseOR(b).bitwiseOR(c)
 
 
-def _entries(keys: Column, part: int, sign: int) -> Column:
-    def entry(k: Column) -> Column:
-        a, b, c = _places(k, part)
-        return F.struct(F.lit(sign).alias("n"), k.alias("key"), _check(k).alias("chk"), a.alias("a"), b.alias("b"), c.alias("c"))
+def _in(e: Column, cell: Column) -> Column:
+    return F.getbit(e["places"], cell) == F.lit(1).cast("byte")
 
-    return F.transform(keys, entry)
+
+def _entry(n: Column, key: Column, chk: Column, part: int) -> Column:
+    return F.struct(n.alias("n"), key.alias("key"), chk.alias("chk"), _places(key, part).alias("places"))
+
+
+def _entries(keys: Column, part: int, sign: int) -> Column:
+    return F.transform(keys, lambda k: _entry(F.lit(sign), k, _check(k), part))
 
 
 def _zero() -> Column:
@@ -70,7 +90,7 @@ def _add(cell: Column, e: Column, sign: int = 1) -> Column:
 def _cells(entries: Column, part: int) -> Column:
     def cell(j: Column) -> Column:
         return F.aggregate(
-            entries, _zero(), lambda s, e: F.when((e["a"] == j) | (e["b"] == j) | (e["c"] == j), _add(s, e)).otherwise(s)
+            entries, _zero(), lambda s, e: F.when(_in(e, j), _add(s, e)).otherwise(s)
         )
 
     return F.transform(F.sequence(F.lit(0), F.lit(3 * part - 1)), cell)
@@ -97,15 +117,14 @@ def peel(cells: Column, part: int) -> Column:
         pure = F.array_distinct(F.transform(F.filter(s["cells"], is_pure), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"), c["chk"].alias("chk"))))
 
         def placed(c: Column) -> Column:
-            a, b, d = _places(c["key"], part)
-            return F.struct(c["n"].alias("n"), c["key"].alias("key"), c["chk"].alias("chk"), a.alias("a"), b.alias("b"), d.alias("c"))
+            return _entry(c["n"], c["key"], c["chk"], part)
 
         def remove(found: Column) -> Column:
             left = F.transform(
                 s["cells"],
                 lambda c, j: F.aggregate(
                     found, F.struct(c["n"].alias("n"), c["key"].alias("key"), c["chk"].alias("chk")),
-                    lambda x, e: F.when((e["a"] == j) | (e["b"] == j) | (e["c"] == j), _add(x, e, -1)).otherwise(x),
+                    lambda x, e: F.when(_in(e, j), _add(x, e, -1)).otherwise(x),
                 ),
             )
             return F.struct(left.alias("cells"), (s["found"] + F.size(found)).alias("found"), (F.size(found) == 0).alias("done"))
@@ -117,34 +136,44 @@ def peel(cells: Column, part: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, end)
 
 
-def _attempt(a: Column, b: Column, part: int) -> Column:
-    entries = F.concat(_entries(a, part, 1), _entries(b, part, -1))
-    return peel(let(entries, lambda e: _cells(e, part)), part)
-
-
 def _larger(a: Column, b: Column) -> Column:
     """Size of the difference by sub-sketches of ``DIGESTS`` digests or so; those that can't be peeled grow.
 
     The digests are dealt in two steps, each over the square root of the number of sub-sketches, so that the
     work doesn't grow with the square of a text's length.
     """
-    side = F.greatest(F.lit(1), F.round(F.sqrt((F.size(a) + F.size(b)) / DIGESTS))).cast("int")
-    numbers = F.sequence(F.lit(0), side - 1)
+    first, *others = LARGER
 
-    def group(i: Column) -> Column:
-        own = lambda keys: F.filter(keys, lambda k: F.pmod(k, side) == i)
+    def again(entries: Column, part: int) -> Column:
+        placed = F.transform(entries, lambda e: _entry(e["n"], e["key"], e["chk"], part))
+        return peel(let(placed, lambda x: _cells(x, part)), part)
 
-        def share(x: Column, j: Column) -> Column:
-            mine = lambda keys: F.filter(keys, lambda k: F.pmod(F.shiftright(k, 24), side) == j)
-            exact = lambda y: F.size(F.array_except(y["a"], y["b"])) + F.size(F.array_except(y["b"], y["a"]))
-            return let(
-                F.struct(mine(x["a"]).alias("a"), mine(x["b"]).alias("b")),
-                lambda y: F.coalesce(*(_attempt(y["a"], y["b"], part) for part in LARGER), exact(y)),
-            )
+    def exact(entries: Column) -> Column:
+        mine = lambda sign: F.transform(F.filter(entries, lambda e: e["n"] == sign), lambda e: e["key"])
+        return let(F.struct(mine(1).alias("a"), mine(-1).alias("b")), lambda y: F.size(F.array_except(y["a"], y["b"])) + F.size(F.array_except(y["b"], y["a"])))
 
-        return let(F.struct(own(a).alias("a"), own(b).alias("b")), lambda x: F.transform(numbers, lambda j: share(x, j)))
+    def found(entries: Column) -> Column:
+        tries = F.coalesce(peel(_cells(entries, first), first), *(again(entries, part) for part in others), exact(entries))
+        return F.when(F.size(entries) == 0, 0).otherwise(tries)
+
+    def dealt(keys: Column, sign: int, side: Column) -> Column:
+        return F.transform(
+            _entries(keys, first, sign),
+            lambda e: e.withField("i", F.pmod(e["key"], side).cast("int")).withField("j", F.pmod(F.shiftright(e["key"], 24), side).cast("int")),
+        )
 
-    return F.aggregate(F.flatten(F.transform(numbers, group)), F.lit(0), lambda s, n: s + n)
+    def sizes(side: Column) -> Column:
+        numbers = F.sequence(F.lit(0), side - 1)
+
+        def group(entries: Column, i: Column) -> Column:
+            share = lambda own: F.transform(numbers, lambda j: let(F.filter(own, lambda e: e["j"] == j), found))
+            return let(F.filter(entries, lambda e: e["i"] == i), share)
+
+        whole = F.concat(dealt(a, 1, side), dealt(b, -1, side))
+        return let(whole, lambda entries: F.flatten(F.transform(numbers, lambda i: group(entries, i))))
+
+    side = F.greatest(F.lit(1), F.round(F.sqrt((F.size(a) + F.size(b)) / DIGESTS))).cast("int")
+    return F.aggregate(let(side, sizes), F.lit(0), lambda s, n: s + n)
 
 
 def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:

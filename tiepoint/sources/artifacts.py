@@ -76,12 +76,12 @@ def read_snapshot(spark: SparkSession, path: str, json: bool = False) -> DataFra
 # ---- reports -------------------------------------------------------------------------------------
 
 
-def write_report(parts: list[DataFrame], path: str) -> None:
+def write_report(parts: list[DataFrame], path: str, mode: str = "error") -> None:
     """One CSV report with the columns of all ``parts``; what a part lacks, and nulls, are empty cells."""
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part, allowMissingColumns=True)
-    whole.write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
+    whole.write.mode(mode).csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -66,6 +66,12 @@ def flatten(features: DataFrame) -> DataFrame:
     )
 
 
+def unflatten(flat: DataFrame) -> DataFrame:
+    """A flat layer as ``(attributes, geometry)``."""
+    names = [F.col(f"`{n}`") for n in flat.columns if n not in ("lon", "lat")]
+    return flat.select(F.struct(*names).alias("attributes"), F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("geometry"))
+
+
 def has_point() -> Column:
     return F.col("lon").isNotNull() & F.col("lat").isNotNull()
 

@@ -1,8 +1,8 @@
 """Merging captured rows as they arrive.
 
-Each micro-batch runs the same merge against the state that the batches before it left. State is kept in
-directories numbered by batch, so a batch that is run again after a failure starts from the same state and
-writes the same directories: it is skipped if its marker exists. Records that earlier batches claimed stay
+Each micro-batch runs ``plans.runs.apply`` against the layer, attachments and ledger that the batch before it
+left. State is kept in directories numbered by batch, so a batch that is run again after a failure starts from
+the same state and writes the same directories: it is skipped if its ledger exists. Records that earlier batches claimed stay
 claimed, so how rows are split into batches can change who matches whom.
 """
 
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tiepoint.config import LayerConfig
-from tiepoint.operators import ledger as ledgers
-from tiepoint.plans.runs import match
-from tiepoint.sources.artifacts import LEDGER
+from tiepoint.plans import runs
+from tiepoint.sources import layers
+from tiepoint.sources.artifacts import LEDGER, write_report
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -31,37 +31,67 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def merge_batch(authoritative: DataFrame, config: LayerConfig, state: str, checkpoint: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch``. ``authoritative`` and the batches are flat layers.
+def _ledger(spark: SparkSession, state: str) -> DataFrame:
+    return spark.read.schema(LEDGER + ", batch int").parquet(f"{state}/ledger")
 
-    ``state/ledger/batch=N`` holds the rows that batch ``N`` added: matched records, or none (appended).
+
+def merge_batch(
+    authoritative: DataFrame, config: LayerConfig, state: str, checkpoint: Callable[[DataFrame], DataFrame],
+    source_attachments: DataFrame | None = None, target_attachments: DataFrame | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch``. ``authoritative`` and the batches are ``(attributes, geometry)``.
+
+    Under ``batch=N``, ``state/layer`` holds the merged flat layer, ``state/attachments`` its attachments (if
+    they are copied), ``state/snapshot`` the records as they were before, ``state/report`` the outcome and
+    ``state/ledger`` the rows that batch ``N`` added. The ledger is written last and marks the batch as done.
+    Rows that aren't ledgered (see the report) are taken again when they arrive again.
     """
+    if config.copy_attachments and (source_attachments is None or target_attachments is None):
+        raise ValueError(f"{config.name} copies attachments: give those of both layers")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        path = f"{state}/ledger/batch={batch_id}"
-        if _exists(spark, path):
+        if _exists(spark, f"{state}/ledger/batch={batch_id}"):
             return
-        ledger = spark.createDataFrame([], LEDGER)
-        if batch_id and _exists(spark, f"{state}/ledger"):
-            ledger = spark.read.schema(LEDGER).parquet(f"{state}/ledger").where(F.col("layer") == config.name)
-        todo, _, _, matches = match(batch, authoritative, checkpoint(ledger), config, checkpoint)
-        rows = todo.where("lon is not null and lat is not null").join(matches.select("cap_oid", "auth_oid"), F.col("OBJECTID") == F.col("cap_oid"), "left")
-        entries = rows.select(
-            F.lit(config.name).alias("layer"), F.col("GlobalID").alias("captured_global_id"),
-            F.when(F.col("auth_oid").isNotNull(), "updated").otherwise("created").alias("action"),
-            F.col("auth_oid").alias("authoritative_oid"), F.lit("0/0").alias("attachments_status"), F.lit(f"batch-{batch_id:09d}").alias("run_time"),
-        )
-        ledgers.upsert(spark.createDataFrame([], LEDGER), entries).write.parquet(path)
+        layer, files, ledger = authoritative, target_attachments, spark.createDataFrame([], LEDGER)
+        if batch_id:
+            last = f"batch={batch_id - 1}"
+            if not _exists(spark, f"{state}/ledger/{last}"):
+                raise RuntimeError(f"{state} lacks {last}, on which batch {batch_id} builds")
+            layer = layers.unflatten(spark.read.parquet(f"{state}/layer/{last}"))
+            if config.copy_attachments:
+                files = spark.read.parquet(f"{state}/attachments/{last}")
+            ledger = _ledger(spark, state).where((F.col("batch") < batch_id) & (F.col("layer") == config.name)).drop("batch")
+        run_ts = f"batch-{batch_id:09d}"
+        done = runs.apply(batch, layer, checkpoint(ledger), config, run_ts, checkpoint, source_attachments, files)
+        to = lambda name: f"{state}/{name}/batch={batch_id}"
+        done.snapshot.write.mode("overwrite").parquet(to("snapshot"))
+        done.layer.write.mode("overwrite").parquet(to("layer"))
+        if done.attachments is not None:
+            done.attachments.write.mode("overwrite").parquet(to("attachments"))
+        write_report([done.report], to("report"), mode="overwrite")
+        done.ledger.where(F.col("run_time") == run_ts).write.mode("overwrite").parquet(to("ledger"))
 
     return run
 
 
-def start(stream: DataFrame, authoritative: DataFrame, config: LayerConfig, state: str, checkpoint: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def start(
+    stream: DataFrame, authoritative: DataFrame, config: LayerConfig, state: str, checkpoint: Callable[[DataFrame], DataFrame],
+    source_attachments: DataFrame | None = None, target_attachments: DataFrame | None = None,
+) -> StreamingQuery:
     """Merge what has arrived and stop; start again for what arrives later."""
-    writer = stream.writeStream.foreachBatch(merge_batch(authoritative, config, state, checkpoint))
+    writer = stream.writeStream.foreachBatch(merge_batch(authoritative, config, state, checkpoint, source_attachments, target_attachments))
     return writer.option("checkpointLocation", f"{state}/stream").trigger(availableNow=True).start()
 
 
 def state_of(spark: SparkSession, state: str) -> DataFrame:
-    return spark.read.schema(LEDGER).parquet(f"{state}/ledger")
+    """The ledger of all batches, with ``batch``."""
+    return _ledger(spark, state)
+
+
+def layer_of(spark: SparkSession, state: str) -> DataFrame:
+    """The flat layer that the last finished batch left."""
+    # by the ledger's files, as a batch may add no rows
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{state}/ledger")
+    last = files.agg(F.max(F.col("batch").cast("int"))).first()[0]
+    return spark.read.parquet(f"{state}/layer/batch={last}")

@@ -225,6 +225,58 @@ def test_rows_with_one_id_and_null_ids(spark):
     assert sorted(str((r.doc_id, r.component_id, r.kept)) for r in got) == sorted(map(str, [(5, 5, True), (5, 5, True), (None, None, True), (9, None, False)]))
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_different_texts_of_one_id_keep_all_their_links(spark, swap):
+    rnd = random.Random(12)
+    a, b = (" ".join(f"{c}{rnd.randint(0, 10**6)}" for _ in range(100)) for c in "ab")
+    rows = [(5, b), (5, a), (9, b + " x"), (11, a + " y"), (20, "z z z z z z"), (None, a + " v"), (30, ""), (30, "z z z z z Z")]
+    rows = [rows[1], rows[0], *rows[2:]] if swap else rows
+    got = sorted(str((r.doc_id, r.component_id, r.kept)) for r in neardup.components(docs(spark, rows)).collect())
+    assert got == sorted(map(str, [(5, None, False), (5, None, False), (9, None, False), (11, None, False), (20, 20, True), (None, None, True), (30, 20, False), (30, 30, True)]))
+    assert sorted(str(r.doc_id) for r in neardup.keep_one(docs(spark, rows)).collect()) == ["20", "None"]
+
+
+def test_one_large_group_of_wide_similarities(spark, monkeypatch):
+    """Members from 0.1 to 0.95 alike: the exact join sees few pairs beside the square of the group."""
+    rnd = random.Random(31)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(400):
+        own, share = list(base), rnd.uniform(0, 0.12)
+        for j in range(len(own)):
+            if rnd.random() < share:
+                own[j] = f"x{rnd.randint(0, 10**9)}"
+        rows.append((k, " ".join(own)))
+    seen = []
+    pairs = neardup.prefix_pairs
+    monkeypatch.setattr(neardup, "prefix_pairs", lambda rest: seen.append(pairs(rest)) or seen[-1])
+    got = sorted(tuple(r) for r in neardup.components(docs(spark, rows)).collect())
+    assert got == near_brute(rows)
+    assert len({r[2] for r in got}) > 100 and seen[0].count() < 4000
+
+
+def test_prefix_pairs_hold_every_linked_pair(spark):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(120):
+        n = rnd.choice([1, 2, 5, 12, 34, 36, 38, 40])
+        rows.append((k, sorted(rnd.sample(range(n + 3), n))))
+    sets = storage.materialize(spark.createDataFrame(rows, "class long, hashes array<long>"), "t")
+    rest = storage.materialize(neardup.prefixes(sets).withColumn("part", F.col("class") % 7), "t")
+    got = {tuple(sorted(r)) for r in neardup.prefix_pairs(rest).collect()}
+    want = set()
+    for a, x in rows:
+        for b, y in rows:
+            both = len(set(x) & set(y))
+            if a < b and a % 7 != b % 7 and 100 * both >= 75 * (len(x) + len(y) - both):
+                want.add((a, b))
+    assert want and want <= got
+
+
+def test_loss_of_the_sketches():
+    assert neardup.sketch_loss(0.75) < 5e-8 and neardup.sketch_loss(0.5) > 0.1
+
+
 def test_odd_sketches_estimate_high_similarities():
     rnd = np.random.default_rng(4)
     for similarity in (0.75, 0.9):

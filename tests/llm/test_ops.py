@@ -5,17 +5,18 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tiepoint.llm import chat, decontaminate, fingerprints, lines, neardup, packing, quality, secrets, storage, token_files
+from tiepoint.llm import chat, decontaminate, fingerprints, lines, neardup, packing, quality, secrets, storage, token_files, tokens
 from tiepoint.llm.tokens import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-ODD = ["", None, " \n\t ", "a", "Ünï cödé. ß", "a\x1cb\x85c d", "<|endoftext|> x.", "don't, 5.5 b,. é́", "x" * 3000, "word " * 4000]
+ODD = ["", None, " \n\t ", "a", "Ünï cödé. ß", "a\x1cb\x85c d", "<|endoftext|> x.", "don't, 5.5 b,. é́", "x" * 3000, "word " * 4000, "a\xa0b\u2003c\u3000 d\x1d.", "\x1f"]
 
 
 def docs(spark, rows, extra=True):
@@ -33,19 +34,26 @@ def crc(ids):
 # ---- tokens --------------------------------------------------------------------------------------
 
 
-def test_word_cache_equals_whole_texts():
+def test_word_cache_equals_whole_texts(monkeypatch):
     rnd = random.Random(1)
     texts = [*ODD, *(" ".join("".join(rnd.choice("aBcdé.,'5-") for _ in range(rnd.randint(1, 8))) for _ in range(60)) for _ in range(200))]
     whole = Tokenizer.from_file(PATH)
     want = [np.asarray(whole.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     small = WordEncoder(PATH, cache_words=50)
-    assert [x for k in range(0, len(texts), 7) for x in small.encode(texts[k : k + 7])] == want
+    for gather, step in ((1 << 20, 7), (5, 30)):
+        monkeypatch.setattr(tokens, "GATHER", gather)
+        for end in (None, 9):
+            got = []
+            for k in range(0, len(texts), step):
+                ids, at = small.encode(pa.array(["cut off", *texts[k : k + step]], pa.string()).slice(1), end)
+                got += [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            assert got == [x + (b"" if end is None else end.to_bytes(4, "little")) for x in want]
 
 
 def test_token_files_round_trip(spark):
     rows = [(k * 7 % 40, t) for k, t in enumerate([*ODD, *ODD])] + [(None, "no id"), (3, "again"), (3, "again")]
     path = storage.new_path(spark, "t")
-    token_files.write_tokens(docs(spark, rows), path, PATH, end_id=1, partitions=3)
+    token_files.write_tokens(docs(spark, rows), path, PATH, end_id=1, partition_bytes=9_000)
     files = token_files.read_tokens(spark, path)
     got = token_files.ids_crc32(token_files.with_starts(files), "doc_id", "start", "n_tokens").orderBy("start").collect()
     whole = Tokenizer.from_file(PATH)
@@ -63,7 +71,7 @@ def test_token_files_are_encoded_as_said(spark):
     import pyarrow.parquet as pq
 
     path = storage.new_path(spark, "t")
-    token_files.write_tokens(docs(spark, [(k, "some words here") for k in range(500)]), path, PATH, end_id=1, partitions=1)
+    token_files.write_tokens(docs(spark, [(k, "some words here") for k in range(500)]), path, PATH, end_id=1)
     [name] = [f for f in glob.glob(path.removeprefix("file://") + "/*.parquet") if pq.ParquetFile(f).metadata.num_rows]
     columns = {c["path_in_schema"]: c for c in (pq.ParquetFile(name).metadata.row_group(0).column(k).to_dict() for k in range(5))}
     assert "DELTA_BINARY_PACKED" in columns["doc_id"]["encodings"]
@@ -74,7 +82,7 @@ def test_token_files_are_encoded_as_said(spark):
 def test_empty_tables(spark):
     none = docs(spark, [])
     path = storage.new_path(spark, "t")
-    token_files.write_tokens(none, path, PATH, end_id=1, partitions=2)
+    token_files.write_tokens(none, path, PATH, end_id=1)
     assert token_files.with_starts(token_files.read_tokens(spark, path)).count() == 0
     assert packing.pack_documents(none, PATH).count() == 0
     assert fingerprints.fingerprints(fingerprints.with_next(none)).count() == 0

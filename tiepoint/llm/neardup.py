@@ -244,8 +244,10 @@ def prefix_pairs(rest: DataFrame) -> DataFrame:
     num, den = SIMILARITY
     lists = rest.select("class", "part", "n", "lone", F.posexplode("common").alias("k", "hash")).select("hash", "class", "part", "n", (F.col("lone") + F.col("k")).alias("at"))
     shares = lists.groupBy("hash", "part").agg(F.count("*").alias("held"))
+    # stored, so that the join below has no aggregate on its keys and a hot shingle's list can be split
     several = shares.groupBy("hash").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
-    lists = materialize(lists.join(several.select("hash", "main"), "hash").withColumn("minor", F.col("part") != F.col("main")).drop("main"), "lists")
+    several = materialize(several.select("hash", "main"), "several")
+    lists = materialize(lists.join(several, "hash").withColumn("minor", F.col("part") != F.col("main")).drop("main"), "lists")
     # what can still be shared from a shingle on must be enough: (den + num) * left >= num * (both sizes)
     enough = lambda x, y: (F.col(f"{x}.n") - F.col(f"{x}.at")) * (den + num) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * num
     first = lists.where((F.col("n") - F.col("at")) * (den + num) >= F.col("n") * (2 * num)).alias("x")  # of the smaller set

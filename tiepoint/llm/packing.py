@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import materialize, table
-from .tokens import encoder, slices
+from .tokens import encoded
 
 GROUP_PIECES = 8_000  # pieces packed together in one task, about
 UNDERFULL = 32  # sequences that miss over a 32nd of their tokens are packed again
@@ -45,23 +45,23 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = encoder(tokenizer).encode(part.column("text").to_pylist())
-                end = np.asarray([end_id], dtype="<u4").tobytes()
-                rows = []
-                for k, own in enumerate(ids):
-                    own += end
-                    for piece, at in enumerate(range(0, len(own), 4 * capacity)):
-                        bit = own[at : at + 4 * capacity]
-                        rows.append((k, piece, at // 4, len(bit) // 4, zlib.crc32(bit)))
-                k, piece, start, length, crc = (np.asarray(x) for x in zip(*rows, strict=True))
+            for part, ids, offsets in encoded(batch, "text", tokenizer, end_id):
+                values = memoryview(ids).cast("B")
+                length = np.diff(offsets)
+                pieces = -(-length // capacity)
+                k = np.repeat(np.arange(len(length)), pieces)
+                piece = np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                size = np.minimum(length[k] - start, capacity)
+                at = 4 * (offsets[:-1][k] + start)
+                crc = [zlib.crc32(values[a:b]) for a, b in zip(at.tolist(), (at + 4 * size).tolist(), strict=True)]
                 take = pa.array(k)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row_id").take(take),
                         part.column("doc_id").take(take),
                         pa.array(piece, pa.int32()),
-                        *(pa.array(x, pa.int64()) for x in (start, length, crc)),
+                        *(pa.array(x, pa.int64()) for x in (start, size, crc)),
                     ],
                     names=["row_id", "doc_id", "piece", "start", "length", "ids_crc32"],
                 )

@@ -29,17 +29,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import new_path
-from .tokens import encoder, slices
+from .tokens import encoded
 
 SCHEMA = "doc_id long, part_no int, local_start long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-PARTITION_BYTES = 16 << 20  # of input text for each file, about
+PARTITION_BYTES = 32 << 20  # of input text for each file, about
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None) -> None:
-    """Encode ``docs(doc_id, text)`` whole and write the files. Texts are shuffled once, by range."""
-    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partition_bytes: int = PARTITION_BYTES) -> None:
+    """Encode ``docs(doc_id, text)`` whole and write the files, as many as ``partition_bytes`` of text for each
+    give. Texts are shuffled once, by range."""
+    n = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // partition_bytes))
     order = [F.col("doc_id"), F.col("tie")]
     ranged = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
@@ -51,19 +52,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partit
     def encode(batches):
         start = 0
         for batch in batches:
-            for piece in slices(batch, "text"):
-                ids = encoder(tokenizer).encode(piece.column("text").to_pylist())
-                end = np.asarray([end_id], dtype="<u4").tobytes()
-                values = np.frombuffer(end.join([*ids, b""]), dtype="<i4")
-                counts = np.asarray([len(x) // 4 + 1 for x in ids], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(counts)])
+            for piece, ids, offsets in encoded(batch, "text", tokenizer, end_id):
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"),
                         piece.column("part_no"),
                         pa.array(start + offsets[:-1]),
-                        pa.array(counts),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
+                        pa.array(np.diff(offsets)),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4"))),
                     ],
                     names=["doc_id", "part_no", "local_start", "n_tokens", "ids"],
                 )
@@ -90,7 +86,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def with_starts(files: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """Add ``start``: the ids of all documents before the row's own.
 
-    A row for each file is gathered and broadcast: 16 bytes for every ``PARTITION_BYTES`` of text or so.
+    A row for each file is gathered and broadcast: 16 bytes for every ``PARTITION_BYTES`` of text.
     """
     totals = (metadata if metadata is not None else files).groupBy("part_no").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,8 +100,8 @@ def ids_crc32(files: DataFrame, *keep: str) -> DataFrame:
     def crc(batches):
         for batch in batches:
             ids = batch.column("ids")
-            values = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False))).cast("B")
-            offsets = ids.offsets.to_numpy() * 4
+            values = memoryview(ids.values.to_numpy(zero_copy_only=False)).cast("B")
+            offsets = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
             crcs = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(crcs, pa.int64())], names=[*keep, "ids_crc32"])
 

@@ -150,7 +150,7 @@ def test_fingerprints(spark):
     sentence = lambda: " ".join(rnd.choice(["alpha", "beto", "gamma", "delte", "zeta"]) + str(rnd.randint(0, 99)) + "a" for _ in range(5)) + rnd.choice(". ! ? ,".split())
     rows = [(k, rnd.choice([" ", "\n"]).join(sentence() for _ in range(rnd.randint(0, 40)))) for k in range(40)]
     rows += [(50, None), (51, ""), (52, rows[0][1]), (53, rows[0][1]), (54, "one line"), (55, "é\n" * 300), (56, "\n".join(f"p{k}" for k in range(3000)))]
-    got = {r.doc_id: r for r in fingerprints.fingerprints(fingerprints.with_next(docs(spark, rows))).withColumn("print", fingerprints.shown(F.col("own_sketch"))).collect()}
+    got = {r.doc_id: r for r in fingerprints.fingerprints(fingerprints.with_next(docs(spark, rows))).withColumn("print", fingerprints.shown(F.col("own"))).collect()}
     texts = [(i, t or "") for i, t in sorted(rows, reverse=True)]
     cut = re.compile(r"\n|(?<=[aeo][.!?]) ")
     like = lambda a, b: len(set(cut.split(a)) & set(cut.split(b))) / len(set(cut.split(a)) | set(cut.split(b)))
@@ -178,6 +178,33 @@ def test_fingerprints_cut_at_every_sentence_end_and_in_long_pieces(spark):
     assert 20 < len(sorted(pieces)[0].p) < 120
 
 
+def test_likeness_follows_from_the_two_strings(spark):
+    """Lengths differ, tables grow: whatever the texts, the published strings give the columns back."""
+    rnd = random.Random(17)
+    line = lambda: f"line {rnd.randint(0, 60 if rnd.random() < 0.5 else 10**6)}"
+    rows = [(k, "\n".join(line() for _ in range(rnd.choice([1, 3, 6, 9, 15, 40, 90, 400])))) for k in range(60)] + [(70, None)]
+    f = fingerprints
+    made = f.fingerprints(f.with_next(docs(spark, rows))).select("*", *(f.shown(F.col(c)).alias(f"{c}_text") for c in ("own", "edit", "after")))
+    again = storage.materialize(made.select("near_edited", "near_next", "own_text", "edit_text", "after_text"), "t")
+    like = lambda c: f.likeness(f.parse(F.col("own_text")), f.parse(F.col(c)))
+    got = again.select("*", like("edit_text").alias("x"), like("after_text").alias("y")).collect()
+    assert all((r.near_edited, r.near_next) == (r.x, r.y) for r in got)
+    assert any("/" in r.own_text for r in got) and len({r.own_text.count(";") for r in got}) > 4
+
+
+def test_differences_of_fingerprints_are_exact(spark):
+    rnd = random.Random(23)
+    rows = []
+    for n, m, shared in [(1, 1, 0), (1, 1, 1), (3, 4, 2), (20, 20, 18), (20, 20, 0), (100, 7, 3), (7, 100, 7), (300, 300, 290), (64, 65, 1)]:
+        pool = rnd.sample(range(10**6), n + m - shared)
+        rows.append(([f"p{x}" for x in pool[:n]], [f"p{x}" for x in pool[n - shared :]], n + m - 2 * shared))
+    f = fingerprints
+    found = spark.createDataFrame(rows, "a array<string>, b array<string>, want int")
+    found = found.select(f.sketch_of(F.array_join("a", "\n")).alias("a"), f.sketch_of(F.array_join("b", "\n")).alias("b"), "want")
+    for r in found.select(f.difference(F.col("a"), F.col("b")).alias("got"), "want", f.count(F.col("a")).alias("n")).collect():
+        assert r.got == r.want
+
+
 def test_one_document_is_its_own_next(spark):
     r = fingerprints.with_next(docs(spark, [(4, "abc")])).first()
     assert r.next_text == "abc"

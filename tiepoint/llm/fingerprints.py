@@ -2,13 +2,18 @@
 
 A text's distinct paragraphs are hashed: lines, cut also after every sentence in them (``.``, ``!`` or ``?``
 and a space). What is then still longer than ``LONG`` characters is cut after the words whose hash is a
-multiple of ``WORDS``; long pieces thus fall into the same parts wherever they stand. A sketch has cells
-``(count, xor of digests, xor of check hashes)``; each digest is in three of them. Sketches of two versions
-subtract cell by cell: what both hold cancels. Cells with a single
-digest left give it up (peeling), which frees others, until all cells are empty. If that fails, larger
-sketches are made of both texts: many sub-sketches, each for its share of the digest space, so that the
-sketch follows the texts and peeling stays local; a sub-sketch that fails is made again with twice the
-cells. What the last of ``LARGER`` can't peel is compared digest by digest.
+multiple of ``WORDS``; long pieces thus fall into the same parts wherever they stand. A digest carries its
+own check bits.
+
+A fingerprint deals the digests by their low bits over a power of two of small tables, ``SHARE`` digests each
+or so. A table has cells ``(count, xor of digests)``; each digest is in three of them. A table that can't be
+peeled by itself is kept in a larger form beside, so every fingerprint can be inverted.
+
+Two fingerprints are compared without their texts or digest lists. Halves of the tables add up to the
+tables for one bit less, down to a single one, so both are first brought to as many tables. These subtract
+cell by cell: what both versions hold cancels. The single table is peeled first (a cell with one digest
+left gives it up, which frees others); where that fails, the two it consists of, and so on: the work follows
+the difference. What can't be peeled in the smallest common tables is inverted in both fingerprints.
 
 Cases: null text is empty; an empty text has one empty paragraph; equal texts have equal fingerprints and
 likeness 1; repeated paragraphs count once; a single document is its own next one; rows that share a
@@ -26,10 +31,10 @@ from .storage import table
 PARAGRAPH = r"\n|(?<=[.!?])\x20"
 LONG = 256  # characters; a longer piece without line or sentence ends is cut after some of its words
 WORDS = 16  # words in each of its parts, about
-PART = 5  # cells in each third of a base sketch
-DIGESTS = 5  # digests of both texts for each sub-sketch, about
-LARGER = (5, 10, 20)  # cells in each third of a sub-sketch, one try after another
-ROUNDS = 10
+PART = 5  # cells in each third of a table
+SHARE = 5  # digests in a table, about
+LARGER = ((10, 1), (20, 2), (20, 3), (20, 4), (20, 5))  # cells in each third and salt, for what PART can't hold
+CHECK_BITS = 20
 BUCKETS = 4  # ranges of documents for each shuffle partition
 
 
@@ -49,148 +54,190 @@ def paragraphs(text: Column) -> Column:
     return F.flatten(F.transform(pieces, lambda p: F.when(F.char_length(p) > LONG, _parts(p)).otherwise(F.array(p))))
 
 
+def _check(body: Column) -> Column:
+    return F.xxhash64(body).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
+
+
 def digests(text: Column) -> Column:
-    """Sorted distinct 64-bit digests of the text's paragraphs."""
-    return F.array_sort(F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p))))
+    """Sorted distinct 64-bit digests of the text's paragraphs: a hash, and ``CHECK_BITS`` that follow from it."""
+    key = lambda p: let(F.shiftrightunsigned(F.xxhash64(p), CHECK_BITS), lambda body: F.shiftleft(body, CHECK_BITS).bitwiseOR(_check(body)))
+    return F.array_sort(F.array_distinct(F.transform(paragraphs(text), key)))
+
+
+CELL = "struct<n:int,key:bigint>"
+
+
+def _shift_left(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by)
+
+
+def _places(key: Column, part: Column, salt: Column) -> Column:
+    """One cell in each third of a table, as bits of a number."""
+
+    def bits(g: Column) -> Column:
+        a, b, c = (_shift_left(F.lit(1).cast("long"), F.pmod(F.shiftright(g, 20 * t), part).cast("int") + part * t) for t in range(3))
+        return a.bitwiseOR(b).bitwiseOR(c)
+
+    return let(F.xxhash64(key, salt), bits)
+
 
+def _entries(keys: Column, part: Column, salt: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(1).alias("n"), k.alias("key"), _places(k, part, salt).alias("places")))
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(1))
 
+def _cell(n: Column, key: Column) -> Column:
+    return F.struct(n.alias("n"), key.alias("key"))
 
-def _places(key: Column, part: int) -> Column:
-    """One cell in each third of the sketch, as bits of a number."""
-    places = [F.pmod(F.shiftright(key, 20 * t + 2), F.lit(part)).cast("int") + t * part for t in range(3)]
-    a, b, c = (F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in places)
-    return a.bitwiseOR(b).bitwiseOR(c)
+
+def _add(x: Column, y: Column, sign: int = 1) -> Column:
+    return _cell(x["n"] + y["n"] * sign, x["key"].bitwiseXOR(y["key"]))
 
 
 def _in(e: Column, cell: Column) -> Column:
     return F.getbit(e["places"], cell) == F.lit(1).cast("byte")
 
 
-def _entry(n: Column, key: Column, chk: Column, part: int) -> Column:
-    return F.struct(n.alias("n"), key.alias("key"), chk.alias("chk"), _places(key, part).alias("places"))
+def _cells(entries: Column, part: Column) -> Column:
+    zero = _cell(F.lit(0), F.lit(0).cast("long"))
+    return F.transform(F.sequence(F.lit(0), part * 3 - 1), lambda j: F.aggregate(entries, zero, lambda s, e: F.when(_in(e, j), _add(s, e)).otherwise(s)))
 
 
-def _entries(keys: Column, part: int, sign: int) -> Column:
-    return F.transform(keys, lambda k: _entry(F.lit(sign), k, _check(k), part))
+def peel(cells: Column, part: Column, salt: Column) -> Column:
+    """The digests ``(n, key)`` that a table or a difference holds; null if cells stay that can't be peeled.
 
+    Every digest that is taken out leaves a cell empty for good, so there are no more rounds than cells.
+    """
 
-def _zero() -> Column:
-    return F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("chk"))
+    def is_pure(c: Column) -> Column:
+        return (F.abs(c["n"]) == 1) & (c["key"].bitwiseAND(F.lit((1 << CHECK_BITS) - 1)) == _check(F.shiftrightunsigned(c["key"], CHECK_BITS)))
 
+    def round_(s: Column, _: Column) -> Column:
+        def remove(found: Column) -> Column:
+            left = F.transform(s["cells"], lambda c, j: F.aggregate(found, c, lambda x, e: F.when(_in(e, j), _add(x, e, -1)).otherwise(x)))
+            return F.struct(left.alias("cells"), F.concat(s["found"], F.transform(found, lambda e: _cell(e["n"], e["key"]))).alias("found"), (F.size(found) == 0).alias("done"))
 
-def _add(cell: Column, e: Column, sign: int = 1) -> Column:
-    return F.struct(
-        (cell["n"] + e["n"] * sign).alias("n"), cell["key"].bitwiseXOR(e["key"]).alias("key"), cell["chk"].bitwiseXOR(e["chk"]).alias("chk")
-    )
+        pure = F.array_distinct(F.filter(s["cells"], is_pure))
+        placed = F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"), _places(c["key"], part, salt).alias("places")))
+        return F.when(s["done"], s).otherwise(let(placed, remove))
 
+    start = F.struct(cells.alias("cells"), F.expr(f"cast(array() as array<{CELL}>)").alias("found"), F.lit(False).alias("done"))
+    end = lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0)), s["found"])
+    return F.aggregate(F.sequence(F.lit(1), part * 3), start, round_, end)
 
-def _cells(entries: Column, part: int) -> Column:
-    def cell(j: Column) -> Column:
-        return F.aggregate(
-            entries, _zero(), lambda s, e: F.when(_in(e, j), _add(s, e)).otherwise(s)
-        )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * part - 1)), cell)
+def _bits(n: Column) -> Column:
+    """The power of two of tables for ``n`` digests."""
+    return F.ceil(F.log2(F.greatest(F.lit(1.0), n / SHARE))).cast("int")
 
 
-def sketch(keys: Column, part: int = PART) -> Column:
-    return let(_entries(keys, part, 1), lambda e: _cells(e, part))
+def sketch(keys: Column) -> Column:
+    """The fingerprint: an array of ``(cells, part, salt, larger)``, one for each value of the digests' low bits.
 
+    ``larger`` is the table of ``part`` and ``salt`` that peels where ``cells`` doesn't; else it is empty.
+    Digests are dealt in two steps, so that the work doesn't grow with the square of a text's length.
+    """
+    none = F.expr(f"cast(array() as array<{CELL}>)")
+    base = (F.lit(PART), F.lit(0))
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _add(x, y, -1))
+    def larger(own: Column) -> Column:
+        tries = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(s).alias("salt")) for p, s in LARGER))
 
+        def next_(s: Column, t: Column) -> Column:
+            made = let(_cells(_entries(F.transform(own, lambda e: e["key"]), t["part"], t["salt"]), t["part"]), lambda c: F.struct(t["part"].alias("part"), t["salt"].alias("salt"), c.alias("larger"), peel(c, t["part"], t["salt"]).isNotNull().alias("done")))
+            return F.when(s["done"], s).otherwise(made)
 
-def peel(cells: Column, part: int) -> Column:
-    """How many digests a difference sketch holds; null if cells stay that can't be peeled."""
+        return F.aggregate(tries, F.struct(F.lit(0).alias("part"), F.lit(0).alias("salt"), none.alias("larger"), F.lit(False).alias("done")), next_)
 
-    def is_pure(c: Column) -> Column:
-        return (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"]))
+    def table_of(own: Column) -> Column:
+        plain = lambda c: F.struct(c.alias("cells"), F.lit(PART).alias("part"), F.lit(0).alias("salt"), none.alias("larger"))
+        grown = lambda c: let(larger(own), lambda x: F.struct(c.alias("cells"), x["part"].alias("part"), x["salt"].alias("salt"), x["larger"].alias("larger")))
+        # a single digest always peels
+        return let(_cells(own, F.lit(PART)), lambda c: F.when((F.size(own) <= 1) | peel(c, *base).isNotNull(), plain(c)).otherwise(grown(c)))
 
-    def is_empty(c: Column) -> Column:
-        return (c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0)
+    def dealt(entries: Column, bits: Column) -> Column:
+        low = F.floor(bits / 2).cast("int")
+        number = lambda e: F.shiftright(e["key"], CHECK_BITS).bitwiseAND(_shift_left(F.lit(1).cast("long"), bits) - 1)
+        upto = lambda b: F.sequence(F.lit(0), _shift_left(F.lit(1), b) - 1)
+        tagged = F.transform(entries, lambda e: e.withField("i", number(e)))
+        high_of = lambda e: F.call_function("shiftright", e["i"], low)
+        low_of = lambda e: e["i"].bitwiseAND(_shift_left(F.lit(1).cast("long"), low) - 1)
+        groups = lambda all_: F.transform(upto(bits - low), lambda h: let(F.filter(all_, lambda e: high_of(e) == h), lambda own: F.transform(upto(low), lambda k: F.filter(own, lambda e: low_of(e) == k))))
+        return F.flatten(let(tagged, groups))
 
-    def round_(s: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(s["cells"], is_pure), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"), c["chk"].alias("chk"))))
+    lists = let(_entries(keys, *base), lambda entries: F.when(F.size(keys) <= SHARE, F.array(F.transform(entries, lambda e: e.withField("i", F.lit(0).cast("long"))))).otherwise(dealt(entries, _bits(F.size(keys)))))
+    return F.transform(lists, table_of)
 
-        def placed(c: Column) -> Column:
-            return _entry(c["n"], c["key"], c["chk"], part)
 
-        def remove(found: Column) -> Column:
-            left = F.transform(
-                s["cells"],
-                lambda c, j: F.aggregate(
-                    found, F.struct(c["n"].alias("n"), c["key"].alias("key"), c["chk"].alias("chk")),
-                    lambda x, e: F.when(_in(e, j), _add(x, e, -1)).otherwise(x),
-                ),
-            )
-            return F.struct(left.alias("cells"), (s["found"] + F.size(found)).alias("found"), (F.size(found) == 0).alias("done"))
+def _fold(tables: Column) -> Column:
+    """The tables for one low bit less."""
+    half = (F.size(tables) / 2).cast("int")
+    return F.zip_with(F.slice(tables, F.lit(1), half), F.slice(tables, half + 1, half), lambda x, y: F.zip_with(x, y, lambda c, d: _add(c, d)))
 
-        return F.when(s["done"], s).otherwise(let(F.transform(pure, placed), remove))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("done"))
-    end = lambda s: F.when(F.forall(s["cells"], is_empty), s["found"])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, end)
+def _times(n: Column) -> Column:
+    return F.slice(F.sequence(F.lit(1), F.lit(40)), F.lit(1), n)
 
 
-def _larger(a: Column, b: Column) -> Column:
-    """Size of the difference by sub-sketches of ``DIGESTS`` digests or so; those that can't be peeled grow.
+def _inverted(sketch_: Column, i: Column, width: Column) -> Column:
+    """All digests of a fingerprint whose low bits, ``width`` values of them, are ``i``."""
+    tables = F.transform(F.sequence(i, F.size(sketch_) - 1, width), lambda k: F.get(sketch_, k))
+    keys = lambda t: F.transform(peel(F.when(F.size(t["larger"]) > 0, t["larger"]).otherwise(t["cells"]), t["part"], t["salt"]), lambda e: e["key"])
+    return F.flatten(F.transform(tables, keys))
 
-    The digests are dealt in two steps, each over the square root of the number of sub-sketches, so that the
-    work doesn't grow with the square of a text's length.
-    """
-    first, *others = LARGER
 
-    def again(entries: Column, part: int) -> Column:
-        placed = F.transform(entries, lambda e: _entry(e["n"], e["key"], e["chk"], part))
-        return peel(let(placed, lambda x: _cells(x, part)), part)
+def difference(a: Column, b: Column) -> Column:
+    """How many digests are in one of two fingerprints only."""
+    width = F.least(F.size(a), F.size(b))
+    brought = lambda x: F.aggregate(_times((F.log2(F.size(x)) - F.log2(width)).cast("int")), F.transform(x, lambda t: t["cells"]), lambda s, _: _fold(s))
+    less = F.zip_with(brought(a), brought(b), lambda x, y: F.zip_with(x, y, lambda c, d: _add(c, d, -1)))
+    levels = F.aggregate(_times(F.log2(width).cast("int")), F.array(less), lambda s, _: F.concat(F.array(_fold(F.get(s, F.lit(0)))), s))
 
-    def exact(entries: Column) -> Column:
-        mine = lambda sign: F.transform(F.filter(entries, lambda e: e["n"] == sign), lambda e: e["key"])
-        return let(F.struct(mine(1).alias("a"), mine(-1).alias("b")), lambda y: F.size(F.array_except(y["a"], y["b"])) + F.size(F.array_except(y["b"], y["a"])))
+    def step(s: Column, level: Column) -> Column:
+        w = F.size(level)
+        halves = lambda i: F.array(i, i + (w / 2).cast("int"))
+        pending = F.when(w == 1, s["failed"]).otherwise(F.flatten(F.transform(s["failed"], halves)))
+        tried = F.transform(pending, lambda i: F.struct(i.alias("i"), F.size(peel(F.get(level, i), F.lit(PART), F.lit(0))).alias("n")))
+        failed = lambda t: F.transform(F.filter(t, lambda x: x["n"].isNull()), lambda x: x["i"])
+        return let(tried, lambda t: F.struct(failed(t).alias("failed"), F.aggregate(t, s["found"], lambda n, x: n + F.coalesce(x["n"], F.lit(0))).alias("found")))
 
-    def found(entries: Column) -> Column:
-        tries = F.coalesce(peel(_cells(entries, first), first), *(again(entries, part) for part in others), exact(entries))
-        return F.when(F.size(entries) == 0, 0).otherwise(tries)
+    def rest(s: Column) -> Column:
+        both = lambda i: let(F.struct(_inverted(a, i, width).alias("a"), _inverted(b, i, width).alias("b")), lambda y: F.size(F.array_except(y["a"], y["b"])) + F.size(F.array_except(y["b"], y["a"])))
+        return F.aggregate(s["failed"], s["found"], lambda n, i: n + both(i))
 
-    def dealt(keys: Column, sign: int, side: Column) -> Column:
-        return F.transform(
-            _entries(keys, first, sign),
-            lambda e: e.withField("i", F.pmod(e["key"], side).cast("int")).withField("j", F.pmod(F.shiftright(e["key"], 24), side).cast("int")),
-        )
+    return F.aggregate(levels, F.struct(F.array(F.lit(0)).alias("failed"), F.lit(0).alias("found")), step, rest)
 
-    def sizes(side: Column) -> Column:
-        numbers = F.sequence(F.lit(0), side - 1)
 
-        def group(entries: Column, i: Column) -> Column:
-            share = lambda own: F.transform(numbers, lambda j: let(F.filter(own, lambda e: e["j"] == j), found))
-            return let(F.filter(entries, lambda e: e["i"] == i), share)
+def count(sketch_: Column) -> Column:
+    """How many digests a fingerprint holds: each is in three cells."""
+    return F.aggregate(sketch_, F.lit(0), lambda s, t: s + F.aggregate(t["cells"], F.lit(0), lambda x, c: x + c["n"])) / 3
 
-        whole = F.concat(dealt(a, 1, side), dealt(b, -1, side))
-        return let(whole, lambda entries: F.flatten(F.transform(numbers, lambda i: group(entries, i))))
 
-    side = F.greatest(F.lit(1), F.round(F.sqrt((F.size(a) + F.size(b)) / DIGESTS))).cast("int")
-    return F.aggregate(let(side, sizes), F.lit(0), lambda s, n: s + n)
+def likeness(a: Column, b: Column) -> Column:
+    """Shared digests by all digests of two fingerprints, from the size of their difference."""
+    n = count(a) + count(b)
+    return let(difference(a, b), lambda d: (n - d) / (n + d))
 
 
-def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """How many digests are in one of the sets only."""
-    small = F.when(F.abs(F.size(a) - F.size(b)) < 3 * PART, peel(subtract(sketch_a, sketch_b), PART))
-    return F.coalesce(small, _larger(a, b))
+def shown(sketch_: Column) -> Column:
+    """A fingerprint as a string; ``parse`` takes it back. Empty cells are empty between their dashes."""
+    cells = lambda x: F.array_join(F.transform(x, lambda c: F.when((c["n"] == 0) & (c["key"] == 0), "").otherwise(F.concat_ws(".", c["n"].cast("string"), F.hex(c["key"])))), "-")
+    table_ = lambda t: F.when(F.size(t["larger"]) == 0, cells(t["cells"])).otherwise(F.concat_ws("/", cells(t["cells"]), t["part"], t["salt"], cells(t["larger"])))
+    return F.array_join(F.transform(sketch_, table_), ";")
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Shared digests by all digests of both, from the size of the difference."""
-    n = F.size(a) + F.size(b)
-    return let(difference(a, b, sketch_a, sketch_b), lambda d: (n - d) / (n + d))
+def parse(fingerprint: Column) -> Column:
+    """The fingerprint that ``shown`` has written."""
+    cell = lambda c: let(F.split(c, "[.]", -1), lambda x: F.when(c == "", _cell(F.lit(0), F.lit(0).cast("long"))).otherwise(_cell(F.get(x, F.lit(0)).try_cast("int"), F.conv(F.get(x, F.lit(1)), 16, -10).try_cast("long"))))
+    cells = lambda text: F.transform(F.split(text, "-", -1), cell)
+    none = F.expr(f"cast(array() as array<{CELL}>)")
 
+    def table_(text: Column) -> Column:
+        return let(F.split(text, "/", -1), lambda x: F.struct(
+            cells(F.get(x, F.lit(0))).alias("cells"), F.coalesce(F.get(x, F.lit(1)).cast("int"), F.lit(PART)).alias("part"), F.coalesce(F.get(x, F.lit(2)).cast("int"), F.lit(0)).alias("salt"),
+            F.when(F.size(x) == 1, none).otherwise(cells(F.get(x, F.lit(3)))).alias("larger"),
+        ))
 
-def shown(cells: Column) -> Column:
-    """A sketch as a string: each cell's count and digests in hexadecimal."""
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(".", c["n"].cast("string"), F.hex(c["key"]))), "-")
+    return F.transform(F.split(fingerprint, ";", -1), table_)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -229,26 +276,25 @@ def edited_text(text: Column, following: Column) -> Column:
 
 
 def fingerprints(pairs: DataFrame) -> DataFrame:
-    """From ``(doc_id, text, next_text)``: digests, sketches and likenesses of each text, its edit and the next."""
+    """From ``(doc_id, text, next_text)``: fingerprints of each text, its edit and the next, and the likenesses to both."""
     pairs = pairs.withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     pairs = pairs.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"),
-        digests(F.col("edited")).alias("edit"),
-        digests(F.col("next_text")).alias("after"),
+        *(sketch_of(F.col(c)).alias(n) for n, c in (("own", "text"), ("edit", "edited"), ("after", "next_text"))),
     )
-    for name in ("own", "edit", "after"):
-        pairs = pairs.withColumn(f"{name}_sketch", sketch(F.col(name)))
-    like = lambda other: likeness(F.col("own"), F.col(other), F.col("own_sketch"), F.col(f"{other}_sketch"))
-    return pairs.withColumns({"near_edited": like("edit"), "near_next": like("after")})
+    return pairs.withColumns({"near_edited": likeness(F.col("own"), F.col("edit")), "near_next": likeness(F.col("own"), F.col("after"))})
+
+
+def sketch_of(text: Column) -> Column:
+    return let(digests(text), sketch)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints(with_next(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select(
         "doc_id", "n_chars", "edited_sha256",
-        shown(F.col("own_sketch")).alias("fingerprint"), shown(F.col("edit_sketch")).alias("edited_fingerprint"),
+        shown(F.col("own")).alias("fingerprint"), shown(F.col("edit")).alias("edited_fingerprint"),
         "near_edited", "near_next",
     )

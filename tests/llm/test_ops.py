@@ -375,15 +375,14 @@ def lines_brute(rows):
     return sorted((i, "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 10 or first[key(x)] == i)) for i, t in rows)
 
 
-@pytest.mark.parametrize("salts", [512, 3])
-def test_lines_equal_brute_force(spark, monkeypatch, salts):
-    """With few salts many lines count as heavy."""
-    monkeypatch.setattr(lines, "SALTS", salts)
+@pytest.mark.parametrize("ranges", [None, 1, 23])
+def test_lines_equal_brute_force(spark, ranges):
+    """With many ranges most lines' hashes go over several."""
     rnd = random.Random(6)
     pool = [f"{rnd.choice(['', ' ', chr(9)])}{rnd.choice(['Some', 'some', 'É'])} line of text {rnd.randint(0, 9)}{rnd.choice(['', ' '])}" for _ in range(40)] + ["short", "", "          "]
     rows = [(k * 3 % 101, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 9)))) for k in range(90)] + [(200, None), (201, "common line here\n" * 130), (202, "Common Line Here")]
     df = docs(spark, rows)
-    got = lines.apply_bitmaps(df, lines.keep_bitmaps(df)).collect()
+    got = lines.apply_bitmaps(df, lines.keep_bitmaps(df, ranges=ranges)).collect()
     assert sorted((r.doc_id, r.text or "") for r in got) == lines_brute(rows)
     for r in got:
         text = dict(rows)[r.doc_id] or ""
@@ -392,6 +391,18 @@ def test_lines_equal_brute_force(spark, monkeypatch, salts):
     assert lines.drop_repeated_lines(df).columns == df.columns
 
 
+def test_very_common_lines_fill_many_ranges(spark):
+    """300 lines that all documents hold: no range has more than its share of them."""
+    rows = [(k, "\n".join(f"a very common line {j}" for j in range(300))) for k in range(60)]
+    df = docs(spark, rows)
+    hashed = storage.materialize(lines.line_hashes(df), "t")
+    first = lines.first_documents(hashed, 40)
+    assert [tuple(r) for r in first.select("first_doc").distinct().collect()] == [(0,)]
+    assert first.count() == 18_000
+    got = lines.apply_bitmaps(df, lines.keep_bitmaps(df, ranges=40)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(0, rows[0][1])] + [(k, "") for k in range(1, 60)]
+
+
 def test_lines_of_rows_with_one_id_and_null_ids(spark):
     rows = [(1, "the same line\nx"), (1, "the same line\nx"), (1, "y\nthe same line"), (None, "another line!"), (2, "another line!\nthe same line")]
     got = lines.drop_repeated_lines(docs(spark, rows)).collect()

@@ -1,13 +1,11 @@
 """Line de-duplication with DataFrame functions only.
 
-Line hashes are range partitioned and sorted by document and position within each hash; the stream of
-each hash yields its first document, and what later documents repeat becomes a keep bitmap for each
-document: 64 lines a word, words in which every line stays left out. Texts aren't shuffled for that; they
-meet their bitmaps once, at the end.
-
-A hash that very many documents hold would be one long stream. The heaviest hashes, found by a bounded
-top-k sketch over all lines, are therefore dealt over ``SALTS`` streams, and their first documents come
-from a pre-aggregated minimum of at most ``HEAVY`` rows.
+Line hashes are range partitioned and sorted by hash, document and position. The ranges follow the document
+too, so a hash that very many documents hold is spread over as many ranges as its lines fill. In each range
+a stream over the sorted lines yields the first document of every hash; a hash that reached a range from
+earlier ones takes its first document from there, as each range hands on the one hash that it ends with.
+What later documents repeat becomes a keep bitmap for each document: 64 lines a word, words in which every
+line stays left out. Texts aren't shuffled for that; they meet their bitmaps once, at the end.
 
 Cases: null or empty text is one empty line; a line whose key is shorter than ``min_chars`` always stays;
 a null ``doc_id`` counts as smaller than all others; rows that share a ``doc_id`` are one document for the
@@ -27,7 +25,7 @@ from .storage import materialize, table
 
 SPACE = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]
 MIN_CHARS = 10
-HEAVY, TRACKED, SALTS = 64, 10_000, 512
+LINES = 1_000_000  # of a range at most, about
 
 
 def line_key(line: Column) -> Column:
@@ -49,22 +47,32 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keyed.select("_ld_doc", "_ld_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def first_documents(lines: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``lines(_ld_doc, _ld_row, pos, h1, h2)``, a stored table, with ``first_doc``, the smallest document that holds the hash."""
+    n = ranges or max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
+    order = ["h1", "h2", "_ld_doc", "pos"]
+    ranged = lines.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged.sortWithinPartitions(*order), "line-ranges")
+    # a row for each range: the hash it ends with and the first document that it has for it
+    last = ranged.groupBy("range").agg(F.max(F.struct("h1", "h2")).alias("h"), F.min(F.struct("h1", "h2")).alias("g"))
+    ends = ranged.join(F.broadcast(last.select("range", "h.h1", "h.h2")), ["range", "h1", "h2"]).groupBy("range", "h1", "h2").agg(F.min("_ld_doc").alias("end_doc"))
+    before = Window.partitionBy("h1", "h2").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = last.select("range", "h.h1", "h.h2").join(ends, ["range", "h1", "h2"])
+    # a hash begins before a range if an earlier one ends with it; at most one hash of a range does
+    heads = last.select("range", "g.h1", "g.h2").withColumn("end_doc", F.lit(None).cast("long")).unionByName(firsts)
+    carried = heads.withColumn("earlier_doc", F.min("end_doc").over(before)).where("earlier_doc is not null").groupBy("range", "h1", "h2").agg(F.min("earlier_doc").alias("earlier_doc"))
+    stream = Window.partitionBy("range", "h1", "h2").orderBy("_ld_doc", "pos")
+    own = ranged.withColumn("own_doc", F.first("_ld_doc").over(stream))
+    return own.join(F.broadcast(carried), ["range", "h1", "h2"], "left").withColumn("first_doc", F.coalesce("earlier_doc", "own_doc")).drop("range", "own_doc", "earlier_doc")
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, ranges: int | None = None) -> DataFrame:
     """``(_ld_doc, _ld_row, n_dropped, bitmap)`` of the documents that lose lines.
 
     ``bitmap`` maps a word's number to its 64 bits; bit ``i`` set in word ``w`` drops line ``64 w + i``.
     """
     lines = materialize(line_hashes(docs, min_chars), "line-hashes")
-    top = lines.agg(F.expr(f"approx_top_k(h1, {HEAVY}, {TRACKED})").alias("top")).first()["top"]
-    heavy = [x["item"] for x in top or [] if x["count"] > SALTS]
-    is_heavy = F.col("h1").isin(heavy) if heavy else F.lit(False)
-    salted = lines.withColumn("salt", F.when(is_heavy, F.pmod(F.xxhash64("_ld_doc"), F.lit(SALTS))).otherwise(0).cast("int"))
-    stream = Window.partitionBy("h1", "h2", "salt").orderBy("_ld_doc", "pos")
-    ranged = salted.repartitionByRange("h1", "h2", "salt").withColumn("first_doc", F.first("_ld_doc").over(stream))
-    if heavy:
-        firsts = lines.where(is_heavy).groupBy("h1", "h2").agg(F.min("_ld_doc").alias("heavy_first"))
-        ranged = ranged.join(F.broadcast(firsts), ["h1", "h2"], "left").withColumn("first_doc", F.coalesce("heavy_first", "first_doc"))
-    dropped = ranged.where(F.col("_ld_doc") > F.col("first_doc"))
+    dropped = first_documents(lines, ranges).where(F.col("_ld_doc") > F.col("first_doc"))
     bit = F.expr("shiftleft(1L, cast(pos % 64 as int))")
     words = dropped.groupBy("_ld_doc", "_ld_row", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy("_ld_doc", "_ld_row").agg(

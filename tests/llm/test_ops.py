@@ -350,6 +350,44 @@ def test_secret_spans(spark):
     assert not {len(ODD) + 8, len(ODD) + 9} & set(found)  # a path of words, a UUID
 
 
+def added_brute(text):
+    """Windows judged one by one, joined where they overlap; then the allow-list."""
+    import math
+
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        own = m[0]
+        for pattern, length in secrets.MASKED:
+            own = re.sub(pattern, "0" * length, own)
+        spans = []
+        for k in range(len(own) - secrets.WINDOW + 1):
+            w = own[k : k + secrets.WINDOW]
+            bits = -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+            least = 3.0 if re.fullmatch("[0-9a-fA-F]+", w) else 3.7 if re.fullmatch("[0-9A-Za-z]+", w) else 3.8
+            if bits >= least - 1e-9:
+                if spans and k <= spans[-1][1]:
+                    spans[-1][1] = k + len(w)
+                else:
+                    spans.append([k, k + len(w)])
+        out += [(m.start() + a, m.start() + b) for a, b in spans if not any(re.search(rule, m[0][a:b]) for rule in secrets.ALLOWED)]
+    return ",".join(f"entropy:{a}:{b}" for a, b in out)
+
+
+def test_added_spans_equal_brute_force(spark):
+    rnd = random.Random(41)
+    word = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    texts = [*ODD, "https://x.org/example/9aF3kLm2Qz7Rt5Vw8Yb1Nc4", "key " + word(36, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), "/usr/share/quick_brown/documentation/Jumps/OverLazyDogs"]
+    texts += ["550e8400-e29b-41d4-a716-446655440000/550e8400-e29b-41d4-a716-446655440001", "token_example_" + "1234567" * 5, word(40, "0123456789"), "é " + word(30, "0123456789abcdef") + "==" + " ü " + word(25, secrets.ALPHABET)]
+    for _ in range(60):
+        parts = [word(rnd.randint(5, 40), rnd.choice(["abcdef0123456789", "abcdefghijkl", secrets.ALPHABET, "01", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])) for _ in range(rnd.randint(1, 6))]
+        texts.append(rnd.choice(["", " ", "/", "-example-"]).join(parts))
+    got = {r.doc_id: r.t for r in secrets.scan(docs(spark, list(enumerate(texts)))).withColumn("t", secrets.spans_text(F.col("added"))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == added_brute(t or ""), t
+    url, key, path, ids = (got[len(ODD) + k] for k in range(4))
+    assert url and key == "entropy:4:40" and not path and not ids
+
+
 def test_window_entropy(spark):
     import math
 

@@ -1,9 +1,11 @@
 """Secret scans with DataFrame functions only.
 
-Three patterns give the base spans. The method adds spans: candidate strings (runs of token characters)
-are slid over by a window whose Shannon entropy is kept up by incremental counts; a candidate is reported
-where a window reaches its character class's threshold and no allow-list rule covers it. Base spans are
-never suppressed.
+Three patterns give the base spans. The method adds spans: a window slides over candidate strings (runs of
+token characters); its Shannon entropy and the classes of its characters are kept up by incremental counts,
+and windows that reach the threshold of their own class are joined to spans where they overlap. The
+allow-list judges windows and spans, never the whole candidate: known placeholders and UUIDs are blanked
+before the window passes, so that only what stands beside them counts, and spans that are plain numbers or
+words go. Base spans are never suppressed.
 
 Positions are code points, end exclusive. They come from the pieces between matches: a text split by a
 pattern and the pattern's matches alternate, so running sums of both lengths are the starts.
@@ -16,11 +18,14 @@ results of ``scan``.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import let
 from .storage import table
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -33,16 +38,21 @@ HEX = "[0-9a-f]{32,}"  # same spans as [0-9a-f]+ with 32 characters or more
 WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
-# (class, every character of the candidate matches, bits that a window must reach)
-CLASSES = (("hex", "^[0-9a-fA-F]+$", 3.0), ("alnum", "^[0-9A-Za-z]+$", 3.7), ("base64", "^[0-9A-Za-z+/_=-]+$", 3.8))
-# Candidates that look random but aren't secrets: numbers, plain words or paths, UUIDs, placeholders, rules.
+HEX_CODES, ALNUM_CODES = 22, 62  # the first of the alphabet
+# bits that a window must reach by the class of its characters
+LEAST_HEX, LEAST_ALNUM, LEAST_BASE64 = 3.0, 3.7, 3.8
+# Looks random but isn't secret: (pattern, its length), blanked before the window passes ...
+_HEX = "[0-9a-fA-F]"
+MASKED = (
+    (f"(?<!{_HEX}){_HEX}{{8}}(-{_HEX}{{4}}){{3}}-{_HEX}{{12}}(?!{_HEX})", 36),
+    ("(?i)placeholder", 11), ("(?i)changeme", 8), ("(?i)example", 7), ("(?i)dummy", 5), ("(?i)xxxx", 4), ("0000000", 7), ("1234567", 7),
+)
+# ... and what a whole span may be: a number, or words and paths (lower-case, capitalized or upper-case; cut off at the ends).
 ALLOWED = (
     "^[0-9_=+/-]+$",
-    "^[A-Za-z_=+/-]+$",
-    "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    "(?i)(example|placeholder|changeme|dummy|xxxx|0000000|1234567)",
-    "(.)\\1{5}",
+    "^[A-Za-z]?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[_=+/-]|(?<![A-Za-z])[A-Za-z](?![A-Za-z]))*[A-Za-z]?$",
 )
+_FIELD, _FIELDS = 5, 12  # bits of a count, counts in a number
 
 
 def _none() -> Column:
@@ -68,44 +78,84 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(_none())
 
 
-def window_entropy(string: Column, width: int = WINDOW) -> Column:
-    """The highest Shannon entropy (bits) of any ``width`` successive characters of ``ALPHABET``.
+def _slot(code: Column) -> tuple[Column, Column]:
+    return F.floor(code / _FIELDS).cast("int"), (code % _FIELDS * _FIELD).cast("int")
+
+
+def _count(counts: Column, code: Column) -> Column:
+    word, shift = _slot(code)
+    return F.call_function("shiftright", F.get(counts, word), shift).bitwiseAND(F.lit((1 << _FIELD) - 1)).cast("int")
+
+
+def _change(counts: Column, code: Column, by: int) -> Column:
+    word, shift = _slot(code)
+    return F.transform(counts, lambda x, k: F.when(k == word, x + F.call_function("shiftleft", F.lit(1).cast("long"), shift) * by).otherwise(x))
 
-    One character enters and one leaves at each step; only their two counts change, and with them the
-    sum of c log2 c. Strings shorter than ``width`` give 0.
+
+def windows(string: Column, width: int = WINDOW, least: Column | None = None) -> Column:
+    """``(bits, spans)``: the highest Shannon entropy of any ``width`` (below 32) successive characters of ``ALPHABET``,
+    and the joined windows ``(start, end)`` that reach ``least``, by default that of their class.
+
+    One character enters and one leaves at each step. Only their two counts change, packed in a few numbers,
+    and with them the sum of c log2 c and how many characters aren't hexadecimal or alphanumeric.
     """
     f = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)))
-    codes = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.lit(0.0).alias("best"),
-        F.expr("cast(array() as array<int>)").alias("held"),
-    )
+    span = "struct<start:int,end:int>"
+
+    def passed(codes: Column) -> Column:
+        start = F.struct(
+            F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // _FIELDS)).alias("counts"),
+            F.lit(0.0).alias("sum"), F.lit(0).alias("beyond_hex"), F.lit(0).alias("beyond_alnum"), F.lit(0.0).alias("best"),
+            F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.expr(f"cast(array() as array<{span}>)").alias("spans"),
+        )
+
+        def step(s: Column, i: Column) -> Column:
+            came, left = F.get(codes, i), F.when(i >= width, F.get(codes, i - width))
+            gone = left.isNotNull()
+            c_in, c_out = _count(s["counts"], came), _count(s["counts"], left)
+            total = s["sum"] + F.when(left.eqNullSafe(came), 0.0).otherwise(F.get(f, c_in + 1) - F.get(f, c_in) + F.when(gone, F.get(f, c_out - 1) - F.get(f, c_out)).otherwise(0.0))
+            grown = _change(s["counts"], came, 1)
+            beyond = lambda name, first: s[name] + (came >= first).cast("int") - F.coalesce((left >= first).cast("int"), F.lit(0))
+            return let(F.struct(
+                F.when(gone, _change(grown, left, -1)).otherwise(grown).alias("counts"), total.alias("sum"),
+                beyond("beyond_hex", HEX_CODES).alias("beyond_hex"), beyond("beyond_alnum", ALNUM_CODES).alias("beyond_alnum"),
+            ), lambda t: judged(s, t, i))
+
+        def judged(s: Column, t: Column, i: Column) -> Column:
+            bits = F.when(i >= width - 1, math.log2(width) - t["sum"] / width).otherwise(0.0)
+            own = least if least is not None else F.when(t["beyond_hex"] == 0, LEAST_HEX).when(t["beyond_alnum"] == 0, LEAST_ALNUM).otherwise(LEAST_BASE64)
+            hit = (i >= width - 1) & (bits >= own)
+            first = i - (width - 1)
+            joins = (s["start"] >= 0) & (first <= s["end"])
+            closed = F.concat(s["spans"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+            return F.struct(
+                t["counts"].alias("counts"), t["sum"].alias("sum"), t["beyond_hex"].alias("beyond_hex"), t["beyond_alnum"].alias("beyond_alnum"), F.greatest(s["best"], bits).alias("best"),
+                F.when(hit & ~joins, first).otherwise(s["start"]).alias("start"), F.when(hit, i + 1).otherwise(s["end"]).alias("end"),
+                F.when(hit & ~joins & (s["start"] >= 0), closed).otherwise(s["spans"]).alias("spans"),
+            )
+
+        last = lambda s: F.when(s["start"] < 0, s["spans"]).otherwise(F.concat(s["spans"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda s: F.struct(s["best"].alias("bits"), last(s).alias("spans")))
+
+    return let(F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), passed)
+
+
+def window_entropy(string: Column, width: int = WINDOW) -> Column:
+    """The highest entropy of a window; strings shorter than ``width`` give 0."""
+    return windows(string, width)["bits"]
 
-    def step(s: Column, code: Column) -> Column:
-        full = F.size(s["held"]) >= width
-        leaves = F.when(full, F.element_at(s["held"], 1)).otherwise(F.lit(-1))
-        held = F.concat(F.when(full, F.slice(s["held"], 2, width - 1)).otherwise(s["held"]), F.array(code))
-        c_in, c_out = F.get(s["counts"], code), F.coalesce(F.get(s["counts"], leaves), F.lit(1))
-        same = leaves == code
-        total = s["sum"] + F.when(same, 0.0).otherwise(F.get(f, c_in + 1) - F.get(f, c_in) + F.when(full, F.get(f, c_out - 1) - F.get(f, c_out)).otherwise(0.0))
-        counts = F.transform(s["counts"], lambda c, k: c + (k == code).cast("int") - (k == leaves).cast("int"))
-        bits = F.when(F.size(held) == width, math.log2(width) - total / width).otherwise(0.0)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(s["best"], bits).alias("best"), held.alias("held"))
 
-    return F.aggregate(codes, start, step, lambda s: s["best"])
+def random_spans(string: Column) -> Column:
+    """The spans ``(start, end)`` of a candidate that look random and that the allow-list doesn't cover."""
+    masked = string
+    for pattern, length in MASKED:
+        masked = F.regexp_replace(masked, pattern, "0" * length)
 
+    def kept(x: Column) -> Column:
+        own = F.substring(string, x["start"] + 1, x["end"] - x["start"])
+        return ~functools.reduce(operator.or_, (own.rlike(rule) for rule in ALLOWED))
 
-def is_random(string: Column) -> Column:
-    """Whether a candidate reaches its class's entropy and no allow-list rule covers it."""
-    allowed = F.lit(False)
-    for rule in ALLOWED:
-        allowed = allowed | string.rlike(rule)
-    least = F.lit(None).cast("double")
-    for _, pattern, bits in reversed(CLASSES):
-        least = F.when(string.rlike(pattern), bits).otherwise(least)
-    return F.when(allowed, False).otherwise(window_entropy(string) >= least)
+    return F.filter(windows(masked)["spans"], kept)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -115,7 +165,10 @@ def scan(docs: DataFrame) -> DataFrame:
     assign = _spans(text, ASSIGN, 0, lambda i: F.char_length(F.get(values, i)) >= ASSIGN_VALUE)
     found = docs.withColumn("base", F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
     strings = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    return found.withColumn("added", _spans(text, CANDIDATE, 3, lambda i: is_random(F.get(strings, i))))
+    placed = F.zip_with(_spans(text, CANDIDATE, 3), strings, lambda at, string: F.transform(
+        random_spans(string), lambda x: F.struct((at["start"] + x["start"]).alias("start"), F.lit(3).alias("kind"), (at["start"] + x["end"]).alias("end"))
+    ))
+    return found.withColumn("added", F.when(text.rlike(CANDIDATE), F.flatten(placed)).otherwise(_none()))
 
 
 def spans_text(spans: Column) -> Column:

@@ -488,15 +488,31 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in rows if i not in {a for a, _ in want})
 
 
-def test_index_gives_every_item_within_the_radius():
+def test_index_gives_every_item_within_the_radius_and_few_others():
     rnd = np.random.default_rng(3)
-    items = decontaminate.Items(list(range(30)), [" ".join(f"a{k}b{j}" for j in range(20)) for k in range(30)])
+    items = decontaminate.Items(list(range(300)), [" ".join(f"a{k}b{j}" for j in range(20)) for k in range(300)])
+    every = np.arange(300)
     for _ in range(300):
-        k = int(rnd.integers(30))
+        k = int(rnd.integers(300))
         bits = np.unpackbits(items.prints[k])
         bits[rnd.choice(decontaminate.BITS, decontaminate.RADIUS, replace=False)] ^= 1
-        probe = np.packbits(bits)
-        assert any(items.index[b][probe[b]][k] for b in range(decontaminate.BITS // 8))
+        assert k in items.near(np.packbits(bits)[None], every)[1]
+    others = np.packbits(rnd.integers(0, 2, (400, decontaminate.BITS)).astype(np.uint8), axis=1)
+    assert len(items.near(others, every)[0]) < 0.05 * 400 * 300
+
+
+def test_windows_at_the_threshold_lie_within_the_radius():
+    """The measured distances of pairs at similarity 0.75 and a little above: none of 3000 is lost."""
+    rnd = np.random.default_rng(8)
+    far = []
+    for n in (14, 28, 70, 210):
+        for _ in range(750):
+            a = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = a.copy()
+            b[: n // 7] = rnd.integers(0, 1 << 63, n // 7, dtype=np.uint64)
+            x, y = (decontaminate._print(decontaminate._sums(s)[-1]) for s in (a, b))
+            far.append(int(np.bitwise_count(x ^ y).sum()))
+    assert 35 < np.mean(far) < 55 and max(far) <= decontaminate.RADIUS
 
 
 # ---- quality -------------------------------------------------------------------------------------

@@ -3,15 +3,20 @@
 Items and documents are words (ASCII letters lower-cased) in shingles of five. A document is compared with
 an item over every window of as many words as the item has (the whole document if it is shorter). Windows
 that share no shingle with any item have similarity 0 and aren't fingerprinted. The others get a SimHash of
-``BITS`` bits; item fingerprints are indexed by blocks of 8 bits, each under every value within
-``RADIUS // blocks`` flips, so that by the pigeonhole principle the index gives every item within ``RADIUS``
-of a window. What the index gives within that radius is compared exactly: the weighted Jaccard similarity
-of the shingles, a shingle's weight being how often it occurs.
+``BITS`` bits, which is looked up in a multi-index over ``BITS // 32`` blocks. Of two fingerprints within
+``RADIUS`` some block has at most ``FLIPS`` flips, and some byte of that block at most ``FLIPS // 4``; so the
+table of each byte (every value, the items near it) gives the items that a block may be near, and the
+block's own flips are counted for those alone. By the pigeonhole principle every item within ``RADIUS`` of a
+window is found, and few others: a random item passes with probability 0.028. What the index gives within
+the radius is compared exactly: the weighted Jaccard similarity of the shingles, a shingle's weight being how
+often it occurs.
 
-At similarity 0.75 about 17 % of the bits differ; the radius is over five standard deviations above that.
+At similarity 0.75 about 17 % of the bits differ, 44 with a standard deviation of 6; the radius lies 4.6 of
+those above. A longer or more similar window lies further inside.
 
-The items are a stated query set: they go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, and
-all documents are scanned for each block. Documents aren't shuffled.
+The items are a stated query set: they are broadcast to the tasks in blocks of at most ``BLOCK_BYTES`` of
+text, and all documents are scanned for each block; a worker builds a block's index itself (``BITS * 32``
+bytes an item). Documents aren't shuffled.
 
 Cases: null or empty texts on either side match nothing; items of fewer than five words match only
 documents that have the same words and no others; a null ``doc_id`` or ``item_id`` is kept; rows that
@@ -34,13 +39,14 @@ from .words import mix, windows, within, word_chunks
 
 SHINGLE = 5
 SIMILARITY = 0.75
-BITS, RADIUS = 128, 47
-BLOCK_BYTES = 4 << 20
+BITS, RADIUS = 256, 71
+FLIPS = RADIUS // (BITS // 32)  # in a block of 32 bits
+BLOCK_BYTES = 2 << 20
 
 MATCHES = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
-_BLOCKS = BITS // 8
-_NEAR = np.unpackbits(np.bitwise_xor.outer(np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8))[..., None], axis=-1).sum(-1) <= RADIUS // _BLOCKS
+_BYTES = BITS // 8
+_NEAR = np.bitwise_count(np.bitwise_xor.outer(np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8))) <= FLIPS // 4
 
 
 def _sums(shingles: np.ndarray) -> np.ndarray:
@@ -69,9 +75,9 @@ class Items:
         shingles = [_shingles(words[k]) for k in own]
         self.bags = [np.unique(s, return_counts=True) for s in shingles]
         prints = [_print(_sums(s)[-1]) for s in shingles]
-        self.prints = np.stack(prints) if prints else np.zeros((0, _BLOCKS), np.uint8)
-        # for each block and value: which items have a value within the flips there
-        self.index = np.stack([_NEAR[:, self.prints[:, b]] for b in range(_BLOCKS)])
+        self.prints = np.stack(prints) if prints else np.zeros((0, _BYTES), np.uint8)
+        # for each byte and value: which items have a value within the flips there
+        self.index = np.stack([_NEAR[:, self.prints[:, b]] for b in range(_BYTES)])
         flat = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(own)), [len(s) for s in shingles])
         order = np.argsort(flat, kind="stable")
@@ -85,6 +91,16 @@ class Items:
         place = np.minimum(np.searchsorted(self.shingle, shingles[at]), max(len(self.shingle) - 1, 0))
         return at[self.shingle[place] == shingles[at]] if len(self.shingle) else at[:0]
 
+    def near(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of ``prints`` and of ``items`` that some block brings together."""
+        found = np.zeros((len(prints), len(items)), dtype=bool)
+        for block in range(0, _BYTES, 4):
+            may = functools.reduce(operator.or_, (self.index[b][prints[:, b]][:, items] for b in range(block, block + 4))) & ~found
+            w, i = np.nonzero(may)
+            flips = np.bitwise_count(prints[w, block : block + 4] ^ self.prints[items[i], block : block + 4]).sum(axis=1)
+            found[w[flips <= FLIPS], i[flips <= FLIPS]] = True
+        return np.nonzero(found)
+
     def match(self, words: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int]]:
         """``(item, similarity, start, words)`` of one document, its best window for each item."""
         shingles = _shingles(words)
@@ -104,8 +120,7 @@ class Items:
             starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             prints = _print(sums[starts - lo + inner] - sums[starts - lo])
             sized = np.flatnonzero(self.size == size)
-            near = functools.reduce(operator.or_, (self.index[b][prints[:, b]][:, sized] for b in range(_BLOCKS)))
-            w, i = np.nonzero(near)
+            w, i = self.near(prints, sized)
             far = np.bitwise_count(prints[w] ^ self.prints[sized[i]]).sum(axis=1)
             close = far <= RADIUS
             for w_, i_ in zip(w[close], sized[i[close]], strict=True):
@@ -123,8 +138,11 @@ def _similarity(window: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> float
     return shared / (len(window) + int(bag[1].sum()) - shared)
 
 
-def _scan(docs: DataFrame, items: Items) -> DataFrame:
+def _scan(docs: DataFrame, ids: list[int | None], texts: list[str]) -> DataFrame:
+    block = docs.sparkSession.sparkContext.broadcast((ids, texts))
+
     def run(batches):
+        items = Items(*block.value)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             rows = []
@@ -159,7 +177,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
     found = None
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        part = _scan(docs, Items([r["item_id"] for r in own], [r["text"] for r in own]))
+        part = _scan(docs, [r["item_id"] for r in own], [r["text"] for r in own])
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], MATCHES) if found is None else found
 

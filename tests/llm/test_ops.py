@@ -572,3 +572,168 @@ def test_branches_are_enumerated_and_ranked(spark):
     assert got[(1, 2, 4, 6, 7)] == (1, 2.0) and got[(20,)][0] == 2
     best = chat.format_paths(messages, chat.reply_paths(messages)).first()
     assert [t.text for t in spark.createDataFrame([(best.formatted,)], "f string").select(chat.parse(F.col("f")).alias("t")).first().t] == ["t1", "t2", "t4", "t6", "t7"]
+
+
+def test_paths_of_deep_trees_equal_brute_force(spark):
+    rnd = random.Random(19)
+    rows, parents = [], {}
+    for conv in (1, 2, None):
+        nodes = rnd.sample(range(1000), 70)
+        for k, n in enumerate(nodes):
+            p = None if k == 0 else nodes[k - 1] if rnd.random() < 0.85 else rnd.choice([*nodes[:k], 5000])
+            parents[conv, n] = p if p != 5000 else None
+            rows.append((conv, n, p, "user", f"t{n}", float(rnd.randint(0, 8))))
+    rows += [(3, 1, 2, "user", "on a cycle", 9.0), (3, 2, 1, "user", "on a cycle", 9.0), (3, 3, 2, "user", "below one", 9.0), (3, 4, None, None, None, None)]
+    parents |= {(3, 4): None}
+    score = {(c, n): s or 0.0 for c, n, _, _, _, s in rows}
+    want = {}
+    for c, n in parents:
+        if (c, n) in set(parents) and not any(p == n and c2 == c for (c2, _), p in parents.items()):
+            path = [n]
+            while (p := parents[c, path[0]]) is not None:
+                path.insert(0, p)
+            want[c, tuple(path)] = sum(score[c, x] for x in path) / len(path)
+    messages = storage.materialize(spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double"), "m")
+    got = chat.reply_paths(messages, None).collect()
+    assert {(r.conv_id, tuple(r.path)): r.score for r in got} == pytest.approx(want)
+    assert max(len(p) for _, p in want) > 20
+    for r in chat.reply_paths(messages).collect():
+        best = max((s, -p[-1]) for (c, p), s in want.items() if c == r.conv_id)
+        assert (r["rank"], r.score, -r.path[-1]) == (1, pytest.approx(best[0]), best[1])
+
+
+# ---- the registered queries ----------------------------------------------------------------------
+
+SF = "/root/testdata/sf0.001"
+
+
+def table_rows(name, *columns):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF}/{name}.parquet").select(columns)
+    return [tuple(r[c] for c in columns) for r in t.to_pylist()]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_op1_query(spark):
+    whole, want = Tokenizer.from_file(PATH), []
+    for i, t in table_rows("documents", "doc_id", "text"):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+        want += [(i, k, 2048 * k, len(ids[2048 * k : 2048 * k + 2048]), crc(ids[2048 * k : 2048 * k + 2048])) for k in range(-(-len(ids) // 2048))]
+    got = packing.op1(spark, SF).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        assert [o for o, _ in sorted(own)] == list(np.cumsum([0] + [n for _, n in sorted(own)])[:-1]) and sum(n for _, n in own) <= 2048
+    assert len(by) <= -(-sum(w[3] for w in want) // 2048) + 1
+
+
+def test_op2_query(spark):
+    rows = sorted(((i, t or "") for i, t in table_rows("documents", "doc_id", "text")), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.op2(spark, SF).collect()}
+    prints = {}
+    for k, (i, t) in enumerate(rows):
+        after, n = rows[(k + 1) % len(rows)][1], len(t) // 3
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), sha(t[: len(t) - n] + after[:n]))
+        assert prints.setdefault(t, got[i].fingerprint) == got[i].fingerprint and 0 <= got[i].near_edited <= 1
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_op3_query(spark):
+    whole, at = Tokenizer.from_file(PATH), 0
+    got = {r.doc_id: r for r in token_files.op3(spark, SF).collect()}
+    for i, t in sorted(table_rows("documents", "doc_id", "text")):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+    assert len(got) == len(table_rows("documents", "doc_id"))
+
+
+def test_op4_query(spark):
+    assert sorted(tuple(r) for r in neardup.op4(spark, SF).collect()) == near_brute(table_rows("documents", "doc_id", "text"))
+
+
+def test_op5_query(spark):
+    kinds = [(re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), (re.compile("AKIA[A-Z0-9]+"), 0, 16), (re.compile("[0-9a-f]+"), 0, 32)]
+    got = {r.doc_id: r for r in secrets.op5(spark, SF).collect()}
+    for i, t in table_rows("documents", "doc_id", "text"):
+        t = t or ""
+        base = [[(m.start(), k, m.end()) for m in p.finditer(t) if len(m[g]) >= n] for k, (p, g, n) in enumerate(kinds)]
+        show = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        added = [(int(x.split(":")[1]), 3, int(x.split(":")[2])) for x in added_brute(t).split(",") if x]
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256) == (*map(len, base), sha(show(sum(base, []))))
+        assert got[i].spans == show(sum(base, []) + added)
+
+
+def test_op6_query(spark):
+    by = {-1: [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]}
+    for c, n, r, t in table_rows("conversations", "conv_id", "turn", "role", "text"):
+        by.setdefault(c, []).append((n, r or "", t or ""))
+    got = {r.conv_id: r for r in chat.op6(spark, SF).collect()}
+    assert set(got) == set(by)
+
+    def esc(t):
+        t = t.replace("\\", "\\\\")
+        for mark in chat.CONTROL:
+            t = t.replace(mark, mark[0] + "\\" + mark[1:])
+        return t
+
+    for c, turns in by.items():
+        own = [(r, t) for _, r, t in sorted(turns)]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), sha("".join(f"{r}\n{t}\n" for r, t in own)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+        assert got[c].formatted_chars == sum(len(f"<|{esc(r)}|>\n{esc(t)}</s>\n") for r, t in own)
+
+
+def test_op7_query(spark):
+    quality_of = {i: q for i, q in table_rows("labels", "doc_id", "quality")}
+    got = quality.op7(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, in table_rows("documents", "doc_id"))
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+    held = [r for r in got if r.held_out and quality_of.get(r.doc_id) is not None]
+    assert held and sum(r.predicted == quality_of[r.doc_id] for r in held) >= 0.8 * len(held)
+
+
+def test_op8_query(spark):
+    from collections import Counter
+
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    split = lambda t: WORD.findall((t or "").translate(LOWER))
+    items = [(j, split(u), bag(split(u))) for j, u in table_rows("benchmark", "item_id", "text")]
+    want = set()
+    for i, t in table_rows("documents", "doc_id", "text"):
+        w = split(t)
+        own = set(bag(w))
+        for j, v, b in items:
+            if len(own & set(b)) >= 0.75 * len(b) * 0.5:
+                n = min(len(v), len(w))
+                for k in range(len(w) - n + 1):
+                    x = bag(w[k : k + n])
+                    if sum((x & b).values()) >= 0.75 * sum((x | b).values()):
+                        want.add((i, j))
+                        break
+    assert {(r.doc_id, r.item_id) for r in decontaminate.op8(spark, SF).collect()} == want
+
+
+def test_op9_query(spark):
+    rows = [(i, t) for i, t in table_rows("documents", "doc_id", "text")]
+    got = {r.doc_id: r for r in lines.op9(spark, SF).collect()}
+    texts = dict(rows)
+    for i, kept in lines_brute(rows):
+        n = len((texts[i] or "").split("\n"))
+        assert (got[i].n_lines, got[i].kept_sha256) == (n, sha(kept))
+
+
+def test_op10_query(spark):
+    from tests.llm.test_substrings import brute
+    from tiepoint.llm import substrings
+
+    got = sorted(tuple(r) for r in substrings.op10(spark, SF).collect())
+    assert got == sorted((i, n, gone, sha(text)) for i, n, gone, text in brute(table_rows("documents", "doc_id", "text")))

@@ -1,9 +1,10 @@
 """Chat formatting of reply trees with DataFrame functions.
 
-Messages form trees: each has a parent in its conversation or none. Runs of messages without a branch are
-contracted first (one window over each conversation), so that the iterative self-joins that extend paths
-from roots to leaves take as many rounds as a tree has branchings in a row, not as many as it has turns.
-Paths are ranked by their messages' mean score and the best ones are formatted.
+Messages form trees: each has a parent in its conversation or none. Iterative self-joins double the distance
+at which every message knows an ancestor, and add up scores on the way, until all reach their roots: a
+logarithmic number of rounds, whatever the branching, with rows of constant width. Leaves then stand for
+root-to-leaf paths; they are ranked by their messages' mean score, and only the chosen ones are enumerated,
+by joining with the doubled distances in falling order. No conversation is gathered before it is formatted.
 
 Template: ``<|role|>``, a line end, the text, ``</s>`` and a line end for each message. Control strings
 inside roles and texts get a backslash behind their first character, and backslashes are doubled; taking
@@ -45,34 +46,36 @@ def linear(conversations: DataFrame) -> DataFrame:
 
 
 def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
-    """``(conv_id, path, rank, score)``: the ``best`` root-to-leaf paths of each conversation (all if None)."""
-    own = messages.select(F.struct("conv_id").alias("conv"), "node", "parent", "score")
-    tree = own.alias("m").join(own.select("conv", F.col("node").alias("parent_node")).alias("p"), (F.col("m.conv") == F.col("p.conv")) & (F.col("m.parent") == F.col("p.parent_node")), "left")
-    tree = tree.select("m.conv", "node", F.col("parent_node").alias("parent"), "score")
-    order = Window.partitionBy("conv").orderBy("node")
-    siblings = Window.partitionBy("conv", "parent")
-    head = F.col("parent").isNull() | ~F.col("parent").eqNullSafe(F.lag("node").over(order)) | (F.count("*").over(siblings) > 1)
-    runs = tree.withColumn("head", head).withColumn("run", F.sum(F.col("head").cast("int")).over(order))
-    runs = runs.groupBy("conv", "run").agg(
-        F.min_by("parent", "node").alias("parent"), F.max("node").alias("last"),
-        F.sort_array(F.collect_list("node")).alias("nodes"), F.sum("score").alias("total"),
-    )
-    runs = materialize(runs, "runs")
-    leaf = runs.select("conv", F.col("parent").alias("last")).distinct()
-    inner = runs.join(leaf.withColumn("inner", F.lit(True)), ["conv", "last"], "left")
-    steps = materialize(inner.select("conv", F.col("parent").alias("at"), F.col("last").alias("next"), F.col("nodes").alias("more"), F.col("total").alias("gain"), F.coalesce("inner", F.lit(False)).alias("inner")), "steps")
-    paths = materialize(steps.where("at is null").select("conv", F.col("next").alias("at"), F.col("more").alias("path"), F.col("gain").alias("total"), "inner"), "paths")
-    done = paths.where("not inner")
-    while paths.where("inner").limit(1).count():
-        grown = paths.where("inner").drop("inner").join(steps, ["conv", "at"])
-        grown = grown.select("conv", F.col("next").alias("at"), F.concat("path", "more").alias("path"), (F.col("total") + F.col("gain")).alias("total"), "inner")
-        paths = materialize(grown, "paths")
-        done = done.unionByName(paths.where("not inner"))
-    ranked = done.withColumn("score", F.col("total") / F.size("path"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "path")))
+    """``(conv_id, path, rank, score)``: the ``best`` root-to-leaf paths (all if None) of ``messages``, a stored table
+    ``(conv_id, node, parent, role, text, score)``. Ties in score go to the smaller leaf."""
+    own = messages.select(F.struct("conv_id").alias("conv"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    above = own.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
+    linked = own.join(above, ["conv", "parent"], "left")
+    hop = linked.select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
+    hops = [materialize(hop, "hops")]
+    # a message that has an ancestor at a distance of as many messages as there are is on a cycle, or answers one
+    most = messages.count()
+    while 1 << (len(hops) - 1) <= most and hops[-1].where("up is not null").limit(1).count():
+        a, b = hops[-1].alias("a"), hops[-1].select("conv", F.col("node").alias("via"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("steps").alias("further")).alias("b")
+        met = a.join(b, (F.col("a.conv") == F.col("b.conv")) & (F.col("a.up") == F.col("via")), "left")
+        hops.append(materialize(met.select(
+            F.col("a.conv").alias("conv"), "node", F.col("far").alias("up"),
+            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
+        ), "hops"))
+    inner = hops[0].where("up is not null").select("conv", F.col("up").alias("node")).distinct()
+    leaves = hops[-1].where("up is null").join(inner, ["conv", "node"], "left_anti")
+    ranked = leaves.select("conv", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("score"), "steps")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf")))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    return ranked.select("conv.conv_id", "path", "rank", "score")
+    found = materialize(ranked.withColumns({"at": F.col("leaf"), "place": F.col("steps")}), "paths")
+    # every distance is a sum of powers of two in one way
+    for k in range(len(hops) - 1, -1, -1):
+        far = hops[k].where("up is not null").select("conv", F.col("node").alias("at"), "up")
+        step = found.join(far, ["conv", "at"]).withColumns({"at": F.col("up"), "place": F.col("place") - (1 << k)})
+        found = materialize(found.unionByName(step.select(*found.columns)), "paths")
+    paths = found.groupBy("conv", "leaf", "rank", "score").agg(F.sort_array(F.collect_list(F.struct("place", "at"))).alias("path"))
+    return paths.select("conv.conv_id", F.transform("path", lambda x: x["at"]).alias("path"), "rank", "score")
 
 
 def format_paths(messages: DataFrame, paths: DataFrame, trained: str = "assistant") -> DataFrame:
@@ -114,7 +117,7 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     messages = materialize(linear(rows), "messages")
     done = materialize(format_paths(messages, reply_paths(messages)), "formatted")

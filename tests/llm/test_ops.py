@@ -124,6 +124,21 @@ def test_local_search_beats_best_fit():
     assert sum(bool(b) for b in bins.items) == 3 <= before
 
 
+def test_long_sequences_find_the_same_pairs(monkeypatch):
+    rnd = random.Random(2)
+    lengths = [rnd.randint(1, 40) for _ in range(900)] + [rnd.randint(900, 1500) for _ in range(40)]
+    listed = packing.pack_group(np.asarray(lengths), 2048)
+    monkeypatch.setattr(packing, "LISTED", 0)
+    searched = packing.pack_group(np.asarray(lengths), 2048)
+    assert len(np.unique(listed[0])) == len(np.unique(searched[0])) == -(-sum(lengths) // 2048)
+    for _ in range(200):
+        own = sorted((rnd.randint(1, 30), k) for k in range(rnd.randint(0, 9)))
+        most = rnd.randint(0, 60)
+        want = max((x[0] + y[0] for i, x in enumerate(own) for y in own[i + 1 :] if x[0] + y[0] <= most), default=None)
+        found = packing._best_pair(own, most)
+        assert (found and found[0]) == want and (not found or found[1] != found[2])
+
+
 def test_pack_documents(spark, monkeypatch):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(k, "w " * (k % 97)) for k in range(20, 400)] + [(None, "x y"), (7, "dup"), (7, "dup")]
     whole = Tokenizer.from_file(PATH)

@@ -33,6 +33,7 @@ GROUP_PIECES = 8_000  # pieces packed together in one task, about
 UNDERFULL = 32  # sequences that miss over a 32nd of their tokens are packed again
 DONORS = 24  # of the least full sequences of a group, tried in turn when one is stuck
 STEPS = 4  # steps for each sequence of a group
+LISTED = 64  # pieces of a sequence whose pairs are listed and sorted at once; of longer ones each pair is searched for
 
 
 # ---- tokens to pieces ---------------------------------------------------------------------------
@@ -73,6 +74,20 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
 # ---- one group ----------------------------------------------------------------------------------
 
 
+def _best_pair(items: list[tuple[int, int]], most: int) -> tuple[int, tuple[int, int], tuple[int, int]] | None:
+    """Two of the ascending ``items`` whose lengths come closest to ``most`` from below."""
+    best, i, j = None, 0, len(items) - 1
+    while i < j:
+        both = items[i][0] + items[j][0]
+        if both > most:
+            j -= 1
+        else:
+            if best is None or both > best[0]:
+                best = (both, items[i], items[j])
+            i += 1
+    return best
+
+
 class Bins:
     """Sequences of one group: for each, the lengths in it (of single pieces or of merged sequences)."""
 
@@ -126,8 +141,15 @@ class Bins:
                 self.take(low, item)
                 self.put(b, item)
                 return True
-        pairs = [(x[0] + y[0], x, y) for i, x in enumerate(own) for y in own[i + 1 :]] if len(own) <= 64 else []
+        pairs = [(x[0] + y[0], x, y) for i, x in enumerate(own) for y in own[i + 1 :]] if len(own) <= LISTED else []
         pairs.sort()
+
+        def pair_within(most: int) -> tuple[int, tuple[int, int], tuple[int, int]] | None:
+            if len(own) > LISTED:
+                return _best_pair(own, most)
+            at = bisect.bisect_right(pairs, (most, (1 << 62,))) - 1
+            return pairs[at] if at >= 0 else None
+
         for gap, b in reversed(self.by_gap):
             if b == low or not gap:
                 continue
@@ -137,9 +159,9 @@ class Bins:
                 at = bisect.bisect_right(own, (out[0] + gap, 1 << 62)) - 1
                 if at >= 0 and (won := own[at][0] - out[0]) > 0 and (best is None or won > best[0]):
                     best = (won, [own[at]], [out])
-                at = bisect.bisect_right(pairs, (out[0] + gap, (1 << 62,))) - 1
-                if at >= 0 and (won := pairs[at][0] - out[0]) > 0 and (best is None or won > best[0]):
-                    best = (won, list(pairs[at][1:]), [out])
+                two = pair_within(out[0] + gap)
+                if two is not None and (won := two[0] - out[0]) > 0 and (best is None or won > best[0]):
+                    best = (won, [*two[1:]], [out])
             if best is None:
                 theirs = self.items[b]
                 for i, x in enumerate(theirs):
@@ -217,27 +239,31 @@ def _packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``pieces`` (unique ``unit``, ``length`` from 1 to ``capacity``).
 
-    ``pieces`` must be a stored table. Two rounds: the first packs groups dealt by hash; the pieces of its
-    sequences that stay well below full, a few for each group, are dealt anew and packed together. The
-    second round is kept where it needs fewer sequences.
+    ``pieces`` must be a stored table. The first round packs groups dealt by hash; each further one deals the
+    pieces of all sequences that stay well below full anew, a few for each group, and is kept where it needs
+    fewer sequences for them.
     """
+    spread = 10 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def deal(rows: DataFrame, groups: int, salt: int) -> DataFrame:
-        grp = F.pmod(F.xxhash64("unit", F.lit(salt)), F.lit(groups)).cast("long")
-        return rows.select("unit", "length", grp.alias("grp"))
+    def packed(rows: DataFrame, groups: int, salt: int, first: int) -> DataFrame:
+        grp = F.pmod(F.xxhash64("unit", F.lit(salt)), F.lit(groups)).cast("long") + F.lit(first)
+        # by a set number, as groups are small in bytes and long in time
+        dealt = rows.select("unit", "length", grp.alias("grp")).repartition(min(groups, spread), "grp")
+        return materialize(dealt.groupBy("grp").applyInPandas(_packer(capacity), "unit long, bin long, place long, fill long"), "packed")
 
-    schema = "unit long, bin long, place long, fill long"
+    used = lambda rows: rows.select("bin").distinct().count()
     short = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_pieces))
-    placed = materialize(deal(short, groups, 1).groupBy("grp").applyInPandas(_packer(capacity), schema), "packed")
-    if groups > 1:
-        underfull = F.col("fill") < capacity - capacity // UNDERFULL
+    placed, first, salt = packed(short, groups, 1, 0), groups, 1
+    underfull = F.col("fill") < capacity - capacity // UNDERFULL
+    while groups > 1:
         loose = short.join(placed.where(underfull).select("unit"), "unit", "left_semi")
-        regroups = max(1, -(-loose.count() // group_pieces))
-        again = deal(loose, regroups, 2).groupBy("grp").applyInPandas(_packer(capacity), schema)
-        again = materialize(again.withColumn("bin", F.col("bin") + F.lit(groups << 32)), "repacked")
-        if again.select("bin").distinct().count() < placed.where(underfull).select("bin").distinct().count():
-            placed = placed.where(~underfull).unionByName(again)
+        groups, salt = max(1, -(-loose.count() // group_pieces)), salt + 1
+        again = packed(loose, groups, salt, first)
+        first += groups
+        if used(again) >= used(placed.where(underfull)):
+            break
+        placed = materialize(placed.where(~underfull).unionByName(again), "packed")
     # full pieces are numbered below zero, the others from zero on: no number is used twice
     whole = pieces.where(F.col("length") >= capacity).select(
         *pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")

@@ -49,6 +49,13 @@ def test_one_batch_and_many_agree_with_brute_force(spark):
     assert run(spark, rows, batch_bytes=6_000, bucket_bytes=3_000) == want
 
 
+def test_no_table_stays_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = corpus(30, 2)
+    assert run(spark, rows, batch_bytes=6_000, bucket_bytes=3_000) == brute(rows)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_edges(spark):
     long = " ".join(f"v{k % 97}x{k}" for k in range(30_000))
     run13 = " ".join("abcdefghijklm")

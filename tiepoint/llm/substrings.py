@@ -29,12 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, table
+from .storage import materialize, new_path, table
 from .words import CHUNK, windows, within, word_chunks
 
 WINDOW = 13
 BATCH_BYTES = 8 << 20  # of text
 BUCKET_BYTES = 8 << 20  # of text for each bucket of the hash space
+MAX_BUCKETS = 50_000  # files of batches; beyond, a task handles several batches, one after another
 RESIDUE = 32  # bits of a block hash beside its bucket's number
 
 SENT = "bucket long, batch long, hashes binary, aligned binary"
@@ -230,6 +231,19 @@ def _cut(own: Batch, answers: pa.Table, window: int, block: int, bits: int) -> p
     })
 
 
+def _bucketed(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` stored in the shared folder in ``n`` buckets by ``batch``, so that grouping by it doesn't shuffle.
+
+    Only tables of the catalog can have buckets: the name is dropped once the files are known."""
+    spark = rows.sparkSession
+    name = f"tiepoint_batches_{uuid.uuid4().hex}"
+    try:
+        rows.write.bucketBy(n, "batch").option("path", new_path(spark, "batches")).saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def drop_repeats(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_removed, text)``: ``text`` holds the kept words, joined by one space."""
     spark = docs.sparkSession
@@ -238,14 +252,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // batch_bytes))
     bits = max(0, int(-(-size // bucket_bytes) - 1).bit_length())
-    name = f"tiepoint_batches_{uuid.uuid4().hex}"
-    (
-        rows.repartitionByRange(batches, F.col("doc_id").asc_nulls_first())
-        .withColumn("batch", F.spark_partition_id().cast("long"))
-        .write.bucketBy(min(batches, 50_000), "batch")
-        .saveAsTable(name)
-    )
-    stored = spark.table(name).groupBy("batch")
+    batched = rows.repartitionByRange(batches, F.col("doc_id").asc_nulls_first()).withColumn("batch", F.spark_partition_id().cast("long"))
+    stored = _bucketed(batched, min(batches, MAX_BUCKETS)).groupBy("batch")
 
     def first(key: tuple, rows: pa.Table) -> pa.Table:
         return _send_blocks(key[0].as_py(), Batch(rows), block, bits)

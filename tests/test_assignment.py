@@ -58,10 +58,37 @@ def test_diamond(spark):
     assert [r.assignment_overridden_nearest for r in rows] == [True, False, False, True]
 
 
-def test_too_large_a_component_is_an_error(spark):
-    pairs = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0), (2, 1, 2.0), (2, 2, 1.0)], "cap_oid long, auth_oid long, distance_m double")
-    with pytest.raises(ValueError, match="max_component_pairs"):
-        assignment.assign(pairs, keep, max_component_pairs=3)
+def test_a_large_component_is_solved_in_a_moment():
+    """A dense site: 3,000 points with several candidates each in one component."""
+    import time
+
+    rnd = random.Random(7)
+    at = [(rnd.random() * 100, rnd.random() * 100) for _ in range(3000)]
+    spots = {}
+    for k, (x, y) in enumerate((rnd.random() * 100, rnd.random() * 100) for _ in range(3000)):
+        spots.setdefault((int(x // 3), int(y // 3)), []).append((k, x, y))
+    pairs = []
+    for a, (x, y) in enumerate(at):
+        for i in range(int(x // 3) - 1, int(x // 3) + 2):
+            for j in range(int(y // 3) - 1, int(y // 3) + 2):
+                for b, u, v in spots.get((i, j), []):
+                    if (d := ((x - u) ** 2 + (y - v) ** 2) ** 0.5) < 2.2:
+                        pairs.append((a, b, round(d * 1e6)))
+    began = time.perf_counter()
+    found = assignment.solve(pairs)
+    took = time.perf_counter() - began
+    cost = {(a, b): c for a, b, c in pairs}
+    assert len(pairs) > 10_000 and len(set(found.values())) == len(found) and took < 10
+    # no left that stayed alone has a free right, and no pair of matched ones gains by an exchange
+    free = {b for _, b, _ in pairs} - set(found.values())
+    assert not [1 for a, b, _ in pairs if a not in found and b in free]
+    owner = {b: a for a, b in found.items()}
+    for a, b, c in pairs:
+        other = owner.get(b)
+        if a in found and other is not None and other != a and (other, found[a]) in cost:
+            assert cost[a, found[a]] + cost[other, b] <= c + cost[other, found[a]]
+        if a in found and b in free:
+            assert cost[a, found[a]] <= c
 
 
 def test_stars_and_the_rest_on_random_layouts(spark):

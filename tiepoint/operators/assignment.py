@@ -1,10 +1,10 @@
 """Globally optimal one-to-one assignment over candidate pairs: most matches first, then least total distance.
 
 Both parts of the objective add up over the connected components of the pairs, so components are solved
-apart. Stars (a record whose candidates have no other) are settled by one window. The others are labelled
+apart. Stars (a record whose candidates have no other) are settled by aggregates. The others are labelled
 by joins and dealt over tasks, whole components together; a small helper solves one component at a time
-on whole micrometres, by augmenting along shortest paths. A component is as large as the layout is dense;
-one beyond ``max_component_pairs`` is an error, never an approximation.
+on whole micrometres, one captured row after another along shortest paths. A component is as large as the
+layout is dense; its task holds about 200 bytes for each of its pairs.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import heapq
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import micrometres, nearest
@@ -25,64 +25,65 @@ MATCHED = "cap_oid bigint, auth_oid bigint, distance_m double"
 def solve(pairs: list[tuple[int, int, int]]) -> dict[int, int]:
     """Largest matching of least cost, ``left -> right``, of ``(left, right, cost)`` with costs from 0 on.
 
-    Each augmentation follows a shortest path in reduced costs, so after ``k`` of them the matching is the
-    cheapest of size ``k``; it ends when no path is left. Ties go to the lowest ids.
+    Every left may also stay alone, at a price above all costs together; so the cheapest way to place all
+    lefts is the largest matching, and of those the cheapest. Lefts are placed one by one: a shortest path in
+    reduced costs leads from the new one over placed ones to a free right or to one that now stays alone, and
+    prices are raised so that reduced costs stay non-negative. A search sees its own surroundings only.
     """
     edges: dict[int, list[tuple[int, int]]] = {}
     for left, right, cost in sorted(pairs):
         edges.setdefault(left, []).append((right, cost))
+    alone = sum(c for _, _, c in pairs) + 1
+    price = {b: 0 for _, b, _ in pairs}
+    rent: dict[int, int] = {}
     of_left: dict[int, int] = {}
     of_right: dict[int, int] = {}
-    cost_of = {(a, b): c for a, b, c in pairs}
-    height_left = dict.fromkeys(edges, 0)
-    height_right = {b: 0 for _, b, _ in pairs}
-    while True:
-        # reduced costs stay non-negative if free lefts start at their own height below the highest
-        free = [a for a in edges if a not in of_left]
-        top = max((height_left[a] for a in free), default=0)
-        dist = {a: top - height_left[a] for a in free}
-        heap = [(d, a) for a, d in dist.items()]
-        heapq.heapify(heap)
+    for start, own in edges.items():
+        rent[start] = min(c - price[b] for b, c in own)
         reach: dict[int, int] = {}
         back: dict[int, int] = {}
-        settled: set[int] = set()
-        end, best = None, None
-        while heap:
-            d, a = heapq.heappop(heap)
-            if a in settled or d > dist[a]:
-                continue
-            if best is not None and d >= best:
+        heap: list[tuple[int, int]] = []
+        settled: list[tuple[int, int]] = [(start, 0)]  # lefts and their distance
+        done: set[int] = set()  # rights whose distance is final
+        left, d = start, 0
+        best, end = alone - rent[start], None  # what it costs to leave one of the settled lefts alone, and which
+        last = start
+        while True:
+            for b, c in edges[left]:
+                if b not in done:
+                    new = d + c - rent[left] - price[b]
+                    if new < reach.get(b, new + 1):
+                        reach[b], back[b] = new, left
+                        heapq.heappush(heap, (new, b))
+            while heap and (heap[0][1] in done or heap[0][0] > reach[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] > best:
+                break
+            d, b = heapq.heappop(heap)
+            if b not in of_right:
+                best, end = d, b
                 break
-            settled.add(a)
-            for b, c in edges[a]:
-                if of_left.get(a) == b:
-                    continue
-                new = d + c + height_left[a] - height_right[b]
-                if new < reach.get(b, new + 1):
-                    reach[b], back[b] = new, a
-                    if b not in of_right:
-                        if best is None or (new, b) < (best, end):
-                            best, end = new, b
-                    elif new < dist.get(owner := of_right[b], new + 1):
-                        dist[owner] = new
-                        heapq.heappush(heap, (new, owner))
+            done.add(b)
+            left = of_right[b]
+            settled.append((left, d))
+            if d + alone - rent[left] < best:
+                best, last = d + alone - rent[left], left
+        for a, x in settled:
+            rent[a] += best - x
+        for b in done:
+            price[b] -= best - reach[b]
         if end is None:
-            return of_left
-        for a, d in dist.items():
-            if a in settled and d < best:
-                height_left[a] += d - best
-        for b, d in reach.items():
-            if d < best:
-                height_right[b] += d - best
-        b = end
+            if last == start:
+                continue  # nothing is gained by placing it
+            end = of_left.pop(last)
         while True:
-            a = back[b]
+            a = back[end]
             before = of_left.get(a)
-            of_left[a], of_right[b] = b, a
-            if before is None:
+            of_left[a], of_right[end] = end, a
+            if a == start:
                 break
-            b = before
-        assert all(cost_of[a, b] >= 0 for a, b in of_left.items())
+            end = before
+    return of_left
 
 
 def _solve_group(rows: pd.DataFrame) -> pd.DataFrame:
@@ -94,16 +95,12 @@ def _solve_group(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["cap_oid", "auth_oid", "distance_m"])
 
 
-def split_stars(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_stars(pairs: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The matches of all stars, and the pairs of what isn't a star."""
-    degrees = pairs.withColumns({
-        "cap_degree": F.count("*").over(Window.partitionBy("cap_oid")),
-        "auth_degree": F.count("*").over(Window.partitionBy("auth_oid")),
-    })
-    widest = degrees.withColumns({
-        "cap_lonely": F.max("auth_degree").over(Window.partitionBy("cap_oid")) == 1,
-        "auth_lonely": F.max("cap_degree").over(Window.partitionBy("auth_oid")) == 1,
-    })
+    degree = lambda side: pairs.groupBy(side).agg(F.count("*").alias(f"{side}_degree"))
+    degrees = checkpoint(pairs.join(degree("cap_oid"), "cap_oid").join(degree("auth_oid"), "auth_oid"))
+    lonely = lambda side, other: degrees.groupBy(side).agg((F.max(f"{other}_degree") == 1).alias(f"{side[:-4]}_lonely"))
+    widest = degrees.join(lonely("cap_oid", "auth_oid"), "cap_oid").join(lonely("auth_oid", "cap_oid"), "auth_oid")
     best = F.min_by(F.struct("cap_oid", "auth_oid", "distance_m"), F.struct("um", "cap_oid", "auth_oid")).alias("m")
     sized = widest.withColumn("um", micrometres(F.col("distance_m")))
     by_auth = sized.where("auth_lonely").groupBy("auth_oid").agg(best).select("m.*")
@@ -111,18 +108,15 @@ def split_stars(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_auth.unionByName(by_cap), sized.where("not cap_lonely and not auth_lonely").select("cap_oid", "auth_oid", "distance_m", "um")
 
 
-def assign(pairs: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], max_component_pairs: int = 2_000_000) -> DataFrame:
+def assign(pairs: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(cap_oid, auth_oid, distance_m)`` of the optimal assignment; ``pairs`` as from ``pairs_within``."""
     pairs = checkpoint(pairs.select("cap_oid", "auth_oid", "distance_m"))
-    stars, rest = split_stars(pairs)
+    stars, rest = split_stars(pairs, checkpoint)
     rest = checkpoint(rest)
     # captured ids are odd nodes, authoritative ids even ones
     edges = rest.select((F.col("cap_oid") * 2 + 1).alias("src"), (F.col("auth_oid") * 2).alias("dst"))
     labels = connected_components(edges, checkpoint)
     labelled = checkpoint(rest.join(labels, F.col("cap_oid") * 2 + 1 == F.col("node")).drop("node"))
-    largest = labelled.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_component_pairs:
-        raise ValueError(f"a component of {largest} candidate pairs is beyond max_component_pairs={max_component_pairs}; use a smaller threshold or match by type")
     parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = labelled.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts * 8)))
     solved = dealt.groupBy("part").applyInPandas(_solve_group, MATCHED)

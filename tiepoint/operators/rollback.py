@@ -26,9 +26,9 @@ def check_layer(report: DataFrame, snapshot: DataFrame, expected: str, force: bo
 
     for what, found in (("snapshot", layers(snapshot)), ("report", layers(report))):
         if found and found != [expected]:
-            raise LayerMismatch(f"refusing to roll back {expected!r}: the {what} was recorded for {', '.join(map(repr, found))}")
+            raise LayerMismatch(f"the {what} belongs to {', '.join(map(repr, found))}, so {expected!r} can't be undone with it")
     if not layers(snapshot) and not layers(report) and not force:
-        raise LayerMismatch(f"refusing to roll back {expected!r}: neither the snapshot nor the report has a recorded layer; force=True proceeds anyway")
+        raise LayerMismatch(f"snapshot and report don't name their layer; force=True takes them for {expected!r}")
 
 
 def rows_of(report: DataFrame, action: str) -> DataFrame:

@@ -18,6 +18,7 @@ from tiepoint.sources.artifacts import OUTCOME_COLUMNS, PLAN_COLUMNS
 from tiepoint.sources.layers import check_layer_pair, flatten, with_points, without_points
 
 Checkpoint = Callable[[DataFrame], DataFrame]
+Writer = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -88,11 +89,14 @@ class Applied:
 def apply(
     captured: DataFrame, authoritative: DataFrame, ledger: DataFrame, config: LayerConfig, run_ts: str, checkpoint: Checkpoint,
     source_attachments: DataFrame | None = None, target_attachments: DataFrame | None = None, unlisted: DataFrame | None = None,
+    writer: Writer | None = None,
 ) -> Applied:
     """Merge: snapshot first, then the layer, then attachments, report and ledger.
 
-    A table write is whole or not at all, so a write fails only where its record is missing. A row enters
-    the ledger only if its write and all its attachments succeeded; the others are retried by the next run.
+    A table write is whole or not at all. Where a service writes instead, ``writer`` takes the planned writes
+    ``(action_id, action, target_oid)`` and gives its results ``(action_id, object_id, global_id, success, error)``:
+    what failed or has no result isn't in the layer and is reported with its error. A row enters the ledger
+    only if its write and all its attachments succeeded; the others are retried by the next run.
     """
     plan = preview(captured, authoritative, ledger, config, checkpoint)
     updates, appends = checkpoint(plan.updates), checkpoint(plan.appends)
@@ -102,13 +106,19 @@ def apply(
     flat = flatten(authoritative)
     start = flat.agg(F.max("OBJECTID")).first()[0] or 0
     numbered = checkpoint(merge.allocate_ids(appends, "cap_oid", start))
-    layer = checkpoint(merge.append(merge.overlay(flat, updates), numbered.drop("candidates_json")))
-
     shared = ("cap_oid", "captured_global_id", "candidates_json")
     done = updates.select(*shared, F.lit("updated").alias("action"), F.col("auth_oid").alias("target_oid"), "distance_m", "assignment_overridden_nearest")
     done = done.unionByName(numbered.select(*shared, F.lit("appended").alias("action"), F.col("new_oid").alias("target_oid"), F.lit(None).cast("double").alias("distance_m"), F.lit(False).alias("assignment_overridden_nearest")))
-    there = layer.select(F.col("OBJECTID").alias("target_oid"), F.lit(True).alias("success"))
-    done = checkpoint(done.join(there, "target_oid", "left").withColumn("success", F.coalesce("success", F.lit(False))))
+    done = done.withColumn("action_id", F.concat_ws(":", "action", "cap_oid"))
+    if writer is None:
+        done = checkpoint(done.withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")}))
+    else:
+        done = checkpoint(merge.write_results(done, writer(done.select("action_id", "action", "target_oid"))).drop("result_oid"))
+        failed = checkpoint(done.where("not success").select("action", "target_oid"))
+        lost = lambda action: failed.where(F.col("action") == action).select("target_oid")
+        updates = updates.join(lost("updated"), F.col("auth_oid") == F.col("target_oid"), "left_anti")
+        numbered = numbered.join(lost("appended"), F.col("new_oid") == F.col("target_oid"), "left_anti")
+    layer = checkpoint(merge.append(merge.overlay(flat, updates), numbered.drop("candidates_json")))
 
     after = None
     enabled = config.copy_attachments and source_attachments is not None and target_attachments is not None
@@ -126,7 +136,6 @@ def apply(
     report = outcome.withColumns({
         "authoritative_oid": F.col("target_oid"),
         "threshold_m": F.lit(config.match_threshold_m),
-        "error": F.when(~F.col("success"), F.lit("feature not found")),
         "attachments_added": F.to_json(F.coalesce("attachments_added", F.array().cast("array<bigint>"))),
         "layer": F.lit(config.name),
     })
@@ -144,6 +153,7 @@ class RolledBack:
     ledger: DataFrame
     attachments: DataFrame | None
     verification: DataFrame | None
+    skipped: DataFrame  # (oid) of updated records that the snapshot lacks, left as they are
     audit: DataFrame
 
 
@@ -154,7 +164,8 @@ def roll_back(
     """Restore updated records, verify them, delete what was added, and clear the run's ledger rows."""
     undo.check_layer(report, snapshot, layer_name, force)
     before = live.count()
-    restores, _ = undo.plan_restores(report, snapshot)
+    restores, lacking = undo.plan_restores(report, snapshot)
+    lacking, unread = checkpoint(lacking), undo.unreadable(report).count()
     restored = checkpoint(undo.restore_results(live, restores))
     layer = checkpoint(undo.restore(live, restores))
     error = None
@@ -169,6 +180,10 @@ def roll_back(
     files, file_results = (None, None) if target_attachments is None else attachments.remove(target_attachments, gone_files)
     layer, deleted = undo.delete(layer, undo.rows_of(report, "appended"))
     layer, deleted = checkpoint(layer), checkpoint(deleted)
+    if files is not None:
+        # attachments go with their record
+        lost = deleted.where("success").select(F.col("oid").alias("parent_oid"))
+        files = checkpoint(files.join(lost, "parent_oid", "left_anti").select(*files.columns))
     after = layer.count()
     new_ledger, cleared = ledgers.clear(ledger, report)
     r = undo.counters(restored, "restore").first()
@@ -186,10 +201,11 @@ def roll_back(
         "expected_feature_count_after": before - d["delete_feature_success_count"],
         "restore_success_count": r["restore_success_count"], "restore_failure_count": r["restore_failure_count"],
         "delete_feature_success_count": d["delete_feature_success_count"], "delete_feature_failure_count": d["delete_feature_failure_count"],
+        "restore_skipped_count": lacking.count(), "unreadable_row_count": unread,
         "total_attachments_targeted": targeted, "total_attachments_removed": removed,
         "verify_success_count": verified, "verify_mismatch_count": mismatched, "verify_error": error,
         "ledger_cleared_count": cleared.count(),
     }
     kinds = {"layer": "string", "source": "string", "verify_error": "string"}
     audit = audit.withColumns({k: F.lit(v).cast(kinds.get(k, "bigint")) for k, v in values.items()})
-    return RolledBack(layer, new_ledger, files, verification, audit)
+    return RolledBack(layer, new_ledger, files, verification, lacking, audit)

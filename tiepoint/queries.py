@@ -61,8 +61,9 @@ def candidates_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap, auth = (layers.flatten(x) for x in fixtures.planted(spark, sf_dir))
     lists = candidates.candidate_lists(candidates.pairs_within(cap, auth, THRESHOLD_M))
     all_ = cap.select("OBJECTID").join(lists, F.col("OBJECTID") == F.col("cap_oid"), "left")
-    ids = F.array_join(F.transform("candidates", lambda x: x["OBJECTID"].cast("string")), ",")
-    return all_.select(F.col("OBJECTID").alias("cap_oid"), F.coalesce(ids, F.lit("")).alias("candidates"))
+    shown = lambda x: F.concat_ws("/", x["OBJECTID"].cast("string"), x["GlobalID"], F.format_string("%.2f", x["distance_m"]))
+    read = F.from_json(candidates.candidates_json(F.col("candidates")), "array<struct<OBJECTID:bigint,GlobalID:string,distance_m:double>>")
+    return all_.select(F.col("OBJECTID").alias("cap_oid"), F.array_join(F.transform(read, shown), ",").alias("candidates"))
 
 
 _DISTANCE = """
@@ -243,9 +244,10 @@ def attachment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attachment_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removing what half of the records were given; ids that aren't there fail."""
-    done, source, target = _copying(spark, sf_dir)
-    gone = target.select(F.col("parent_oid").alias("oid"), F.when(F.col("id") % 10 == 0, F.col("id") + 9).otherwise(F.col("id")).alias("id"))
+    """Removing all attachments; of every second record one id is wrong, which fails."""
+    _, target = fixtures.planted_attachments(spark, sf_dir)
+    wrong = (F.col("id") % 10 == 0) & (F.col("parent_oid") % 2 == 0)
+    gone = target.select(F.col("parent_oid").alias("oid"), F.when(wrong, F.col("id") + 9).otherwise(F.col("id")).alias("id"))
     _, results = attachments.remove(target, gone)
     return attachments.removal_flags(results)
 
@@ -261,6 +263,27 @@ def _rolled_back(spark: SparkSession, sf_dir: str) -> runs.RolledBack:
     return runs.roll_back(layers.unflatten(done.layer), report, done.snapshot, done.ledger, CONFIG.name, keep, done.attachments, source="customer")
 
 
+def attachments_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records' attachments after a merge and its rollback: those from before, none of a deleted record."""
+    return _rolled_back(spark, sf_dir).attachments.select("parent_oid", "id", "name")
+
+
+def skipped_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rollback with a snapshot that lacks every third record: what it can't restore."""
+    done = _applied(spark, sf_dir)
+    lacking = done.snapshot.where(F.col("oid") % 3 != 0)
+    back = runs.roll_back(layers.unflatten(done.layer), done.report, keep(lacking), done.ledger, CONFIG.name, keep, done.attachments)
+    count = back.audit.select("restore_skipped_count", "restore_success_count")
+    return back.skipped.join(F.broadcast(count))
+
+
+def audit_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollback's audit record, written and read back."""
+    path = new_path(spark, "audit")
+    artifacts.write_audit(_rolled_back(spark, sf_dir).audit, path)
+    return spark.read.json(path).select("layer", "source", "restore_success_count", "restore_skipped_count", "unreadable_row_count", "feature_count_matches_expected", F.size("restore_results").alias("n_restores"))
+
+
 def restored_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = layers.flatten(_rolled_back(spark, sf_dir).layer)
     return layer.select("OBJECTID", "GlobalID", "Notes", "Condition", "Segment", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
@@ -293,6 +316,74 @@ def verify_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- sources and sinks ---------------------------------------------------------------------------
+
+
+def pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted captured layer as JSON pages of 500 features, read back and checked."""
+    cap, _ = fixtures.planted(spark, sf_dir)
+    page = F.floor(F.col("attributes.OBJECTID") / 500).alias("page")
+    path = new_path(spark, "pages")
+    paged = cap.groupBy(page).agg(F.collect_list(F.struct("attributes", "geometry")).alias("features"))
+    paged.write.partitionBy("page").json(path, ignoreNullFields=False)
+    read = layers.read_pages(spark, path, cap.schema["attributes"].dataType)
+    layers.check_fields(read, ["OBJECTID", "GlobalID"])
+    layers.check_points(read)
+    layers.check_count(read, cap.count())
+    flat = layers.flatten(read)
+    return flat.select("OBJECTID", "GlobalID", "Notes", "Status", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ledger = _flat(spark, sf_dir)
+    path = new_path(spark, "ledger")
+    artifacts.write_ledger(ledger, path)
+    return artifacts.read_ledger(spark, path, CONFIG.name)
+
+
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot of a run under its run's directory, read back by that run."""
+    rows = _applied(spark, sf_dir).snapshot.drop("layer")
+    path = new_path(spark, "snapshots")
+    artifacts.write_snapshot(rows, path, CONFIG.name, "customer", "2024-01-01T00-00-00")
+    back = artifacts.read_snapshot(spark, path).where("run_ts = '2024-01-01T00-00-00'")
+    return back.select("oid", F.col("attributes.Notes").alias("notes"), "layer", "source")
+
+
+def ledger_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders as ledger entries of one captured id: the last one stays, new ones over old ones."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("layer"), F.col("o_custkey").cast("string").alias("captured_global_id"), F.lit("updated").alias("action"),
+        F.col("o_orderkey").cast("bigint").alias("authoritative_oid"), F.lit("0/0").alias("attachments_status"), F.col("o_orderdate").cast("date").cast("string").alias("run_time"),
+    )
+    late = F.col("authoritative_oid") % 4 == 0
+    return ledgers.upsert(orders.where(~late), orders.where(late)).select("captured_global_id", "authoritative_oid", "run_time")
+
+
+def write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge whose writer fails for every fifth record and has no result for every seventh."""
+    cap, auth = fixtures.planted(spark, sf_dir)
+
+    def writer(planned: DataFrame) -> DataFrame:
+        bad = F.col("target_oid") % 5 == 0
+        rows = planned.where((F.col("action") == "appended") | (F.col("target_oid") % 7 != 0))
+        bad = bad & (F.col("action") == "updated")
+        return rows.select("action_id", F.col("target_oid").alias("object_id"), F.lit("").alias("global_id"), (~bad).alias("success"), F.when(bad, "locked").alias("error"))
+
+    done = runs.apply(cap, auth, fixtures.planted_ledger(cap, auth), replace(CONFIG, copy_attachments=False), "2024-01-01T00:00:00", keep, writer=writer)
+    written = done.layer.where("Condition is not null").select(F.col("OBJECTID").alias("authoritative_oid"), F.lit(True).alias("in_layer"))
+    rows = done.report.join(written, "authoritative_oid", "left")
+    oid = F.when(F.col("action") == "updated", F.col("authoritative_oid")).alias("authoritative_oid")
+    return rows.select("captured_global_id", "action", oid, "success", "error", "ledgered", F.coalesce("in_layer", F.lit(False)).alias("in_layer"))
+
+
+def wkids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    code = F.struct(F.when(k % 3 == 0, 0).when(k % 3 == 1, 4326).alias("wkid"), F.when(k % 5 != 0, 3857).alias("latestWkid"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.struct(code.alias("spatialReference")).alias("geometry"))
+    return rows.select("c_custkey", values.wkid(F.col("geometry")).alias("wkid"))
+
+
 # ---- functions -----------------------------------------------------------------------------------
 
 
@@ -304,12 +395,12 @@ def reproject_3857(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reproject_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """There and back through zone 10 north."""
+    """Zone 10 north, and back."""
     cap, _ = fixtures.contention(spark, sf_dir)
     x, y = geo.reproject(F.col("lon"), F.col("lat"), 4326, 32610)
     lon, lat = geo.reproject(F.col("x"), F.col("y"), 32610, 4326)
     there = cap.select("OBJECTID", x.alias("x"), y.alias("y"))
-    return there.select("OBJECTID", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+    return there.select("OBJECTID", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
 def geodesic_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,7 +481,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pairs_within, pairs_within_typed, pairs_within_far, nearest, candidate_ranks, candidates_list, flattened, eligible_captured,
     skipped_no_geometry, unclaimed_auth, claimed_ids, point_counts, assign_star, assign_planted, assignment_totals, field_updates,
     append_rows, dry_run_report, run_summary, merged_layer, new_ids, snapshot_rows, outcome_report, ledger_after, second_run,
-    attachment_plan, attachment_status, attachment_removal, restored_layer, rollback_summary, ledger_cleared, verify_diff,
+    attachment_plan, attachment_status, attachment_removal, attachments_restored, skipped_restores, audit_record, pages_read, ledger_round_trip,
+    snapshot_round_trip, ledger_last_wins, write_outcomes, wkids, restored_layer, rollback_summary, ledger_cleared, verify_diff,
     reproject_3857, reproject_utm, geodesic_long, threshold_text, status_ok, attachment_names, blank_tests, parsed_ids, stream_ledger, stream_layer,
 )}
 
@@ -417,7 +509,7 @@ ORACLES: dict[str, str] = {
     "candidate_ranks": _PLANTED_PAIRS + """ SELECT cap_oid, CAST(row_number() OVER (PARTITION BY cap_oid ORDER BY round(d * 1e6), auth_oid) AS INTEGER) AS rank,
         auth_oid, round(d, 3) AS distance_m FROM pairs""",
     "candidates_list": _PLANTED_PAIRS + """ SELECT c.oid AS cap_oid, coalesce(l.ids, '') AS candidates FROM cap c LEFT JOIN (
-        SELECT cap_oid, string_agg(auth_oid, ',' ORDER BY round(d * 1e6), auth_oid) AS ids FROM pairs GROUP BY cap_oid) l ON l.cap_oid = c.oid""",
+        SELECT cap_oid, string_agg(auth_oid || '/' || gid || '/' || printf('%.2f', d), ',' ORDER BY round(d * 1e6), auth_oid) AS ids FROM pairs JOIN (SELECT oid, gid FROM auth) g ON g.oid = auth_oid GROUP BY cap_oid) l ON l.cap_oid = c.oid""",
     "flattened": _PLANTED + ' SELECT oid AS "OBJECTID", gid AS "GlobalID", notes AS "Notes", round(lon, 7) AS lon, round(lat, 7) AS lat FROM cap',
     "eligible_captured": _PLANTED + ' SELECT oid AS "OBJECTID", gid AS "GlobalID" FROM todo WHERE lon IS NOT NULL',
     "skipped_no_geometry": _PLANTED + " SELECT oid AS \"OBJECTID\", 'skipped_no_geometry' AS action FROM todo WHERE lon IS NULL",
@@ -450,7 +542,23 @@ ORACLES: dict[str, str] = {
     "attachment_plan": _PLANTED + "," + _SOURCE + " SELECT cap_oid, auth_oid AS target_oid, id, target_name FROM goal WHERE auth_oid IS NOT NULL AND target_name IS NOT NULL AND id % 2 = 1",
     "attachment_status": _PLANTED + "," + _SOURCE + """ SELECT oid AS cap_oid, coalesce(good, 0) || '/' || coalesce(total, 0) AS attachments_status, CAST(coalesce(odd, 0) AS INTEGER) AS n_added, coalesce(good, 0) = coalesce(total, 0) AS attachments_ok
         FROM won w LEFT JOIN (SELECT parent, count(*) AS total, count(name) AS good, count(name) FILTER (id % 2 = 1) AS odd FROM named GROUP BY parent) s ON s.parent = w.oid WHERE auth_oid IS NOT NULL""",
-    "attachment_removal": "SELECT DISTINCT CAST(l_orderkey // 10 + 1 AS BIGINT) AS oid, false AS success FROM lineitem",
+    "attachment_removal": "SELECT DISTINCT CAST(l_orderkey // 10 + 1 AS BIGINT) AS oid, (l_orderkey // 10 + 1) % 2 = 1 AS success FROM lineitem",
+    "attachments_restored": "WITH" + _SOURCE.split("), goal")[0] + """) SELECT parent AS parent_oid, parent * 10 + id AS id, 'c' || (parent - 1) || '_att' || id || '_' || name AS name FROM named WHERE id % 2 = 0 AND name IS NOT NULL
+        UNION ALL SELECT DISTINCT parent, parent * 10, 'Photo1.jpg' FROM named""",
+    "skipped_restores": _PLANTED + """ SELECT auth_oid AS oid, (SELECT count(*) FROM won WHERE auth_oid % 3 = 0) AS restore_skipped_count, (SELECT count(*) FROM won WHERE auth_oid % 3 <> 0) AS restore_success_count
+        FROM won WHERE auth_oid % 3 = 0""",
+    "audit_record": _PLANTED + """ SELECT 'planted' AS layer, 'customer' AS source, count(auth_oid) AS restore_success_count, 0::BIGINT AS restore_skipped_count, 0::BIGINT AS unreadable_row_count,
+        true AS feature_count_matches_expected, CAST(count(auth_oid) AS INTEGER) AS n_restores FROM won""",
+    "pages_read": _PLANTED + ' SELECT oid AS "OBJECTID", gid AS "GlobalID", notes AS "Notes", status AS "Status", round(lon, 7) AS lon, round(lat, 7) AS lat FROM cap',
+    "ledger_round_trip": _PLANTED + """ SELECT 'planted' AS layer, c.gid AS captured_global_id, CASE WHEN a.oid IS NULL THEN 'created' ELSE 'updated' END AS action, a.oid AS authoritative_oid, '0/0' AS attachments_status, '2020-01-01T00:00:00' AS run_time
+        FROM cap c LEFT JOIN auth a ON a.k = c.k AND NOT a.away WHERE (c.k // 4) % 11 = 0""",
+    "snapshot_round_trip": _PLANTED + " SELECT a.oid, a.notes, 'planted' AS layer, 'customer' AS source FROM auth a JOIN won w ON w.auth_oid = a.oid",
+    "ledger_last_wins": """SELECT captured_global_id, authoritative_oid, run_time FROM (SELECT CAST(o_custkey AS VARCHAR) AS captured_global_id, CAST(o_orderkey AS BIGINT) AS authoritative_oid, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS run_time,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4 = 0 DESC, CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""",
+    "write_outcomes": _PLANTED + """, judged AS (SELECT *, auth_oid IS NULL OR (auth_oid % 7 <> 0 AND auth_oid % 5 <> 0) AS ok FROM won)
+        SELECT gid AS captured_global_id, CASE WHEN auth_oid IS NULL THEN 'appended' ELSE 'updated' END AS action, auth_oid AS authoritative_oid, ok AS success,
+        CASE WHEN ok THEN NULL WHEN auth_oid % 7 = 0 THEN 'no result' ELSE 'locked' END AS error, ok AS ledgered, ok AS in_layer FROM judged""",
+    "wkids": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN 4326 WHEN c_custkey % 5 <> 0 THEN 3857 END AS wkid FROM customer",
     "restored_layer": _PLANTED + ' SELECT oid AS "OBJECTID", gid AS "GlobalID", notes AS "Notes", CAST(NULL AS VARCHAR) AS "Condition", segment AS "Segment", round(lon, 7) AS lon, round(lat, 7) AS lat FROM auth',
     "rollback_summary": _PLANTED + "," + _SOURCE + """ SELECT 'planted' AS layer, (SELECT count(*) FROM auth) AS authoritative_feature_count_after, (SELECT count(*) FROM auth) AS expected_feature_count_after,
         count(auth_oid) AS restore_success_count, 0::BIGINT AS restore_failure_count, count(*) - count(auth_oid) AS delete_feature_success_count, 0::BIGINT AS delete_feature_failure_count,
@@ -459,7 +567,6 @@ ORACLES: dict[str, str] = {
     "ledger_cleared": _PLANTED + " SELECT c.gid AS captured_global_id, CASE WHEN a.oid IS NULL THEN 'created' ELSE 'updated' END AS action FROM cap c LEFT JOIN auth a ON a.k = c.k AND NOT a.away WHERE (c.k // 4) % 11 = 0",
     "reproject_3857": "WITH " + CONTENTION_SQL + """ SELECT oid AS "OBJECTID", round(radians(lon) * 6378137.0::DOUBLE, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0::DOUBLE, 3) AS y,
         round(lon, 7) AS lon, round(lat, 7) AS lat FROM cap""",
-    "reproject_utm": "WITH " + CONTENTION_SQL + ' SELECT oid AS "OBJECTID", round(lon, 7) AS lon, round(lat, 7) AS lat FROM cap',
     "threshold_text": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN printf('%.2f m (%.2f ft)', p_size::DOUBLE, p_size * 3.28084::DOUBLE)
         ELSE printf('%.2f ft (%.2f m)', p_size::DOUBLE, p_size / 3.28084::DOUBLE) END AS threshold FROM part""",
     "status_ok": "SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_orderkey % 5 = 1 OR (l_orderkey % 5 = 2 AND l_linenumber = 7)) AS n_ok FROM lineitem GROUP BY l_orderkey",
@@ -474,6 +581,15 @@ ORACLES["second_run"] = _PLANTED + "," + _SOURCE + """, late AS (SELECT t.*, a.o
     SELECT CASE WHEN lon IS NULL THEN 'skipped_no_geometry' WHEN auth_oid IS NULL THEN 'would_append' ELSE 'would_update' END AS action, count(*) AS planned FROM late GROUP BY 1"""
 # no earlier run
 ORACLES["stream_layer"] = ORACLES["merged_layer"].replace("SELECT * FROM cap WHERE (k // 4) % 11 <> 0", "SELECT * FROM cap")
+ORACLES["reproject_utm"] = "WITH " + CONTENTION_SQL + f""", u AS (
+    SELECT oid, lon, lat, radians(lon + 123) AS l, sqrt({geo.WGS84_E2!r}::DOUBLE) AS e, {geo.WGS84_F!r}::DOUBLE / (2 - {geo.WGS84_F!r}::DOUBLE) AS n FROM cap
+), v AS (
+    SELECT *, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, 0.9996::DOUBLE * 6378137.0::DOUBLE / (1 + n) * (1 + n*n/4 + n*n*n*n/64) AS k FROM u
+), w AS (
+    SELECT *, atan2(t, cos(l)) AS p, atanh(sin(l) / sqrt(1 + t*t)) AS q, n/2 - 2*n*n/3 + 5*n*n*n/16 + 41*n*n*n*n/180 AS a1,
+           13*n*n/48 - 3*n*n*n/5 + 557*n*n*n*n/1440 AS a2, 61*n*n*n/240 - 103*n*n*n*n/140 AS a3, 49561*n*n*n*n/161280 AS a4 FROM v
+) SELECT oid AS "OBJECTID", round(500000 + k * (q + a1*cos(2*p)*sinh(2*q) + a2*cos(4*p)*sinh(4*q) + a3*cos(6*p)*sinh(6*q) + a4*cos(8*p)*sinh(8*q)), 3) AS x,
+    round(k * (p + a1*sin(2*p)*cosh(2*q) + a2*sin(4*p)*cosh(4*q) + a3*sin(6*p)*cosh(6*q) + a4*sin(8*p)*cosh(8*q)), 3) AS y, round(lon, 7) AS lon, round(lat, 7) AS lat FROM w"""
 ORACLES["assign_star"] = _CONTENTION + """ SELECT cap_oid, auth_oid, round(d, 3) AS distance_m, false AS assignment_overridden_nearest FROM (
         SELECT *, row_number() OVER (PARTITION BY auth_oid ORDER BY round(d * 1e6), cap_oid) AS r FROM pairs) WHERE r = 1"""
 ORACLES["verify_diff"] = _PLANTED + f""", moved AS (SELECT *, segment <> 'BUILDING' AS found, oid % 9 <> 2 AS whole,

@@ -35,6 +35,7 @@ PART = 5  # cells in each third of a table
 SHARE = 5  # digests in a table, about
 LARGER = ((10, 1), (20, 2), (20, 3), (20, 4), (20, 5))  # cells in each third and salt, for what PART can't hold
 CHECK_BITS = 20
+LEAST_EMPTY = 3  # cells of a difference that is peeled; a matter of time only
 BUCKETS = 4  # ranges of documents for each shuffle partition
 
 
@@ -102,6 +103,10 @@ def _cells(entries: Column, part: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), part * 3 - 1), lambda j: F.aggregate(entries, zero, lambda s, e: F.when(_in(e, j), _add(s, e)).otherwise(s)))
 
 
+def _is_empty(c: Column) -> Column:
+    return (c["n"] == 0) & (c["key"] == 0)
+
+
 def peel(cells: Column, part: Column, salt: Column) -> Column:
     """The digests ``(n, key)`` that a table or a difference holds; null if cells stay that can't be peeled.
 
@@ -121,10 +126,27 @@ def peel(cells: Column, part: Column, salt: Column) -> Column:
         return F.when(s["done"], s).otherwise(let(placed, remove))
 
     start = F.struct(cells.alias("cells"), F.expr(f"cast(array() as array<{CELL}>)").alias("found"), F.lit(False).alias("done"))
-    end = lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0)), s["found"])
+    end = lambda s: F.when(F.forall(s["cells"], _is_empty), s["found"])
     return F.aggregate(F.sequence(F.lit(1), part * 3), start, round_, end)
 
 
+def _peels(entries: Column) -> Column:
+    """Whether a table of these entries peels: decided by their places alone.
+
+    ``once`` and ``more`` gather the cells that some entry and that several are in; entries with a cell of their
+    own leave, and so on. Every step but the last takes one out at least."""
+
+    def left(own: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        seen = F.aggregate(own, F.struct(zero.alias("once"), zero.alias("more")), lambda s, e: F.struct(
+            s["once"].bitwiseOR(e["places"]).alias("once"), s["more"].bitwiseOR(s["once"].bitwiseAND(e["places"])).alias("more")))
+        return let(seen, lambda s: F.filter(own, lambda e: e["places"].bitwiseAND(F.bitwise_not(s["more"])) == 0))
+
+    rest = F.aggregate(_times(F.size(entries)), F.struct(entries.alias("own"), F.lit(False).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(
+        let(left(s["own"]), lambda x: F.struct(x.alias("own"), ((F.size(x) == 0) | (F.size(x) == F.size(s["own"]))).alias("done")))))
+    return (F.size(entries) <= 1) | (F.size(rest["own"]) == 0)
+
+
 def _bits(n: Column) -> Column:
     """The power of two of tables for ``n`` digests."""
     return F.ceil(F.log2(F.greatest(F.lit(1.0), n / SHARE))).cast("int")
@@ -143,7 +165,8 @@ def sketch(keys: Column) -> Column:
         tries = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(s).alias("salt")) for p, s in LARGER))
 
         def next_(s: Column, t: Column) -> Column:
-            made = let(_cells(_entries(F.transform(own, lambda e: e["key"]), t["part"], t["salt"]), t["part"]), lambda c: F.struct(t["part"].alias("part"), t["salt"].alias("salt"), c.alias("larger"), peel(c, t["part"], t["salt"]).isNotNull().alias("done")))
+            made = let(_entries(F.transform(own, lambda e: e["key"]), t["part"], t["salt"]), lambda e: F.struct(
+                t["part"].alias("part"), t["salt"].alias("salt"), F.when(_peels(e), _cells(e, t["part"])).otherwise(none).alias("larger"), _peels(e).alias("done")))
             return F.when(s["done"], s).otherwise(made)
 
         return F.aggregate(tries, F.struct(F.lit(0).alias("part"), F.lit(0).alias("salt"), none.alias("larger"), F.lit(False).alias("done")), next_)
@@ -151,8 +174,7 @@ def sketch(keys: Column) -> Column:
     def table_of(own: Column) -> Column:
         plain = lambda c: F.struct(c.alias("cells"), F.lit(PART).alias("part"), F.lit(0).alias("salt"), none.alias("larger"))
         grown = lambda c: let(larger(own), lambda x: F.struct(c.alias("cells"), x["part"].alias("part"), x["salt"].alias("salt"), x["larger"].alias("larger")))
-        # a single digest always peels
-        return let(_cells(own, F.lit(PART)), lambda c: F.when((F.size(own) <= 1) | peel(c, *base).isNotNull(), plain(c)).otherwise(grown(c)))
+        return let(_cells(own, F.lit(PART)), lambda c: F.when(_peels(own), plain(c)).otherwise(grown(c)))
 
     def dealt(entries: Column, bits: Column) -> Column:
         low = F.floor(bits / 2).cast("int")
@@ -175,13 +197,22 @@ def _fold(tables: Column) -> Column:
 
 
 def _times(n: Column) -> Column:
-    return F.slice(F.sequence(F.lit(1), F.lit(40)), F.lit(1), n)
+    return F.slice(F.sequence(F.lit(1), F.lit(40)), F.lit(1), F.least(n, F.lit(40)))
 
 
 def _inverted(sketch_: Column, i: Column, width: Column) -> Column:
     """All digests of a fingerprint whose low bits, ``width`` values of them, are ``i``."""
     tables = F.transform(F.sequence(i, F.size(sketch_) - 1, width), lambda k: F.get(sketch_, k))
-    keys = lambda t: F.transform(peel(F.when(F.size(t["larger"]) > 0, t["larger"]).otherwise(t["cells"]), t["part"], t["salt"]), lambda e: e["key"])
+
+    def keys(t: Column) -> Column:
+        # a fingerprint's own counts are true: cells that hold one digest show it, and mostly that is all of them
+        def of(cells: Column) -> Column:
+            alone = F.array_distinct(F.transform(F.filter(cells, lambda c: c["n"] == 1), lambda c: c["key"]))
+            all_ = F.aggregate(cells, F.lit(0), lambda x, c: x + c["n"])
+            return let(alone, lambda a: F.when(F.size(a) * 3 == all_, a).otherwise(F.transform(peel(cells, t["part"], t["salt"]), lambda e: e["key"])))
+
+        return let(F.when(F.size(t["larger"]) > 0, t["larger"]).otherwise(t["cells"]), of)
+
     return F.flatten(F.transform(tables, keys))
 
 
@@ -196,7 +227,8 @@ def difference(a: Column, b: Column) -> Column:
         w = F.size(level)
         halves = lambda i: F.array(i, i + (w / 2).cast("int"))
         pending = F.when(w == 1, s["failed"]).otherwise(F.flatten(F.transform(s["failed"], halves)))
-        tried = F.transform(pending, lambda i: F.struct(i.alias("i"), F.size(peel(F.get(level, i), F.lit(PART), F.lit(0))).alias("n")))
+        # with few cells empty a table holds too much to be peeled: that isn't tried
+        tried = F.transform(pending, lambda i: F.struct(i.alias("i"), let(F.get(level, i), lambda t: F.when(F.size(F.filter(t, _is_empty)) >= LEAST_EMPTY, F.size(peel(t, F.lit(PART), F.lit(0))))).alias("n")))
         failed = lambda t: F.transform(F.filter(t, lambda x: x["n"].isNull()), lambda x: x["i"])
         return let(tried, lambda t: F.struct(failed(t).alias("failed"), F.aggregate(t, s["found"], lambda n, x: n + F.coalesce(x["n"], F.lit(0))).alias("found")))
 
@@ -241,7 +273,8 @@ def parse(fingerprint: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with ``next_text``, the text of the next document in descending ``doc_id``.
+    """``docs(doc_id, text)`` with ``own``, their fingerprint, and ``next_text`` and ``after``, text and fingerprint of the
+    next document in descending ``doc_id``.
 
     Documents are dealt by ranges of ``doc_id`` between quantiles, so a window sees one range at a time.
     The last of a range takes the first text of the next range that has any: a row for each range.
@@ -258,15 +291,17 @@ def with_next(docs: DataFrame) -> DataFrame:
         mid = (lo + hi) // 2
         return F.when(F.col("at") <= F.lit(cuts[mid]), rank(lo, mid)).otherwise(rank(mid + 1, hi))
 
-    rows = rows.withColumn("part", rank(0, len(cuts)) if len(cuts) <= 256 else F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c < at))"))
+    rows = ranged = rows.withColumn("part", rank(0, len(cuts)) if len(cuts) <= 256 else F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c < at))"))
+    # fingerprints are made behind the shuffle and before the window: once for each text
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").withColumn("own", sketch_of(F.col("text")))
     order = [F.desc("at"), F.desc(F.xxhash64("text"))]
-    own = Window.partitionBy("part").orderBy(*order)
-    linked = rows.withColumn("next_text", F.lead("text").over(own))
-    firsts = rows.groupBy("part").agg(F.max_by("text", F.struct("at", F.xxhash64("text"))).alias("first_text"))
+    within = Window.partitionBy("part").orderBy(*order)
+    linked = rows.withColumns({"next_text": F.lead("text").over(within), "after": F.lead("own").over(within)})
+    firsts = ranged.groupBy("part").agg(F.max_by("text", F.struct("at", F.xxhash64("text"))).alias("first_text"))
     by = Window.orderBy(F.desc("part"))
-    wrap = firsts.select("part", F.lead("first_text").over(by).alias("after"), F.first("first_text").over(by).alias("whole_first"))
-    edges = wrap.select("part", F.coalesce("after", "whole_first").alias("edge_text"))
-    return linked.join(edges, "part", "left").select("doc_id", "text", F.coalesce("next_text", "edge_text").alias("next_text"))
+    wrap = firsts.select("part", F.lead("first_text").over(by).alias("below"), F.first("first_text").over(by).alias("whole_first"))
+    edges = wrap.select("part", F.coalesce("below", "whole_first").alias("edge_text")).withColumn("edge", sketch_of(F.col("edge_text")))
+    return linked.join(edges, "part", "left").select("doc_id", "text", "own", F.coalesce("next_text", "edge_text").alias("next_text"), F.coalesce("after", "edge").alias("after"))
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -276,13 +311,13 @@ def edited_text(text: Column, following: Column) -> Column:
 
 
 def fingerprints(pairs: DataFrame) -> DataFrame:
-    """From ``(doc_id, text, next_text)``: fingerprints of each text, its edit and the next, and the likenesses to both."""
+    """From the rows of ``with_next``: fingerprints of each text, its edit and the next, and the likenesses to both."""
     pairs = pairs.withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     pairs = pairs.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        *(sketch_of(F.col(c)).alias(n) for n, c in (("own", "text"), ("edit", "edited"), ("after", "next_text"))),
+        "own", sketch_of(F.col("edited")).alias("edit"), "after",
     )
     return pairs.withColumns({"near_edited": likeness(F.col("own"), F.col("edit")), "near_next": likeness(F.col("own"), F.col("after"))})
 

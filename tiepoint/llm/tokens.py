@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 200_000  # words after which the cache's generation ends, in each worker
-PIECE_BYTES = 12 << 20  # of text encoded at once
+CACHE_WORDS = 150_000  # words after which the cache's generation ends, in each worker
+PIECE_BYTES = 4 << 20  # of text encoded at once
 GATHER = 1 << 20  # words whose ids are gathered at once
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # behind a letter they are pre-tokens of their own
 # One pre-token that normalization only lower-cases, letter by letter.
@@ -143,4 +143,5 @@ def encoded(batch: pa.RecordBatch, column: str, path: str, end_id: int) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
         piece = batch.slice(start, stop - start)
         yield piece, *encoder(path).encode(piece.column(column), end_id)
+        pa.default_memory_pool().release_unused()  # two workers share an executor's memory with its JVM
         start = stop

@@ -53,17 +53,22 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     linked = own.join(above, ["conv", "parent"], "left")
     hop = linked.select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
     hops = [materialize(hop, "hops")]
+    ended = hops[0].where("up is null")
     # a message that has an ancestor at a distance of as many messages as there are is on a cycle, or answers one
     most = messages.count()
     while 1 << (len(hops) - 1) <= most and hops[-1].where("up is not null").limit(1).count():
-        a, b = hops[-1].alias("a"), hops[-1].select("conv", F.col("node").alias("via"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("steps").alias("further")).alias("b")
+        # only messages that haven't reached their root take part
+        a = hops[-1].where("up is not null")
+        b = a.unionByName(ended).select("conv", F.col("node").alias("via"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        a, b = a.alias("a"), b.alias("b")
         met = a.join(b, (F.col("a.conv") == F.col("b.conv")) & (F.col("a.up") == F.col("via")), "left")
         hops.append(materialize(met.select(
             F.col("a.conv").alias("conv"), "node", F.col("far").alias("up"),
             (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
         ), "hops"))
+        ended = ended.unionByName(hops[-1].where("up is null"))
     inner = hops[0].where("up is not null").select("conv", F.col("up").alias("node")).distinct()
-    leaves = hops[-1].where("up is null").join(inner, ["conv", "node"], "left_anti")
+    leaves = ended.join(inner, ["conv", "node"], "left_anti")
     ranked = leaves.select("conv", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("score"), "steps")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf")))
     if best is not None:

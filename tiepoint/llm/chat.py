@@ -19,7 +19,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, table
@@ -28,6 +28,8 @@ from .storage import materialize, table
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>")
 _BREAK = r"(<(?=/?s>|<?/?SYS>>|</?SYS>>|\|)|\[(?=/?INST\])|\|(?=>))"
 END = "</s>\n"
+# Joins of doubled distances between two stored tables of paths.
+LEVELS = 4
 
 
 def escape(text: Column) -> Column:
@@ -52,33 +54,38 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     above = own.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
     linked = own.join(above, ["conv", "parent"], "left")
     hop = linked.select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
-    hops = [materialize(hop, "hops")]
-    ended = hops[0].where("up is null")
+    hops, left = [], 1
+    ended = None
     # a message that has an ancestor at a distance of as many messages as there are is on a cycle, or answers one
     most = messages.count()
-    while 1 << (len(hops) - 1) <= most and hops[-1].where("up is not null").limit(1).count():
-        # only messages that haven't reached their root take part
-        a = hops[-1].where("up is not null")
-        b = a.unionByName(ended).select("conv", F.col("node").alias("via"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("steps").alias("further"))
-        a, b = a.alias("a"), b.alias("b")
-        met = a.join(b, (F.col("a.conv") == F.col("b.conv")) & (F.col("a.up") == F.col("via")), "left")
-        hops.append(materialize(met.select(
-            F.col("a.conv").alias("conv"), "node", F.col("far").alias("up"),
-            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
-        ), "hops"))
-        ended = ended.unionByName(hops[-1].where("up is null"))
+    while left and (not hops or 1 << (len(hops) - 1) <= most):
+        if hops:
+            # only messages that haven't reached their root take part; each of them answers a message that is there
+            a = hops[-1].where("up is not null")
+            b = a.unionByName(ended).select("conv", F.col("node").alias("via"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("steps").alias("further"))
+            a, b = a.alias("a"), b.alias("b")
+            met = a.join(b, (F.col("a.conv") == F.col("b.conv")) & (F.col("a.up") == F.col("via")))
+            hop = met.select(F.col("a.conv").alias("conv"), "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps"))
+        seen = Observation()
+        hops.append(materialize(hop.observe(seen, F.count("up").alias("left")), "hops"))
+        left = seen.get["left"]
+        roots = hops[-1].where("up is null")
+        ended = roots if ended is None else ended.unionByName(roots)
     inner = hops[0].where("up is not null").select("conv", F.col("up").alias("node")).distinct()
     leaves = ended.join(inner, ["conv", "node"], "left_anti")
     ranked = leaves.select("conv", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("score"), "steps")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf")))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    found = materialize(ranked.withColumns({"at": F.col("leaf"), "place": F.col("steps")}), "paths")
-    # every distance is a sum of powers of two in one way
+    found = materialize(ranked.select("conv", "leaf", "rank", "score", F.col("leaf").alias("at"), F.col("steps").alias("place")), "paths")
+    # every distance is a sum of powers of two in one way: each row stays and, where there is one, brings the ancestor at 2^k
     for k in range(len(hops) - 1, -1, -1):
         far = hops[k].where("up is not null").select("conv", F.col("node").alias("at"), "up")
-        step = found.join(far, ["conv", "at"]).withColumns({"at": F.col("up"), "place": F.col("place") - (1 << k)})
-        found = materialize(found.unionByName(step.select(*found.columns)), "paths")
+        own, moved = F.struct("at", "place"), F.struct(F.col("up").alias("at"), (F.col("place") - (1 << k)).alias("place"))
+        both = F.when(F.col("up").isNull(), F.array(own)).otherwise(F.array(own, moved))
+        found = found.join(far, ["conv", "at"], "left").select("conv", "leaf", "rank", "score", F.inline(both))
+        if k and k % LEVELS == 0:
+            found = materialize(found, "paths")
     paths = found.groupBy("conv", "leaf", "rank", "score").agg(F.sort_array(F.collect_list(F.struct("place", "at"))).alias("path"))
     return paths.select("conv.conv_id", F.transform("path", lambda x: x["at"]).alias("path"), "rank", "score")
 

@@ -205,8 +205,21 @@ def test_merge_then_second_run_then_rollback(spark):
     assert audit.authoritative_feature_count_after == audit.expected_feature_count_after == 2
     assert (audit.total_attachments_targeted, audit.total_attachments_removed) == (1, 1)
     path = new_path(spark, "audit")
-    artifacts.write_audit(back.audit, path)
-    assert spark.read.json(path).first().feature_count_matches_expected is True
+    artifacts.write_audit(back.audit, back.results, path)
+    assert spark.read.json(f"{path}/record").first().feature_count_matches_expected is True
+    written = {r.step: (r.n, r.good) for r in spark.read.json(f"{path}/results").groupBy("step").agg(F.count("*").alias("n"), F.count_if(F.coalesce("success", "verified")).alias("good")).collect()}
+    assert written == {"restore": (2, 2), "feature_delete": (1, 1), "attachment_delete": (1, 1), "verify": (2, 2)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf = {}
+
+        class sparkContext:
+            master = "local-cluster[3,2,1024]"
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        new_path(Session, "x")
 
 
 def test_failed_listing_is_retried(spark):

@@ -81,6 +81,10 @@ def counters(results: DataFrame, prefix: str) -> DataFrame:
     return results.agg(F.count_if("success").alias(f"{prefix}_success_count"), F.count_if(~F.col("success")).alias(f"{prefix}_failure_count"))
 
 
-def audit_lists(results: DataFrame, name: str) -> DataFrame:
-    """One row with all results of a run as an array: bounded by what one run wrote."""
-    return results.agg(F.collect_list(F.struct(*results.columns)).alias(name))
+def audit_results(steps: dict[str, DataFrame]) -> DataFrame:
+    """What became of each record in each ``step``, a row each; columns that a step lacks are null."""
+    named = [rows.withColumn("step", F.lit(step)) for step, rows in steps.items()]
+    whole = named[0]
+    for rows in named[1:]:
+        whole = whole.unionByName(rows, allowMissingColumns=True)
+    return whole

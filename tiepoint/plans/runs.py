@@ -154,7 +154,8 @@ class RolledBack:
     attachments: DataFrame | None
     verification: DataFrame | None
     skipped: DataFrame  # (oid) of updated records that the snapshot lacks, left as they are
-    audit: DataFrame
+    results: DataFrame  # a row for each record and step
+    audit: DataFrame  # one row of counters
 
 
 def roll_back(
@@ -183,18 +184,15 @@ def roll_back(
     if files is not None:
         # attachments go with their record
         lost = deleted.where("success").select(F.col("oid").alias("parent_oid"))
-        files = checkpoint(files.join(lost, "parent_oid", "left_anti").select(*files.columns))
+        files, file_results = checkpoint(files.join(lost, "parent_oid", "left_anti").select(*files.columns)), checkpoint(file_results)
     after = layer.count()
     new_ledger, cleared = ledgers.clear(ledger, report)
     r = undo.counters(restored, "restore").first()
     d = undo.counters(deleted, "delete_feature").first()
     targeted = gone_files.count()
     removed = 0 if file_results is None else file_results.where("success").count()
-    audit = undo.audit_lists(restored, "restore_results").join(undo.audit_lists(deleted, "feature_delete_results"))
-    if file_results is not None:
-        audit = audit.join(undo.audit_lists(file_results, "attachment_delete_results"))
-    if verification is not None:
-        audit = audit.join(undo.audit_lists(verification, "verify_results"))
+    steps = {"restore": restored, "feature_delete": deleted, "attachment_delete": file_results, "verify": verification}
+    results = undo.audit_results({k: rows for k, rows in steps.items() if rows is not None})
     values = {
         "layer": layer_name, "source": source,
         "authoritative_feature_count_before": before, "authoritative_feature_count_after": after,
@@ -207,5 +205,5 @@ def roll_back(
         "ledger_cleared_count": cleared.count(),
     }
     kinds = {"layer": "string", "source": "string", "verify_error": "string"}
-    audit = audit.withColumns({k: F.lit(v).cast(kinds.get(k, "bigint")) for k, v in values.items()})
-    return RolledBack(layer, new_ledger, files, verification, lacking, audit)
+    audit = live.sparkSession.range(1).select(*[F.lit(v).cast(kinds.get(k, "bigint")).alias(k) for k, v in values.items()])
+    return RolledBack(layer, new_ledger, files, verification, lacking, results, audit)

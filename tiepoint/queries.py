@@ -280,8 +280,11 @@ def skipped_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollback's audit record, written and read back."""
     path = new_path(spark, "audit")
-    artifacts.write_audit(_rolled_back(spark, sf_dir).audit, path)
-    return spark.read.json(path).select("layer", "source", "restore_success_count", "restore_skipped_count", "unreadable_row_count", "feature_count_matches_expected", F.size("restore_results").alias("n_restores"))
+    back = _rolled_back(spark, sf_dir)
+    artifacts.write_audit(back.audit, back.results, path)
+    restores = spark.read.json(f"{path}/results").where("step = 'restore'").agg(F.count("*").cast("int").alias("n_restores"))
+    told = spark.read.json(f"{path}/record").select("layer", "source", "restore_success_count", "restore_skipped_count", "unreadable_row_count", "feature_count_matches_expected")
+    return told.join(F.broadcast(restores))
 
 
 def restored_layer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,11 +89,12 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, inferSchema=False)
 
 
-def write_audit(record: DataFrame, path: str) -> None:
-    """The one-row record of a rollback as JSON, with nulls."""
+def write_audit(record: DataFrame, results: DataFrame, path: str) -> None:
+    """A rollback's one-row record in ``path/record`` and its results in ``path/results``, as JSON with nulls."""
     counts = ("authoritative_feature_count_after", "expected_feature_count_after")
     checked = record.withColumn("feature_count_matches_expected", F.col(counts[0]) == F.col(counts[1]))
-    checked.write.json(path, ignoreNullFields=False)
+    checked.write.json(f"{path}/record", ignoreNullFields=False)
+    results.write.json(f"{path}/results", ignoreNullFields=False)
 
 
 def attributes_of(schema: StructType) -> list[str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, lines, neardup, packing, quality, secrets, substrings, token_files
+from . import chat, decontaminate, fingerprints, lines, neardup, packing, quality, resample, secrets, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
@@ -19,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontaminate.op8,
     "op9_line_dedup": lines.op9,
     "op10_substring_dedup": substrings.op10,
+    "op11_importance_resampling": resample.op11,
 }
 
 ORACLES: dict[str, str] = {
     "op9_line_dedup": lines.ORACLE,
+    "op11_importance_resampling": resample.ORACLE,
 }

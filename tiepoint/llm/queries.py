@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, lines, neardup, packing, quality, resample, secrets, substrings, token_files
+from . import chat, decontaminate, fingerprints, lines, neardup, packing, quality, resample, secrets, substrings, token_files, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
@@ -20,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": lines.op9,
     "op10_substring_dedup": substrings.op10,
     "op11_importance_resampling": resample.op11,
+    "op13_conversation_repair": turns.op13,
 }
 
 ORACLES: dict[str, str] = {
     "op9_line_dedup": lines.ORACLE,
     "op11_importance_resampling": resample.ORACLE,
+    "op13_conversation_repair": turns.ORACLE,
 }

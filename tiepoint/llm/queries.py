@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, lines, neardup, packing, quality, resample, secrets, substrings, token_files, turns
+from . import chat, decontaminate, extract, fingerprints, lines, neardup, packing, quality, resample, secrets, substrings, token_files, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": lines.op9,
     "op10_substring_dedup": substrings.op10,
     "op11_importance_resampling": resample.op11,
+    "op12_main_text": extract.op12,
     "op13_conversation_repair": turns.op13,
 }
 

@@ -50,7 +50,8 @@ MASKED = (
 # ... and what a whole span may be: a number, or words and paths (lower-case, capitalized or upper-case; cut off at the ends).
 ALLOWED = (
     "^[0-9_=+/-]+$",
-    "^[A-Za-z]?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[_=+/-]|(?<![A-Za-z])[A-Za-z](?![A-Za-z]))*[A-Za-z]?$",
+    # possessive, as a repeated group that may be entered again takes a stack frame each time; giving back never helps here
+    "^[A-Za-z]?(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[_=+/-]|(?<![A-Za-z])[A-Za-z](?![A-Za-z]))*+[A-Za-z]?$",
 )
 _FIELD, _FIELDS = 5, 12  # bits of a count, counts in a number
 
@@ -59,23 +60,36 @@ def _none() -> Column:
     return F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
 
 
-def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Array of ``(start, kind, end)`` of the pattern's matches; ``keep(i)`` tells whether match ``i`` counts."""
-    pieces = F.transform(F.split(text, pattern, -1), F.char_length)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
+def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
+    """Array of ``(start, kind, end)`` of the pattern's matches whose ``group`` has ``least`` characters or more.
 
-    def step(s: Column, pair: Column) -> Column:
-        start = s["at"] + pair["piece"]
-        end = start + pair["match"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
+    Starts are running sums. They are taken over blocks of about the square root of their number, as an array
+    that grows is copied at each step: ``n`` matches cost ``n * sqrt(n)`` moves of a pointer, and one pass over the text.
+    """
+    found = lambda g: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), F.char_length)
+    lengths = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.char_length).alias("piece"), found(0).alias("match"), found(group).alias("value"))
+    no_parts = F.expr("cast(array() as array<array<struct<start:int,kind:int,end:int>>>)")
+
+    def one(s: Column, x: Column) -> Column:
+        start = s["at"] + x["piece"]
+        end = start + x["match"]
+        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["value"] >= least, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+    def summed(all_lengths: Column) -> Column:
+        n = F.size(all_lengths) - 1  # the last piece stands behind the last match
+        size = F.ceil(F.sqrt(n)).cast("int")
+
+        def block(s: Column, k: Column) -> Column:
+            own = F.slice(all_lengths, k * size + 1, F.least(size, n - k * size))
+            inside = F.aggregate(own, F.struct(s["at"].alias("at"), _none().alias("spans")), one)
+            return let(inside, lambda t: F.struct(t["at"].alias("at"), F.concat(s["parts"], F.array(t["spans"])).alias("parts")))
 
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("piece"), matches.alias("match"))
-    both = F.transform(both, lambda x: F.struct(x["piece"].alias("piece"), x["match"].alias("match")))
-    found = F.aggregate(both, F.struct(F.lit(0).alias("at"), _none().alias("spans")), step, lambda s: s["spans"])
-    if keep is not None:
-        found = F.filter(found, lambda _, i: keep(i))
-    return F.when(text.rlike(pattern), found).otherwise(_none())
+        start = F.struct(F.lit(0).alias("at"), no_parts.alias("parts"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), start, block, lambda s: F.flatten(s["parts"]))
+
+    renamed = F.transform(lengths, lambda x: F.struct(x["piece"].alias("piece"), x["match"].alias("match"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), let(renamed, summed)).otherwise(_none())
 
 
 def _slot(code: Column) -> tuple[Column, Column]:
@@ -134,8 +148,25 @@ def windows(string: Column, width: int = WINDOW, least: Column | None = None) ->
                 F.when(hit & ~joins & (s["start"] >= 0), closed).otherwise(s["spans"]).alias("spans"),
             )
 
-        last = lambda s: F.when(s["start"] < 0, s["spans"]).otherwise(F.concat(s["spans"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda s: F.struct(s["best"].alias("bits"), last(s).alias("spans")))
+        # in blocks of about the square root of the length, as what a step returns is copied with the spans it holds
+        n = F.size(codes)
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(n)).cast("int"))
+        names = ("counts", "sum", "beyond_hex", "beyond_alnum", "best", "start", "end")
+
+        def block(s: Column, k: Column) -> Column:
+            inside = F.aggregate(F.sequence(k * size, F.least((k + 1) * size, n) - 1), s["state"], step)
+            return let(inside, lambda t: F.struct(
+                F.struct(*(t[c].alias(c) for c in names), F.expr(f"cast(array() as array<{span}>)").alias("spans")).alias("state"),
+                F.concat(s["parts"], F.array(t["spans"])).alias("parts"),
+            ))
+
+        def joined(s: Column) -> Column:
+            rest = F.array(F.struct(s["state"]["start"].alias("start"), s["state"]["end"].alias("end")))
+            closed = F.flatten(s["parts"])
+            return F.struct(s["state"]["best"].alias("bits"), F.when(s["state"]["start"] < 0, closed).otherwise(F.concat(closed, rest)).alias("spans"))
+
+        begin = F.struct(start.alias("state"), F.expr(f"cast(array() as array<array<{span}>>)").alias("parts"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), begin, block, joined)
 
     return let(F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), passed)
 
@@ -151,18 +182,18 @@ def random_spans(string: Column) -> Column:
     for pattern, length in MASKED:
         masked = F.regexp_replace(masked, pattern, "0" * length)
 
-    def kept(x: Column) -> Column:
-        own = F.substring(string, x["start"] + 1, x["end"] - x["start"])
-        return ~functools.reduce(operator.or_, (own.rlike(rule) for rule in ALLOWED))
+    def kept(characters: Column) -> Column:
+        # from an array, as a substring of a string is counted off from its beginning
+        own = lambda x: F.array_join(F.slice(characters, x["start"] + 1, x["end"] - x["start"]), "")
+        return F.filter(windows(masked)["spans"], lambda x: let(own(x), lambda t: ~functools.reduce(operator.or_, (t.rlike(rule) for rule in ALLOWED))))
 
-    return F.filter(windows(masked)["spans"], kept)
+    return let(F.split(string, ""), kept)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Add ``base`` and ``added``: arrays of ``(start, kind, end)``; ``kind`` indexes ``KINDS``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assign = _spans(text, ASSIGN, 0, lambda i: F.char_length(F.get(values, i)) >= ASSIGN_VALUE)
+    assign = _spans(text, ASSIGN, 0, 2, ASSIGN_VALUE)
     found = docs.withColumn("base", F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
     strings = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     placed = F.zip_with(_spans(text, CANDIDATE, 3), strings, lambda at, string: F.transform(

@@ -12,7 +12,7 @@ from tiepoint.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer orders lineitem part".split()
-STREAMS = {"stream_ledger", "stream_layer"}  # in test_streaming
+STREAMS = {"stream_ledger", "stream_layer", "stream_retries", "stream_retried_layer"}  # in test_streaming
 
 
 def shown(columns, found):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiepoint.functions.values import attachment_name, fully_copied, ids_of, oid_of
+from tiepoint.sources.storage import materialize
 
 from .merge import allocate_ids
 
@@ -39,20 +40,26 @@ def plan_copies(wanted: DataFrame, target: DataFrame) -> DataFrame:
     return wanted.where("valid").join(have, ["target_oid", "target_name"], "left_anti").dropDuplicates(["target_oid", "target_name"])
 
 
-def copy(plan: DataFrame, source: DataFrame, target: DataFrame, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The target after the copies, and the copies made ``(target_oid, target_name, new_id)``.
+def new_copies(plan: DataFrame, source: DataFrame, target: DataFrame, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What the copies add to the target, and the copies made ``(target_oid, target_name, new_id)``.
 
     ``failed`` holds ``(target_oid, target_name)`` that a writer reported as not copied.
     """
     made = plan if failed is None else plan.join(failed, ["target_oid", "target_name"], "left_anti")
     start = target.agg(F.max("id")).first()[0] or 0
-    keyed = made.withColumn("_key", F.concat_ws("/", "target_oid", "target_name"))
+    keyed = materialize(made.withColumn("_key", F.concat_ws("/", "target_oid", "target_name")), "copies")
     numbered = allocate_ids(keyed, "_key", start, name="new_id").drop("_key")
     new = numbered.select(F.col("target_oid").alias("parent_oid"), F.col("new_id").alias("id"), F.col("target_name").alias("name"), F.col("cap_oid").alias("_from"), F.col("id").alias("_id"))
     if "content" in target.columns:
         contents = source.select(F.col("parent_oid").alias("_from"), F.col("id").alias("_id"), "content")
         new = new.join(contents, ["_from", "_id"], "left")
-    return target.unionByName(new.select(*target.columns)), numbered.select("target_oid", "target_name", "new_id")
+    return new.select(*target.columns), numbered.select("target_oid", "target_name", "new_id")
+
+
+def copy(plan: DataFrame, source: DataFrame, target: DataFrame, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The target after the copies, and the copies made."""
+    new, made = new_copies(plan, source, target, failed)
+    return target.unionByName(new), made
 
 
 def statuses(outcomes: DataFrame, wanted: DataFrame, before: DataFrame, made: DataFrame, unlisted: DataFrame | None = None, enabled: bool = True) -> DataFrame:

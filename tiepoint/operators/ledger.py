@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def unprocessed(captured: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Captured rows whose ``GlobalID`` isn't in the ledger; rows without one are never in it."""
-    return captured.join(ledger.select(F.col("captured_global_id").alias("GlobalID")), "GlobalID", "left_anti").select(*captured.columns)
+def of_layer(ledger: DataFrame, layer: str) -> DataFrame:
+    """A layer's own entries: captured ids and record ids of other layers mean other things."""
+    return ledger.where(F.col("layer") == layer)
 
 
-def claimed(ledger: DataFrame) -> DataFrame:
-    """Distinct records that any entry has matched or created."""
-    return ledger.where(F.col("authoritative_oid").isNotNull()).select(F.col("authoritative_oid").alias("OBJECTID")).distinct()
+def unprocessed(captured: DataFrame, ledger: DataFrame, layer: str) -> DataFrame:
+    """Captured rows whose ``GlobalID`` isn't in the layer's ledger; rows without one are never in it."""
+    done = of_layer(ledger, layer).select(F.col("captured_global_id").alias("GlobalID"))
+    return captured.join(done, "GlobalID", "left_anti").select(*captured.columns)
 
 
-def unclaimed(authoritative: DataFrame, ledger: DataFrame) -> DataFrame:
-    return authoritative.join(claimed(ledger), "OBJECTID", "left_anti").select(*authoritative.columns)
+def claimed(ledger: DataFrame, layer: str) -> DataFrame:
+    """Distinct records that any of the layer's entries has matched or created."""
+    return of_layer(ledger, layer).where(F.col("authoritative_oid").isNotNull()).select(F.col("authoritative_oid").alias("OBJECTID")).distinct()
+
+
+def unclaimed(authoritative: DataFrame, ledger: DataFrame, layer: str) -> DataFrame:
+    return authoritative.join(claimed(ledger, layer), "OBJECTID", "left_anti").select(*authoritative.columns)
 
 
 def upsert(ledger: DataFrame, entries: DataFrame) -> DataFrame:
@@ -31,7 +37,9 @@ def upsert(ledger: DataFrame, entries: DataFrame) -> DataFrame:
     return kept.where("_k = 1").drop("_k", "_new")
 
 
-def clear(ledger: DataFrame, report: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The ledger without the rows of a rolled-back run, and the distinct ids that were really removed."""
-    done = report.where(F.col("action").isin("updated", "appended") & F.col("captured_global_id").isNotNull()).select("captured_global_id").distinct()
-    return ledger.join(done, "captured_global_id", "left_anti").select(*ledger.columns), ledger.join(done, "captured_global_id", "left_semi").select("captured_global_id").distinct()
+def clear(ledger: DataFrame, report: DataFrame, layer: str) -> tuple[DataFrame, DataFrame]:
+    """The ledger without the layer's rows of a rolled-back run, and the distinct ids that were really removed."""
+    wrote = F.col("action").isin("updated", "appended") & F.col("captured_global_id").isNotNull()
+    done = report.where(wrote).select(F.lit(layer).alias("layer"), "captured_global_id").distinct()
+    key = ["layer", "captured_global_id"]
+    return ledger.join(done, key, "left_anti").select(*ledger.columns), ledger.join(done, key, "left_semi").select("captured_global_id").distinct()

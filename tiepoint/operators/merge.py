@@ -5,12 +5,15 @@ Layers here are flat: one column for each field, with ``OBJECTID``, ``GlobalID``
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from tiepoint.config import EXCLUDED_FIELDS, LayerConfig
 from tiepoint.functions.values import is_blank
+from tiepoint.sources.storage import materialize
 
 _PLACE = ("lon", "lat")
 
@@ -82,11 +85,6 @@ def plan_appends(unmatched: DataFrame, config: LayerConfig) -> DataFrame:
     )
 
 
-def snapshot_rows(authoritative: DataFrame, updates: DataFrame) -> DataFrame:
-    """The records that updates touch, as they are now."""
-    return authoritative.join(updates.select(F.col("auth_oid").alias("OBJECTID")), "OBJECTID", "left_semi")
-
-
 def overlay(authoritative: DataFrame, updates: DataFrame) -> DataFrame:
     """The layer with all updates written: gained fields, and the captured place of every updated record."""
     names = updates.schema["fills"].dataType.names
@@ -107,16 +105,22 @@ def overlay(authoritative: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.select(*columns, *(F.col(f"fills.`{n}`").alias(n) for n in new))
 
 
-def allocate_ids(rows: DataFrame, key: str, start: int, buckets: int = 64, name: str = "new_oid") -> DataFrame:
-    """``rows`` with ids ``start + 1``, ``start + 2``, ... : numbered inside buckets of a hash, the buckets
-    offset by what lies before them. ``key`` must be unique; no task sees more than a bucket."""
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
-    # a row for each bucket
-    return numbered.join(F.broadcast(offsets), "_bucket").withColumn(name, F.lit(start) + F.col("_offset") + F.col("_k")).drop("_bucket", "_offset", "_k")
+def allocate_ids(rows: DataFrame, key: str, start: int, name: str = "new_oid", ranges: int | None = None) -> DataFrame:
+    """``rows`` with ids ``start + 1``, ``start + 2``, ... in order of ``key``, which must be unique; a stored table.
+
+    Rows are sorted by ranges of the key and stored with their place in their range; the ranges' sizes give what
+    lies before each. Ranges and their sizes both grow with the square root of the rows.
+    """
+    if ranges is None:
+        ranges = max(1, math.isqrt(rows.count()) // 32)
+    place = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(ranges, key).sortWithinPartitions(key)
+    placed = materialize(ranged.select("*", F.shiftright(place, 33).alias("_range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "ids")
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    # a row for each range
+    return placed.join(F.broadcast(offsets), "_range").select(*rows.columns, (F.lit(start) + F.col("_offset") + F.col("_place") + 1).cast("long").alias(name))
 
 
 def append(layer: DataFrame, appends: DataFrame) -> DataFrame:
@@ -125,6 +129,12 @@ def append(layer: DataFrame, appends: DataFrame) -> DataFrame:
     return layer.unionByName(rows, allowMissingColumns=True)
 
 
+def replaced(layer: DataFrame, changed: DataFrame) -> DataFrame:
+    """The layer with ``changed`` in place of the records that share their ids."""
+    ids = changed.select("OBJECTID")
+    return layer.join(ids, "OBJECTID", "left_anti").select(*layer.columns).unionByName(changed, allowMissingColumns=True)
+
+
 def write_results(planned: DataFrame, results: DataFrame) -> DataFrame:
     """Planned writes with ``success``, ``result_oid`` and ``error``, joined by ``action_id``.
 

@@ -31,17 +31,24 @@ class Preview:
 
 def match(captured: DataFrame, authoritative: DataFrame, ledger: DataFrame, config: LayerConfig, checkpoint: Checkpoint) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Eligible captured rows, free records, all candidate pairs and the assignment; layers are flat."""
-    todo = ledgers.unprocessed(captured, ledger)
-    free = ledgers.unclaimed(with_points(authoritative), ledger)
+    todo = ledgers.unprocessed(captured, ledger, config.name)
+    free = ledgers.unclaimed(with_points(authoritative), ledger, config.name)
     pairs = checkpoint(candidates.pairs_within(todo, free, config.match_threshold_m, config.type_field_captured, config.type_field_authoritative))
     matches = checkpoint(assignment.with_override(assignment.assign(pairs, checkpoint), pairs))
     return todo, free, pairs, matches
 
 
-def preview(captured: DataFrame, authoritative: DataFrame, ledger: DataFrame, config: LayerConfig, checkpoint: Checkpoint) -> Preview:
-    """What a merge would do: planned updates and appends, and the report in captured order, skipped rows first."""
+def preview(
+    captured: DataFrame, authoritative: DataFrame, ledger: DataFrame, config: LayerConfig, checkpoint: Checkpoint, whole: bool = True,
+) -> Preview:
+    """What a merge would do: planned updates and appends, and the report in captured order, skipped rows first.
+
+    Without ``whole`` the authoritative layer is read where it lies, as often as it is needed, and not stored again.
+    """
     check_layer_pair(captured, authoritative, config)
-    flat_c, flat_a = checkpoint(flatten(captured)), checkpoint(flatten(authoritative))
+    flat_c, flat_a = checkpoint(flatten(captured)), flatten(authoritative)
+    if whole:
+        flat_a = checkpoint(flat_a)
     todo, free, pairs, matches = match(flat_c, flat_a, ledger, config, checkpoint)
     skipped, usable = without_points(todo), with_points(todo)
     lists = candidates.candidate_lists(pairs)
@@ -84,28 +91,34 @@ class Applied:
     report: DataFrame
     ledger: DataFrame
     attachments: DataFrame | None
+    changed: DataFrame  # of the flat layer, the records that were updated or appended
+    copied: DataFrame | None  # of the attachments, those added
+    left: DataFrame  # captured rows to be taken again: no place, not written, or not all attachments copied
 
 
 def apply(
     captured: DataFrame, authoritative: DataFrame, ledger: DataFrame, config: LayerConfig, run_ts: str, checkpoint: Checkpoint,
     source_attachments: DataFrame | None = None, target_attachments: DataFrame | None = None, unlisted: DataFrame | None = None,
-    writer: Writer | None = None,
+    writer: Writer | None = None, whole: bool = True,
 ) -> Applied:
     """Merge: snapshot first, then the layer, then attachments, report and ledger.
 
+    Without ``whole`` neither the layer nor the attachments are stored as they are afterwards, only what changed;
+    what is written then grows with the captured rows and not with the layer.
+
     A table write is whole or not at all. Where a service writes instead, ``writer`` takes the planned writes
     ``(action_id, action, target_oid)`` and gives its results ``(action_id, object_id, global_id, success, error)``:
     what failed or has no result isn't in the layer and is reported with its error. A row enters the ledger
     only if its write and all its attachments succeeded; the others are retried by the next run.
     """
-    plan = preview(captured, authoritative, ledger, config, checkpoint)
+    plan = preview(captured, authoritative, ledger, config, checkpoint, whole)
     updates, appends = checkpoint(plan.updates), checkpoint(plan.appends)
     touched = updates.select(F.col("auth_oid").alias("oid")).distinct()
     before = authoritative.select(F.col("attributes.OBJECTID").alias("oid"), "attributes", "geometry").join(touched, "oid", "left_semi")
     snapshot = checkpoint(before.withColumn("layer", F.lit(config.name)))
     flat = flatten(authoritative)
     start = flat.agg(F.max("OBJECTID")).first()[0] or 0
-    numbered = checkpoint(merge.allocate_ids(appends, "cap_oid", start))
+    numbered = merge.allocate_ids(appends, "cap_oid", start)
     shared = ("cap_oid", "captured_global_id", "candidates_json")
     done = updates.select(*shared, F.lit("updated").alias("action"), F.col("auth_oid").alias("target_oid"), "distance_m", "assignment_overridden_nearest")
     done = done.unionByName(numbered.select(*shared, F.lit("appended").alias("action"), F.col("new_oid").alias("target_oid"), F.lit(None).cast("double").alias("distance_m"), F.lit(False).alias("assignment_overridden_nearest")))
@@ -118,16 +131,24 @@ def apply(
         lost = lambda action: failed.where(F.col("action") == action).select("target_oid")
         updates = updates.join(lost("updated"), F.col("auth_oid") == F.col("target_oid"), "left_anti")
         numbered = numbered.join(lost("appended"), F.col("new_oid") == F.col("target_oid"), "left_anti")
-    layer = checkpoint(merge.append(merge.overlay(flat, updates), numbered.drop("candidates_json")))
-
-    after = None
+    touched = updates.select(F.col("auth_oid").alias("OBJECTID")).distinct()
+    merged = merge.overlay(flat.join(touched, "OBJECTID", "left_semi").select(*flat.columns), updates)
+    changed = checkpoint(merge.append(merged, numbered.drop("candidates_json")))
+    layer = merge.replaced(flat, changed)
+    if whole:
+        layer = checkpoint(layer)
+
+    after = copied = None
     enabled = config.copy_attachments and source_attachments is not None and target_attachments is not None
     if enabled:
         listed = source_attachments if unlisted is None else source_attachments.join(unlisted.select(F.col("cap_oid").alias("parent_oid")), "parent_oid", "left_anti")
         wanted = checkpoint(attachments.expected(done, listed))
         kept = attachments.already_there(wanted, target_attachments)
-        after, made = attachments.copy(attachments.plan_copies(wanted, target_attachments), source_attachments, target_attachments)
-        after, made = checkpoint(after), checkpoint(made)
+        copied, made = attachments.new_copies(attachments.plan_copies(wanted, target_attachments), source_attachments, target_attachments)
+        copied, made = checkpoint(copied), checkpoint(made)
+        after = target_attachments.unionByName(copied)
+        if whole:
+            after = checkpoint(after)
         status = attachments.statuses(done, wanted, kept, made, unlisted)
     else:
         status = attachments.statuses(done, None, None, None, enabled=False)
@@ -144,7 +165,11 @@ def apply(
         F.lit(config.name).alias("layer"), "captured_global_id", F.when(F.col("action") == "updated", "updated").otherwise("created").alias("action"),
         F.col("target_oid").alias("authoritative_oid"), "attachments_status", F.lit(run_ts).alias("run_time"),
     )
-    return Applied(snapshot, layer, report, checkpoint(ledgers.upsert(ledger, entries)), after)
+    # a row without a captured id can't be ledgered; once it is written it must not be taken again
+    finished = outcome.where(ok).select(F.col("cap_oid").alias("_done"))
+    open_ids = ledgers.unprocessed(flatten(captured), ledger, config.name).select(F.col("OBJECTID").alias("_open")).join(finished, F.col("_open") == F.col("_done"), "left_anti")
+    left = captured.join(open_ids, F.col("attributes.OBJECTID") == F.col("_open"), "left_semi")
+    return Applied(snapshot, layer, report, checkpoint(ledgers.upsert(ledger, entries)), after, changed, copied, checkpoint(left))
 
 
 @dataclass(frozen=True)
@@ -186,7 +211,7 @@ def roll_back(
         lost = deleted.where("success").select(F.col("oid").alias("parent_oid"))
         files, file_results = checkpoint(files.join(lost, "parent_oid", "left_anti").select(*files.columns)), checkpoint(file_results)
     after = layer.count()
-    new_ledger, cleared = ledgers.clear(ledger, report)
+    new_ledger, cleared = ledgers.clear(ledger, report, layer_name)
     r = undo.counters(restored, "restore").first()
     d = undo.counters(deleted, "delete_feature").first()
     targeted = gone_files.count()

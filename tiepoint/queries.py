@@ -100,22 +100,22 @@ def flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eligible_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap, _, ledger = _flat(spark, sf_dir)
-    return layers.with_points(ledgers.unprocessed(cap, ledger)).select("OBJECTID", "GlobalID")
+    return layers.with_points(ledgers.unprocessed(cap, ledger, CONFIG.name)).select("OBJECTID", "GlobalID")
 
 
 def skipped_no_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap, _, ledger = _flat(spark, sf_dir)
-    return layers.without_points(ledgers.unprocessed(cap, ledger)).select("OBJECTID", F.lit("skipped_no_geometry").alias("action"))
+    return layers.without_points(ledgers.unprocessed(cap, ledger, CONFIG.name)).select("OBJECTID", F.lit("skipped_no_geometry").alias("action"))
 
 
 def unclaimed_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, auth, ledger = _flat(spark, sf_dir)
-    return ledgers.unclaimed(layers.with_points(auth), ledger).select("OBJECTID")
+    return ledgers.unclaimed(layers.with_points(auth), ledger, CONFIG.name).select("OBJECTID")
 
 
 def claimed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, ledger = _flat(spark, sf_dir)
-    return ledgers.claimed(ledger)
+    return ledgers.claimed(ledger, CONFIG.name)
 
 
 def point_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,8 +449,13 @@ def parsed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_BATCHES = 3
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> str:
-    """The planted captured layer arriving as a stream of files, merged in ``STREAM_BATCHES`` batches; the state.
+def _row_of_four():
+    return F.floor((F.col("attributes.OBJECTID") - 1) / 4)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The planted captured layer arriving as a stream of files, merged in ``STREAM_BATCHES`` batches; the state and the
+    authoritative layer.
 
     A row of four stays in one file: split over batches, its points would compete otherwise than in the SQL.
     Attachments aren't copied here: in the SQL every row with a place is ledgered, also where one has no name.
@@ -458,35 +463,84 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
     cap, auth = fixtures.planted(spark, sf_dir)
     config = replace(CONFIG, copy_attachments=False)
     arriving = new_path(spark, "arriving")
-    cap.repartition(12, F.floor((F.col("attributes.OBJECTID") - 1) / 4)).write.parquet(arriving)
+    cap.repartition(12, _row_of_four()).write.parquet(arriving)
     there = spark.read.parquet(arriving)
     per = -(-len(there.inputFiles()) // STREAM_BATCHES)
     stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", per).parquet(arriving)
-    state = new_path(spark, "stream-state")
-    incremental.start(stream, keep(auth), config, state, keep).awaitTermination()
-    return state
+    state, auth = new_path(spark, "stream-state"), keep(auth)
+    incremental.start(stream, auth, config, state, keep).awaitTermination()
+    return state, auth
 
 
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = incremental.state_of(spark, _streamed(spark, sf_dir))
+    ledger = incremental.state_of(spark, _streamed(spark, sf_dir)[0])
     # ids of records that a batch created are any new numbers
     oid = F.when(F.col("action") == "updated", F.col("authoritative_oid")).alias("authoritative_oid")
     return ledger.select("captured_global_id", "action", oid)
 
 
 def stream_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layer = incremental.layer_of(spark, _streamed(spark, sf_dir))
+    layer = incremental.layer_of(spark, *_streamed(spark, sf_dir))
     new = F.col("GlobalID").isNull()
     return layer.select(F.when(~new, F.col("OBJECTID")).alias("oid"), "Notes", "Condition", "Segment", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 
+def _retried(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A stream in which rows can't be merged at first, in three batches of known content.
+
+    Row of four ``q`` arrives in batch ``q % 3``, where the writer fails for records whose id five divides; it takes
+    them when they are tried again. Points without a place arrive in batch 0, and those of even ``q`` once more in
+    batch 2, with a place.
+    """
+    cap, auth = fixtures.planted(spark, sf_dir)
+    q, i = _row_of_four(), (F.col("attributes.OBJECTID") - 1) % 4
+    lost = F.col("geometry").isNull()
+    x = F.lit(-122.0) + (q % 500) * F.lit(0.001) + i * F.lit(0.00005) + F.lit(0.00004)
+    found = cap.where(lost & (q % 2 == 0)).withColumn("geometry", F.struct(x.alias("x"), (F.lit(40.0) + F.floor(q / 500) * F.lit(0.001)).alias("y")))
+    arriving, files = new_path(spark, "arriving"), 4
+    for b in range(STREAM_BATCHES):
+        own = cap.where(F.when(lost, 0).otherwise(q % 3) == b)
+        if b == STREAM_BATCHES - 1:
+            own = own.unionByName(found)
+        own.repartition(files).write.mode("append").parquet(arriving)
+
+    def writer(batch: int):
+        def write(planned: DataFrame) -> DataFrame:
+            row = F.floor((F.col("target_oid") - 1) / 4)
+            bad = (F.col("action") == "updated") & (F.col("target_oid") % 5 == 0) & (row % 3 == batch) & (row % 17 != 0)
+            return planned.select("action_id", F.col("target_oid").alias("object_id"), F.lit("").alias("global_id"), (~bad).alias("success"), F.when(bad, "locked").alias("error"))
+
+        return write
+
+    stream = spark.readStream.schema(cap.schema).option("maxFilesPerTrigger", files).parquet(arriving)
+    state, auth = new_path(spark, "stream-state"), keep(auth)
+    incremental.start(stream, auth, replace(CONFIG, copy_attachments=False), state, keep, writer=writer).awaitTermination()
+    return state, auth
+
+
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which batch each captured row was ledgered, and since which batch it is open otherwise."""
+    state, _ = _retried(spark, sf_dir)
+    oid = F.when(F.col("action") == "updated", F.col("authoritative_oid")).alias("authoritative_oid")
+    done = incremental.state_of(spark, state).select("captured_global_id", "action", oid, "batch")
+    still = incremental.pending_of(spark, state).select(F.col("attributes.GlobalID").alias("captured_global_id"), F.lit("open").alias("action"), F.lit(None).cast("bigint").alias("authoritative_oid"), F.col("since").alias("batch"))
+    return done.unionByName(still)
+
+
+def stream_retried_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layer after those batches: what is still open isn't in it."""
+    layer = incremental.layer_of(spark, *_retried(spark, sf_dir))
+    new = F.col("GlobalID").isNull()
+    return layer.select(F.when(~new, F.col("OBJECTID")).alias("oid"), "Notes", "Condition", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pairs_within, pairs_within_typed, pairs_within_far, nearest, candidate_ranks, candidates_list, flattened, eligible_captured,
     skipped_no_geometry, unclaimed_auth, claimed_ids, point_counts, assign_star, assign_planted, assignment_totals, field_updates,
     append_rows, dry_run_report, run_summary, merged_layer, new_ids, snapshot_rows, outcome_report, ledger_after, second_run,
     attachment_plan, attachment_status, attachment_removal, attachments_restored, skipped_restores, audit_record, pages_read, ledger_round_trip,
     snapshot_round_trip, ledger_last_wins, write_outcomes, wkids, restored_layer, rollback_summary, ledger_cleared, verify_diff,
-    reproject_3857, reproject_utm, geodesic_long, threshold_text, status_ok, attachment_names, blank_tests, parsed_ids, stream_ledger, stream_layer,
+    reproject_3857, reproject_utm, geodesic_long, threshold_text, status_ok, attachment_names, blank_tests, parsed_ids, stream_ledger, stream_layer, stream_retries, stream_retried_layer,
 )}
 
 _CONTENTION = _pairs_sql(CONTENTION_SQL)
@@ -584,6 +638,19 @@ ORACLES["second_run"] = _PLANTED + "," + _SOURCE + """, late AS (SELECT t.*, a.o
     SELECT CASE WHEN lon IS NULL THEN 'skipped_no_geometry' WHEN auth_oid IS NULL THEN 'would_append' ELSE 'would_update' END AS action, count(*) AS planned FROM late GROUP BY 1"""
 # no earlier run
 ORACLES["stream_layer"] = ORACLES["merged_layer"].replace("SELECT * FROM cap WHERE (k // 4) % 11 <> 0", "SELECT * FROM cap")
+_TRIED = _PLANTED + """, tried AS (
+        SELECT c.*, k // 4 AS q, (k // 4) % 17 = 0 AS lost, a.oid AS auth_oid, a.notes AS auth_notes, CASE WHEN a.oid % 5 = 0 AND (k // 4) % 17 <> 0 THEN 1 ELSE 0 END AS fails
+        FROM cap c LEFT JOIN (SELECT k, oid, notes FROM auth WHERE NOT away) a USING (k)
+    ), judged AS (
+        SELECT *, CASE WHEN lost THEN q % 2 = 1 ELSE q % 3 = 2 AND fails = 1 END AS still_open, CASE WHEN lost AND q % 2 = 1 THEN 0 WHEN lost THEN 2 WHEN q % 3 = 2 THEN 2 ELSE q % 3 + fails END AS batch FROM tried
+    )"""
+ORACLES["stream_retries"] = _TRIED + """ SELECT gid AS captured_global_id, CASE WHEN still_open THEN 'open' WHEN auth_oid IS NULL THEN 'created' ELSE 'updated' END AS action,
+    CASE WHEN NOT still_open THEN auth_oid END AS authoritative_oid, CAST(batch AS INTEGER) AS batch FROM judged"""
+_HERE = """round(CAST(-122.0 AS DOUBLE) + (w.q % 500) * CAST(0.001 AS DOUBLE) + (w.k % 4) * CAST(0.00005 AS DOUBLE) + CAST(0.00004 AS DOUBLE), 7), round(CAST(40.0 AS DOUBLE) + (w.q // 500) * CAST(0.001 AS DOUBLE), 7)"""
+ORACLES["stream_retried_layer"] = _TRIED + f""", written AS (SELECT * FROM judged WHERE NOT still_open)
+    SELECT a.oid, a.notes AS "Notes", CAST(NULL AS VARCHAR) AS "Condition", round(a.lon, 7) AS lon, round(a.lat, 7) AS lat FROM auth a WHERE NOT EXISTS (SELECT 1 FROM written w WHERE w.auth_oid = a.oid)
+    UNION ALL SELECT w.auth_oid, CASE WHEN w.auth_notes IS NULL OR trim(w.auth_notes) = '' THEN w.notes ELSE w.auth_notes END, w.status, {_HERE} FROM written w WHERE w.auth_oid IS NOT NULL
+    UNION ALL SELECT NULL, w.notes, w.status, {_HERE} FROM written w WHERE w.auth_oid IS NULL"""
 ORACLES["reproject_utm"] = "WITH " + CONTENTION_SQL + f""", u AS (
     SELECT oid, lon, lat, radians(lon + 123) AS l, sqrt({geo.WGS84_E2!r}::DOUBLE) AS e, {geo.WGS84_F!r}::DOUBLE / (2 - {geo.WGS84_F!r}::DOUBLE) AS n FROM cap
 ), v AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiepoint.functions import geo, values
-from tiepoint.operators import assignment, attachments, candidates, ledger as ledgers, merge, verify as checks
-from tiepoint.plans import fixtures, runs
+from tiepoint.operators import assignment, attachments, candidates, ledger as ledgers, merge, rollback as undo, verify as checks
+from tiepoint.plans import fixtures, runs, stored
 from tiepoint.plans.fixtures import CONFIG, CONTENTION_SQL, PLANTED_SQL, THRESHOLD_M
-from tiepoint.sources import artifacts, layers
+from tiepoint.sources import artifacts, layers, run_store
 from tiepoint.sources.storage import materialize, new_path, table
 from tiepoint.streaming import incremental
 
@@ -387,6 +388,89 @@ def wkids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", values.wkid(F.col("geometry")).alias("wkid"))
 
 
+def ledger_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of two layers that share captured and record ids: what each has done and claimed, and what a cleared
+    run of one leaves of both."""
+    cap, auth, ledger = _flat(spark, sf_dir)
+    every = cap.join(auth.select(F.col("OBJECTID").alias("oid")), F.col("OBJECTID") == F.col("oid"), "left")
+    other = every.where(F.col("OBJECTID") % 2 == 0).select(
+        F.lit("other").alias("layer"), F.col("GlobalID").alias("captured_global_id"), F.lit("updated").alias("action"),
+        F.col("oid").alias("authoritative_oid"), F.lit("0/0").alias("attachments_status"), F.lit("2021-01-01T00:00:00").alias("run_time"),
+    )
+    both = keep(ledger.unionByName(other))
+    report = cap.where(F.col("OBJECTID") % 3 == 0).select(F.lit("updated").alias("action"), F.col("GlobalID").alias("captured_global_id"))
+    found = []
+    for layer in (CONFIG.name, "other"):
+        left, cleared = ledgers.clear(both, report, layer)
+        counts = (
+            ("unprocessed", ledgers.unprocessed(cap, both, layer)), ("claimed", ledgers.claimed(both, layer)), ("unclaimed", ledgers.unclaimed(auth, both, layer)),
+            ("cleared", cleared), ("left_planted", ledgers.of_layer(left, CONFIG.name)), ("left_other", ledgers.of_layer(left, "other")),
+        )
+        found += [rows.agg(F.lit(layer).alias("layer"), F.lit(what).alias("what"), F.count("*").alias("n")) for what, rows in counts]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def layer_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rollbacks the guard refuses: reports and snapshots named after the planted records' segments, none or the
+    wrong one, for the layer ``BUILDING``."""
+    _, auth, _ = _flat(spark, sf_dir)
+    named = keep(auth.select(F.col("OBJECTID").alias("oid"), F.col("Segment").alias("layer")))
+    empty = F.lit(None).cast("string")
+    one = lambda rows: rows.where("layer = 'BUILDING'")
+    cases = {
+        "same": (one(named), one(named), False), "other": (named.where("layer = 'MACHINERY'"), one(named), False), "several": (one(named), named, False),
+        "none": (named.withColumn("layer", empty), named.drop("layer"), False), "none_forced": (named.withColumn("layer", F.lit("")), named.drop("layer"), True),
+        "other_forced": (named.where("layer = 'MACHINERY'"), one(named), True), "report_only": (one(named), named.drop("layer"), False),
+    }
+    found = []
+    for case, (report, snapshot, force) in cases.items():
+        try:
+            undo.check_layer(report, snapshot, "BUILDING", force)
+            refused = False
+        except undo.LayerMismatch:
+            refused = True
+        found.append(report.agg(F.lit(case).alias("case"), F.lit(refused).alias("refused"), F.count("*").alias("n_report")))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+# ---- run store -----------------------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """A store with a merge of two thirds of the planted captured rows, one of all of them, what a third run left when
+    it broke off, and the rollback of the second, by its time alone."""
+    cap, auth = fixtures.planted(spark, sf_dir)
+    source, target = fixtures.planted_attachments(spark, sf_dir)
+    store = new_path(spark, "store")
+    some = cap.where(_row_of_four() % 3 != 1)
+    stored.apply_run(some, store, CONFIG, "2024-01-01", "customer", keep, keep(auth), keep(source), keep(target))
+    stored.apply_run(cap, store, CONFIG, "2024-01-02", "customer", keep, None, keep(source), target)
+    broken = run_store.part_of(spark, store, CONFIG.name, "2024-01-02", "snapshot")
+    run_store.write_tables(store, CONFIG.name, "2024-01-03", snapshot=broken, layer=broken.select("oid"))
+    stored.roll_back_run(spark, store, CONFIG.name, "2024-01-02", "2024-01-04", keep)
+    return store
+
+
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finished runs, and how many records and entries each has left."""
+    store = _stored(spark, sf_dir)
+    found = []
+    for r in run_store.runs_of(spark, store, CONFIG.name).collect():  # a row a run
+        state = [run_store.part_of(spark, store, r.layer, r.run_ts, p).agg(F.count("*").alias(f"n_{p}")) for p in ("layer", "ledger")]
+        said = run_store.part_of(spark, store, r.layer, r.run_ts, "snapshot") if r.kind == "merge" else spark.read.json(run_store.place(store, r.layer, r.run_ts, "audit") + "/results").where("step = 'restore' and success")
+        run = [F.lit(r[c]).cast("string").alias(c) for c in ("run_ts", "kind", "undoes", "previous")]
+        # one row each
+        found.append(said.agg(*run, F.count("*").alias("n_records")).join(F.broadcast(state[0])).join(F.broadcast(state[1])))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def stored_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layer as the rollback left it: the first run's."""
+    state = stored.state_of(spark, _stored(spark, sf_dir), CONFIG.name)
+    new = F.col("GlobalID").isNull()
+    return state.layer.select(F.when(~new, F.col("OBJECTID")).alias("oid"), "Notes", "Condition", "Segment", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
 # ---- functions -----------------------------------------------------------------------------------
 
 
@@ -540,6 +624,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     append_rows, dry_run_report, run_summary, merged_layer, new_ids, snapshot_rows, outcome_report, ledger_after, second_run,
     attachment_plan, attachment_status, attachment_removal, attachments_restored, skipped_restores, audit_record, pages_read, ledger_round_trip,
     snapshot_round_trip, ledger_last_wins, write_outcomes, wkids, restored_layer, rollback_summary, ledger_cleared, verify_diff,
+    ledger_layers, layer_guard, stored_runs, stored_layer,
     reproject_3857, reproject_utm, geodesic_long, threshold_text, status_ok, attachment_names, blank_tests, parsed_ids, stream_ledger, stream_layer, stream_retries, stream_retried_layer,
 )}
 
@@ -638,6 +723,33 @@ ORACLES["second_run"] = _PLANTED + "," + _SOURCE + """, late AS (SELECT t.*, a.o
     SELECT CASE WHEN lon IS NULL THEN 'skipped_no_geometry' WHEN auth_oid IS NULL THEN 'would_append' ELSE 'would_update' END AS action, count(*) AS planned FROM late GROUP BY 1"""
 # no earlier run
 ORACLES["stream_layer"] = ORACLES["merged_layer"].replace("SELECT * FROM cap WHERE (k // 4) % 11 <> 0", "SELECT * FROM cap")
+ORACLES["ledger_layers"] = _PLANTED + """, two AS (
+        SELECT 'planted' AS layer, c.oid AS cap_oid, a.oid FROM cap c LEFT JOIN auth a ON a.k = c.k AND NOT a.away WHERE (c.k // 4) % 11 = 0
+        UNION ALL SELECT 'other', c.oid, a.oid FROM cap c LEFT JOIN auth a ON a.oid = c.oid WHERE c.oid % 2 = 0
+    ), names AS (SELECT unnest(['planted', 'other']) AS layer)
+    SELECT layer, 'unprocessed' AS what, (SELECT count(*) FROM cap) - (SELECT count(*) FROM two t WHERE t.layer = n.layer) AS n FROM names n
+    UNION ALL SELECT layer, 'claimed', (SELECT count(t.oid) FROM two t WHERE t.layer = n.layer) FROM names n
+    UNION ALL SELECT layer, 'unclaimed', (SELECT count(*) FROM auth) - (SELECT count(t.oid) FROM two t WHERE t.layer = n.layer) FROM names n
+    UNION ALL SELECT layer, 'cleared', (SELECT count(*) FROM two t WHERE t.layer = n.layer AND cap_oid % 3 = 0) FROM names n
+    UNION ALL SELECT n.layer, 'left_' || m.layer, (SELECT count(*) FROM two t WHERE t.layer = m.layer AND (m.layer <> n.layer OR cap_oid % 3 <> 0)) FROM names n, names m"""
+ORACLES["layer_guard"] = _PLANTED + """, n AS (SELECT count(*) AS every, count(*) FILTER (segment = 'BUILDING') AS own, count(*) FILTER (segment = 'MACHINERY') AS wrong FROM auth)
+    SELECT 'same' AS case, false AS refused, own AS n_report FROM n UNION ALL SELECT 'other', true, wrong FROM n UNION ALL SELECT 'several', true, own FROM n UNION ALL SELECT 'none', true, every FROM n
+    UNION ALL SELECT 'none_forced', false, every FROM n UNION ALL SELECT 'other_forced', true, wrong FROM n UNION ALL SELECT 'report_only', false, own FROM n"""
+# no earlier run; rows of four without a place stay out
+_FIRST = _PLANTED.replace("SELECT * FROM cap WHERE (k // 4) % 11 <> 0", "SELECT * FROM cap") + "," + _SOURCE + """, judged AS (
+        SELECT w.*, (k // 4) % 3 <> 1 AS first, EXISTS (SELECT 1 FROM named n WHERE n.parent = w.oid AND n.name IS NULL) AS partly FROM won w
+    )"""
+# the second run takes again the first one's rows whose attachments are lacking; where it appended one, that record is matched now
+ORACLES["stored_runs"] = _FIRST + """, n AS (
+        SELECT (SELECT count(*) FROM auth) AS records, count(*) FILTER (auth_oid IS NOT NULL AND first) AS updated_1, count(*) FILTER (auth_oid IS NULL AND first) AS new_1, count(*) FILTER (first AND NOT partly) AS done_1,
+            count(*) FILTER (auth_oid IS NOT NULL AND (NOT first OR partly)) + count(*) FILTER (auth_oid IS NULL AND first AND partly) AS updated_2, count(*) FILTER (auth_oid IS NULL AND NOT first) AS new_2, count(*) FILTER (NOT first AND NOT partly) AS done_2 FROM judged
+    ) SELECT '2024-01-01' AS run_ts, 'merge' AS kind, NULL AS undoes, NULL AS previous, updated_1 AS n_records, records + new_1 AS n_layer, done_1 AS n_ledger FROM n
+    UNION ALL SELECT '2024-01-02', 'merge', NULL, '2024-01-01', updated_2, records + new_1 + new_2, done_1 + done_2 FROM n
+    UNION ALL SELECT '2024-01-04', 'rollback', '2024-01-02', '2024-01-02', updated_2, records + new_1, done_1 FROM n"""
+ORACLES["stored_layer"] = _FIRST + """ SELECT a.oid, CASE WHEN w.k IS NOT NULL AND (a.notes IS NULL OR trim(a.notes) = '') THEN w.notes ELSE a.notes END AS "Notes",
+        w.status AS "Condition", a.segment AS "Segment", round(coalesce(w.lon, a.lon), 7) AS lon, round(coalesce(w.lat, a.lat), 7) AS lat
+        FROM auth a LEFT JOIN judged w ON w.auth_oid = a.oid AND w.first
+        UNION ALL SELECT NULL, notes, status, NULL, round(lon, 7), round(lat, 7) FROM judged WHERE auth_oid IS NULL AND first"""
 _TRIED = _PLANTED + """, tried AS (
         SELECT c.*, k // 4 AS q, (k // 4) % 17 = 0 AS lost, a.oid AS auth_oid, a.notes AS auth_notes, CASE WHEN a.oid % 5 = 0 AND (k // 4) % 17 <> 0 THEN 1 ELSE 0 END AS fails
         FROM cap c LEFT JOIN (SELECT k, oid, notes FROM auth WHERE NOT away) a USING (k)

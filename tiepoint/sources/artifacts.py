@@ -1,8 +1,4 @@
-"""Ledger, snapshots, reports and the audit record of runs.
-
-Every artifact of a run goes to a directory ``run_ts=...`` of its layer; nothing that is being read is
-overwritten. ``LATEST`` files aren't needed: the newest run of a layer is a partition filter away.
-"""
+"""Forms of the ledger, snapshots, reports and the audit record; ``run_store`` keeps those of a run together."""
 
 from __future__ import annotations
 
@@ -89,12 +85,12 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, inferSchema=False)
 
 
-def write_audit(record: DataFrame, results: DataFrame, path: str) -> None:
+def write_audit(record: DataFrame, results: DataFrame, path: str, mode: str = "error") -> None:
     """A rollback's one-row record in ``path/record`` and its results in ``path/results``, as JSON with nulls."""
     counts = ("authoritative_feature_count_after", "expected_feature_count_after")
     checked = record.withColumn("feature_count_matches_expected", F.col(counts[0]) == F.col(counts[1]))
-    checked.write.json(f"{path}/record", ignoreNullFields=False)
-    results.write.json(f"{path}/results", ignoreNullFields=False)
+    checked.write.mode(mode).json(f"{path}/record", ignoreNullFields=False)
+    results.write.mode(mode).json(f"{path}/results", ignoreNullFields=False)
 
 
 def attributes_of(schema: StructType) -> list[str]:

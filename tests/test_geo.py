@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiepoint.functions import geo
-from tiepoint.operators import candidates
+from tiepoint.operators import candidates, verify
 
 
 @pytest.mark.parametrize(("a", "b", "metres", "within"), [
@@ -98,3 +98,25 @@ def test_equal_distances_go_to_the_lowest_id(spark):
     pairs = candidates.pairs_within(cap, auth, 5.0)
     assert candidates.nearest(pairs).first().auth_oid == 3
     assert [r.auth_oid for r in candidates.ranked(pairs).orderBy("rank").collect()] == [3, 9]
+
+
+def test_columns_measure_as_the_helper_does(spark):
+    rnd = np.random.default_rng(3)
+    rows = [tuple(map(float, (rnd.uniform(-180, 180), rnd.uniform(-89.9, 89.9), rnd.uniform(-180, 180), rnd.uniform(-89.9, 89.9)))) for _ in range(300)]
+    rows += [(0.0, 0.0, 0.0, 0.0), (179.99, 10.0, -179.99, 10.0), (0.0, 0.0, 179.9, 0.1), (0.0, 30.0, 179.95, -30.0), (10.0, 90.0, 50.0, -90.0), (5.0, 0.0, 6.0, 0.0), (1.0, 45.0, 1.0, 45.00001)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
+    columns = [F.col(c) for c in "abcd"]
+    got = [r[0] for r in df.select(geo.geodesic_columns(*columns)).collect()]
+    assert got[-1] is None
+    want = geo.vincenty(*(np.asarray(x) for x in zip(*rows, strict=True)))
+    assert np.allclose(got[:-1], want, rtol=1e-10, atol=1e-6)
+
+
+def test_no_python_in_verification(spark):
+    rows = spark.range(3).selectExpr("id as oid", "named_struct('OBJECTID', id, 'Notes', 'x') as attributes", "named_struct('x', id * 0.5, 'y', 1D) as geometry")
+    live = rows.select("attributes", F.struct((F.col("geometry.x") * 2).alias("x"), F.col("geometry.y").alias("y")).alias("geometry"))
+    found = verify.verify(rows, live)
+    assert "Python" not in found._jdf.queryExecution().toString()
+    got = {r.oid: r.geometry_mismatch_m for r in found.collect()}
+    want = geo.vincenty(*(np.asarray(x, dtype=float) for x in ([0, 0.5, 1], [1, 1, 1], [0, 1, 2], [1, 1, 1])))
+    assert [got[k] for k in range(3)] == pytest.approx(list(want), abs=1e-6)

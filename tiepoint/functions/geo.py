@@ -90,6 +90,69 @@ def _halved(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     return float(np.nanmin(one + two))
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _vincenty_columns(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 20) -> Column:
+    """``(length, settled)`` by Vincenty's formula in a set number of rounds; not settled near antipodes."""
+    f, a, b = WGS84_F, WGS84_A, WGS84_B
+    u = lambda lat: F.atan((1 - f) * F.tan(F.radians(lat)))
+    ell = F.radians(F.pmod(lon2 - lon1 + 180.0, F.lit(360.0)) - 180.0)
+
+    def measured(p: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            return _once(F.struct(F.sin(s["lam"]).alias("sl"), F.cos(s["lam"]).alias("cl")), lambda t: _once(F.struct(
+                F.hypot(p["c2"] * t["sl"], p["c1"] * p["s2"] - p["s1"] * p["c2"] * t["cl"]).alias("sin_s"),
+                (p["s1"] * p["s2"] + p["c1"] * p["c2"] * t["cl"]).alias("cos_s"), (p["c1"] * p["c2"] * t["sl"]).alias("top"),
+            ), lambda t: _once(F.struct(
+                t["sin_s"].alias("sin_s"), t["cos_s"].alias("cos_s"), F.atan2(t["sin_s"], t["cos_s"]).alias("sigma"), F.when(t["sin_s"] > 0, t["top"] / t["sin_s"]).otherwise(0.0).alias("sin_a"),
+            ), lambda t: moved(s, t))))
+
+        def moved(s: Column, t: Column) -> Column:
+            cos2_a = 1.0 - t["sin_a"] * t["sin_a"]
+            cos_2m = F.when(cos2_a > 1e-15, t["cos_s"] - 2.0 * p["s1"] * p["s2"] / cos2_a).otherwise(0.0)
+            return _once(F.struct(cos2_a.alias("cos2_a"), cos_2m.alias("cos_2m"), (f / 16 * cos2_a * (4 + f * (4 - 3 * cos2_a))).alias("c")), lambda m: _once(
+                p["ell"] + (1 - m["c"]) * f * t["sin_a"] * (t["sigma"] + m["c"] * t["sin_s"] * (m["cos_2m"] + m["c"] * t["cos_s"] * (2 * m["cos_2m"] * m["cos_2m"] - 1))),
+                lambda new: F.struct(
+                    new.alias("lam"), F.abs(new - s["lam"]).alias("moved"), t["sin_s"].alias("sin_s"), t["cos_s"].alias("cos_s"),
+                    t["sigma"].alias("sigma"), m["cos2_a"].alias("cos2_a"), m["cos_2m"].alias("cos_2m"),
+                ),
+            ))
+
+        def length(s: Column) -> Column:
+            u_sq = s["cos2_a"] * ((a * a - b * b) / (b * b))
+            big_a = 1 + u_sq / 16384 * (4096 + u_sq * (-768 + u_sq * (320 - 175 * u_sq)))
+            big_b = u_sq / 1024 * (256 + u_sq * (-128 + u_sq * (74 - 47 * u_sq)))
+            m, ss, cs = s["cos_2m"], s["sin_s"], s["cos_s"]
+            delta = lambda k: k * ss * (m + k / 4 * (cs * (2 * m * m - 1) - k / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))
+            settled = (s["moved"] <= 1e-13) & (F.abs(s["lam"]) <= math.pi)
+            return _once(big_b, lambda k: F.struct((b * big_a * (s["sigma"] - delta(k))).alias("length"), settled.alias("settled")))
+
+        zero = F.struct(p["ell"].alias("lam"), *(F.lit(1.0).alias(n) for n in ("moved", "sin_s", "cos_s", "sigma", "cos2_a", "cos_2m")))
+        # settled rows stay as they are
+        again = lambda s, k: F.when(s["moved"] <= 1e-13, s).otherwise(step(s, k))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), zero, again, length)
+
+    start = F.struct(F.sin(u(lat1)).alias("s1"), F.cos(u(lat1)).alias("c1"), F.sin(u(lat2)).alias("s2"), F.cos(u(lat2)).alias("c2"), ell.alias("ell"))
+    return _once(start, measured)
+
+
+def geodesic_columns(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Geodesic distance on WGS84 in metres, any range, by built-in functions alone; null where a coordinate is.
+
+    For few rows, or where Python workers are to be spared; ``geodesic_m`` is faster for many. Near antipodes it is
+    the shortest of the routes over the poles and over the equator a quarter turn away, as there.
+    """
+    whole = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
+    equator, north = F.lit(0.0), F.lit(90.0)
+    mids = [(lon1 + 90.0, equator), (lon1 - 90.0, equator), (lon1, north), (lon1, -north)]
+    legs = [_vincenty_columns(lon1, lat1, x, y)["length"] + _vincenty_columns(x, y, lon2, lat2)["length"] for x, y in mids]
+    around = F.array_min(F.filter(F.array(*legs), lambda d: ~F.isnan(d)))
+    return F.when(whole, _once(_vincenty_columns(lon1, lat1, lon2, lat2), lambda d: F.when(d["settled"], d["length"]).otherwise(around)))
+
+
 def _lengths(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
     return pd.Series(vincenty(*(x.to_numpy(dtype=float, na_value=np.nan) for x in (lon1, lat1, lon2, lat2))))
 

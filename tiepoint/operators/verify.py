@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from tiepoint.functions.geo import CHORD_LIMIT_M, geodesic_m, short_distance
+from tiepoint.functions.geo import CHORD_LIMIT_M, geodesic_columns, short_distance
 from tiepoint.functions.values import wkid, writable
 
 TOLERANCE_M = 0.5  # fixed value
@@ -48,7 +48,7 @@ def verify(snapshot: DataFrame, live: DataFrame, tolerance_m: float = TOLERANCE_
     apart = F.coalesce(wkid(F.col("sg")) != wkid(F.col("lg")), F.lit(False)) if has_wkid else F.lit(False)
     gap = F.when(apart | ~whole, None).otherwise(near)
     rows = both.select("oid", F.coalesce("found", F.lit(False)).alias("found"), odd.alias("odd"), gap.alias("gap"), apart.alias("apart"), whole.alias("whole"), (lon1.isNull() & lon2.isNull()).alias("neither"), lon1.alias("x1"), lat1.alias("y1"), lon2.alias("x2"), lat2.alias("y2"))
-    rows = rows.withColumn("gap", F.when(F.col("gap") <= CHORD_LIMIT_M, F.col("gap")).when(F.col("gap").isNotNull(), geodesic_m("x1", "y1", "x2", "y2")))
+    rows = rows.withColumn("gap", F.when(F.col("gap") <= CHORD_LIMIT_M, F.col("gap")).when(F.col("gap").isNotNull(), geodesic_columns(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))))
     placed = F.when(F.col("apart"), False).when(~F.col("whole"), F.col("neither")).otherwise(F.col("gap") <= tolerance_m)
     return rows.select(
         "oid",

@@ -338,6 +338,23 @@ def pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("OBJECTID", "GlobalID", "Notes", "Status", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 
+def page_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted captured layer as pages of 20 features that declare their count: every third is cut off, every fifth
+    declares one feature more. What each page is found to be, and the features of the good ones."""
+    cap, _ = fixtures.planted(spark, sf_dir)
+    page = F.floor(F.col("attributes.OBJECTID") / 20)
+    paged = cap.groupBy(page.alias("page")).agg(F.collect_list(F.struct("attributes", "geometry")).alias("features"))
+    declared = F.size("features") + F.when(F.col("page") % 5 == 1, 1).otherwise(0)
+    text = F.to_json(F.struct(declared.alias("count"), "features"), {"ignoreNullFields": "false"})
+    path = new_path(spark, "pages")
+    paged.select("page", F.when(F.col("page") % 3 == 1, F.substring(text, F.lit(1), F.char_length(text) - 7)).otherwise(text).alias("value")).write.partitionBy("page").text(path)
+    pages = layers.page_files(spark, path, cap.schema["attributes"].dataType)
+    number = F.regexp_extract("file", "page=(\\d+)", 1).cast("bigint").alias("page")
+    counts = layers.page_counts(pages).select(number, "declared", "found", "fault")
+    good = layers.flatten(layers.features_of(pages.where("fault is null"))).select(F.floor(F.col("OBJECTID") / 20).cast("bigint").alias("page"), "OBJECTID")
+    return counts.join(good.groupBy("page").agg(F.count("*").alias("n_features"), F.sum("OBJECTID").alias("ids")), "page", "left")
+
+
 def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, ledger = _flat(spark, sf_dir)
     path = new_path(spark, "ledger")
@@ -622,7 +639,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pairs_within, pairs_within_typed, pairs_within_far, nearest, candidate_ranks, candidates_list, flattened, eligible_captured,
     skipped_no_geometry, unclaimed_auth, claimed_ids, point_counts, assign_star, assign_planted, assignment_totals, field_updates,
     append_rows, dry_run_report, run_summary, merged_layer, new_ids, snapshot_rows, outcome_report, ledger_after, second_run,
-    attachment_plan, attachment_status, attachment_removal, attachments_restored, skipped_restores, audit_record, pages_read, ledger_round_trip,
+    attachment_plan, attachment_status, attachment_removal, attachments_restored, skipped_restores, audit_record, pages_read, page_faults, ledger_round_trip,
     snapshot_round_trip, ledger_last_wins, write_outcomes, wkids, restored_layer, rollback_summary, ledger_cleared, verify_diff,
     ledger_layers, layer_guard, stored_runs, stored_layer,
     reproject_3857, reproject_utm, geodesic_long, threshold_text, status_ok, attachment_names, blank_tests, parsed_ids, stream_ledger, stream_layer, stream_retries, stream_retried_layer,
@@ -721,8 +738,36 @@ ORACLES["assignment_totals"] = _PLANTED_PAIRS + " SELECT count(*) AS n, round(su
 ORACLES["second_run"] = _PLANTED + "," + _SOURCE + """, late AS (SELECT t.*, a.oid AS auth_oid FROM todo t LEFT JOIN auth a ON a.k = t.k AND NOT a.away
         WHERE t.lon IS NULL OR EXISTS (SELECT 1 FROM named n WHERE n.parent = t.oid AND n.name IS NULL))
     SELECT CASE WHEN lon IS NULL THEN 'skipped_no_geometry' WHEN auth_oid IS NULL THEN 'would_append' ELSE 'would_update' END AS action, count(*) AS planned FROM late GROUP BY 1"""
+
+
+def _ellipsoid_sql(source: str, carry: str, rounds: int = 8) -> str:
+    """Common tables that measure rows ``(x1, y1, x2, y2, carry)`` of ``source`` on the ellipsoid; the last is ``measured``."""
+    f, a, b = (f"{v!r}::DOUBLE" for v in (geo.WGS84_F, geo.WGS84_A, geo.WGS84_B))
+    u = lambda y: f"atan((1 - {f}) * tan(radians({y})))"
+    tables = [f"g0 AS (SELECT {carry}, sin({u('y1')}) AS s1, cos({u('y1')}) AS c1, sin({u('y2')}) AS s2, cos({u('y2')}) AS c2, radians(x2 - x1) AS ell, radians(x2 - x1) AS lam FROM {source})"]
+    shared = f"{carry}, s1, c1, s2, c2, ell"
+    for k in range(rounds):
+        tables.append(f"""g{k + 1} AS (
+            SELECT {shared}, sin_s, cos_s, sigma, cos2_a, m, ell + (1 - c) * {f} * sin_a * (sigma + c * sin_s * (m + c * cos_s * (2 * m * m - 1))) AS lam FROM (
+            SELECT *, {f} / 16 * cos2_a * (4 + {f} * (4 - 3 * cos2_a)) AS c, CASE WHEN cos2_a > 1e-15::DOUBLE THEN cos_s - 2 * s1 * s2 / cos2_a ELSE 0 END AS m FROM (
+            SELECT *, 1 - sin_a * sin_a AS cos2_a FROM (
+            SELECT *, atan2(sin_s, cos_s) AS sigma, CASE WHEN sin_s > 0 THEN c1 * c2 * sin(lam) / sin_s ELSE 0 END AS sin_a FROM (
+            SELECT {shared}, lam, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS sin_s, s1 * s2 + c1 * c2 * cos(lam) AS cos_s FROM g{k})))))""")
+    tables.append(f"""measured AS (
+        SELECT {carry}, {b} * (1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))) * (sigma - v * sin_s * (m + v / 4 * (cos_s * (2 * m * m - 1) - v / 6 * m * (4 * sin_s * sin_s - 3) * (4 * m * m - 3)))) AS d FROM (
+        SELECT *, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS v FROM (SELECT *, cos2_a * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS w FROM g{rounds})))""")
+    return ", ".join(tables)
+
+
+_FAR = "far AS (SELECT c.oid AS cap_oid, c.lon AS x1, c.lat AS y1, a.lon AS x2, a.lat AS y2 FROM cap c JOIN auth a ON abs(a.lat - c.lat) < 0.02 AND abs(a.lon - c.lon) < 0.02)"
+ORACLES["pairs_within_far"] = _PLANTED + ", " + _FAR + ", " + _ellipsoid_sql("far", "cap_oid") + " SELECT cap_oid, count(*) AS n, round(max(d), 2) AS farthest_m FROM measured WHERE d <= 1200 GROUP BY cap_oid"
+ORACLES["geodesic_long"] = "WITH " + CONTENTION_SQL + ", far AS (SELECT oid, lon AS x1, lat AS y1, 2.35::DOUBLE AS x2, 48.85::DOUBLE AS y2 FROM auth), " + _ellipsoid_sql("far", "oid") + ' SELECT oid AS "OBJECTID", round(d, 2) AS distance_m FROM measured'
 # no earlier run
 ORACLES["stream_layer"] = ORACLES["merged_layer"].replace("SELECT * FROM cap WHERE (k // 4) % 11 <> 0", "SELECT * FROM cap")
+ORACLES["page_faults"] = _PLANTED + """, paged AS (SELECT oid // 20 AS page, count(*) AS n, CAST(sum(oid) AS BIGINT) AS ids FROM cap GROUP BY 1)
+    SELECT page, CASE WHEN page % 3 <> 1 THEN n + (CASE WHEN page % 5 = 1 THEN 1 ELSE 0 END) END AS declared, CASE WHEN page % 3 <> 1 THEN n ELSE 0 END AS found,
+        CASE WHEN page % 3 = 1 THEN 'unreadable' WHEN page % 5 = 1 THEN 'incomplete' END AS fault,
+        CASE WHEN page % 3 <> 1 AND page % 5 <> 1 THEN n END AS n_features, CASE WHEN page % 3 <> 1 AND page % 5 <> 1 THEN ids END AS ids FROM paged"""
 ORACLES["ledger_layers"] = _PLANTED + """, two AS (
         SELECT 'planted' AS layer, c.oid AS cap_oid, a.oid FROM cap c LEFT JOIN auth a ON a.k = c.k AND NOT a.away WHERE (c.k // 4) % 11 = 0
         UNION ALL SELECT 'other', c.oid, a.oid FROM cap c LEFT JOIN auth a ON a.oid = c.oid WHERE c.oid % 2 = 0

@@ -12,16 +12,35 @@ POINT = "esriGeometryPoint"  # fixed value: how sources declare point layers
 GEOMETRY = "struct<x:double,y:double,spatialReference:struct<wkid:int,latestWkid:int>>"
 
 
-def read_pages(spark: SparkSession, path: str, attributes: str | StructType) -> DataFrame:
-    """A directory of JSON pages ``{"features": [{"attributes", "geometry"}]}`` as ``(attributes, geometry)``.
+def page_files(spark: SparkSession, path: str, attributes: str | StructType) -> DataFrame:
+    """A directory of JSON pages ``{"count", "features": [{"attributes", "geometry"}]}``: ``(file, declared, features, fault)``.
 
-    ``attributes`` is the schema of a feature's attributes. Geometries without x or y keep what they have.
+    ``attributes`` is the schema of a feature's attributes. ``fault`` says what is wrong with a page: it can't be
+    read, it has no features, or not as many as it declares (``count`` may be missing).
     """
     kind = attributes if isinstance(attributes, str) else attributes.simpleString()
     if not kind.startswith("struct<"):
         kind = f"struct<{kind}>"
-    pages = spark.read.schema(f"features array<struct<attributes:{kind},geometry:{GEOMETRY}>>").json(path, multiLine=True)
-    return pages.selectExpr("inline(features)")
+    schema = f"features array<struct<attributes:{kind},geometry:{GEOMETRY}>>, count bigint, unread string"
+    pages = spark.read.schema(schema).option("columnNameOfCorruptRecord", "unread").json(path, multiLine=True)
+    fault = F.when(F.col("unread").isNotNull(), "unreadable").when(F.col("features").isNull(), "no features").when(F.col("count") != F.size("features"), "incomplete")
+    return pages.select(F.col("_metadata.file_path").alias("file"), F.col("count").alias("declared"), "features", fault.alias("fault"))
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """``(file, declared, found, fault)`` of each page."""
+    return pages.select("file", "declared", F.coalesce(F.size("features"), F.lit(0)).cast("bigint").alias("found"), "fault")
+
+
+def features_of(pages: DataFrame) -> DataFrame:
+    """``(attributes, geometry)``; reading fails with the name of a page that has a fault, so that none is lost unseen."""
+    refused = F.raise_error(F.concat(F.lit("page "), "file", F.lit(" is "), "fault"))
+    return pages.select(F.inline(F.when(F.col("fault").isNotNull(), refused).otherwise(F.col("features"))))
+
+
+def read_pages(spark: SparkSession, path: str, attributes: str | StructType) -> DataFrame:
+    """The features of a directory of pages, none of which may have a fault."""
+    return features_of(page_files(spark, path, attributes))
 
 
 def check_count(features: DataFrame, declared: int) -> int:

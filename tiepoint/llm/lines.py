@@ -1,8 +1,9 @@
 """Line de-duplication with DataFrame functions only.
 
-Line hashes are range partitioned and sorted by hash, document and position. The ranges follow the document
-too, so a hash that very many documents hold is spread over as many ranges as its lines fill. In each range
-a stream over the sorted lines yields the first document of every hash; a hash that reached a range from
+Line hashes are range partitioned by hash, document and position. The ranges follow the document too, so a hash
+that very many documents hold is spread over as many ranges as its lines fill. Each range is stored as a bucket of
+its own (few share one), so that it is read back without another shuffle, and sorted once, by hash, document and
+position. A stream over the sorted lines yields the first document of every hash; a hash that reached a range from
 earlier ones takes its first document from there, as each range hands on the one hash that it ends with.
 What later documents repeat becomes a keep bitmap for each document: 64 lines a word, words in which every
 line stays left out. Texts aren't shuffled for that; they meet their bitmaps once, at the end.
@@ -21,11 +22,12 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, table
+from .storage import in_buckets, materialize, table
 
 SPACE = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]
 MIN_CHARS = 10
 LINES = 1_000_000  # of a range at most, about
+MAX_BUCKETS = 50_000  # beyond, several ranges share one
 
 
 def line_key(line: Column) -> Column:
@@ -52,7 +54,7 @@ def first_documents(lines: DataFrame, ranges: int | None = None) -> DataFrame:
     n = ranges or max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
     order = ["h1", "h2", "_ld_doc", "pos"]
     ranged = lines.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id())
-    ranged = materialize(ranged.sortWithinPartitions(*order), "line-ranges")
+    ranged = in_buckets(ranged, min(n, MAX_BUCKETS), "range", "line-ranges")
     # a row for each range: the hash it ends with and the first document that it has for it
     last = ranged.groupBy("range").agg(F.max(F.struct("h1", "h2")).alias("h"), F.min(F.struct("h1", "h2")).alias("g"))
     ends = ranged.join(F.broadcast(last.select("range", "h.h1", "h.h2")), ["range", "h1", "h2"]).groupBy("range", "h1", "h2").agg(F.min("_ld_doc").alias("end_doc"))

@@ -25,7 +25,7 @@ def shown(columns, found):
 def merged_once():
     """Queries over the same merge, preview or rollback share it here: all of them read stored tables."""
     with pytest.MonkeyPatch.context() as patch:
-        for name in ("_preview", "_applied", "_copying", "_rolled_back", "_stored"):
+        for name in ("_preview", "_applied", "_copying", "_rolled_back", "_stored", "_written"):
             patch.setattr(queries, name, functools.cache(getattr(queries, name)))
         yield
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tiepoint.config import LayerConfig
 from tiepoint.functions import values
 from tiepoint.operators import attachments, ledger as ledgers, merge, rollback as undo, verify as checks
-from tiepoint.plans import runs
-from tiepoint.sources import artifacts, layers
+from tiepoint.plans import runs, stored
+from tiepoint.sources import artifacts, layers, run_store
 from tiepoint.sources.storage import materialize, new_path
 
 
@@ -67,8 +67,8 @@ def test_threshold_text(spark):
 
 
 def test_attachment_name(spark):
-    got = spark.range(1).select(values.attachment_name(F.lit("{6cd37221-d36b-47cd-8078-5dc0cee3979f}"), F.lit(1), F.lit("x/a.jpg"))).first()[0]
-    assert got == "6cd37221d36b47cd80785dc0cee3979f_att1_a.jpg"
+    got = spark.range(1).select(values.attachment_name(F.lit("{0Fa1b2c3-4d5e-46f7-8899-aabbccddee00}"), F.lit(12), F.lit("field/photos/b.png"))).first()[0]
+    assert got == "0Fa1b2c34d5e46f78899aabbccddee00_att12_b.png"
 
 
 @pytest.mark.parametrize(("status", "ok"), [("2/2", True), ("0/0", True), ("2/3", False), (None, False), ("", False), ("x/y", False), ("1/1/1", False), ("2", False)])
@@ -239,3 +239,75 @@ def test_write_results(spark):
     results = spark.createDataFrame([(1, 0, "{g}", True, "ignored"), (2, 5, None, False, "denied")], "action_id long, object_id long, global_id string, success boolean, error string")
     got = {r.action_id: (r.success, r.result_oid, r.error) for r in merge.write_results(plan, results).collect()}
     assert got == {1: (True, "{g}", None), 2: (False, "5", "denied"), 3: (False, None, "no result")}
+
+
+def test_faulty_pages_are_named_and_refused(spark, tmp_path):
+    kind = "OBJECTID bigint, GlobalID string"
+    good = {"count": 1, "features": [{"attributes": {"OBJECTID": 1, "GlobalID": "{a}"}, "geometry": {"x": 1.0, "y": 2.0}}]}
+    texts = {"good": json.dumps(good), "cut": json.dumps(good)[:-9], "short": json.dumps(good | {"count": 2}), "error": json.dumps({"error": "busy"}), "plain": json.dumps({"features": []})}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    pages = layers.page_files(spark, str(tmp_path), kind)
+    found = {r.file.rsplit("/", 1)[1]: (r.declared, r.found, r.fault) for r in layers.page_counts(pages).collect()}
+    assert found == {"good.json": (1, 1, None), "cut.json": (None, 0, "unreadable"), "short.json": (2, 1, "incomplete"), "error.json": (None, 0, "no features"), "plain.json": (None, 0, None)}
+    for name, fault in (("cut", "unreadable"), ("short", "incomplete"), ("error", "no features")):
+        with pytest.raises(Exception, match=f"{name}.json is {fault}"):
+            layers.read_pages(spark, str(tmp_path / f"{name}.json"), kind).collect()
+    assert layers.read_pages(spark, str(tmp_path / "good.json"), kind).count() == 1
+
+
+def test_ids_of_many_ranges_are_whole(spark):
+    rows = spark.range(3_000).selectExpr("id * 7 % 3000 as key", "'x' as v")
+    for ranges in (None, 1, 9):
+        got = merge.allocate_ids(rows, "key", 100, ranges=ranges)
+        assert got.columns == ["key", "v", "new_oid"]
+        assert {r.key: r.new_oid for r in got.collect()} == {k: 101 + k for k in range(3_000)}
+    assert merge.allocate_ids(rows.where("false"), "key", 100).count() == 0
+
+
+def test_a_verification_that_fails_is_told_and_counts_nothing(spark, monkeypatch):
+    live = pages(spark, [feature(1, "{a1}", "new", 0.0, 0.0)])
+    snapshot = live.select(F.lit(1).cast("bigint").alias("oid"), "attributes", "geometry", F.lit("hydrants").alias("layer"))
+    report = spark.createDataFrame([("updated", "1", "{c1}", "[]", "hydrants")], "action string, authoritative_oid string, captured_global_id string, attachments_added string, layer string")
+    ledger = spark.createDataFrame([("hydrants", "{c1}", "updated", 1, "0/0", "t"), ("valves", "{c1}", "updated", 1, "0/0", "t")], artifacts.LEDGER)
+    monkeypatch.setattr(runs.checks, "verify", lambda *_: (_ for _ in ()).throw(OSError("no answer")))
+    back = runs.roll_back(live, report, snapshot, ledger, "hydrants", keep)
+    told = back.audit.first()
+    assert (told.verify_success_count, told.verify_mismatch_count, told.verify_error) == (None, None, "no answer")
+    assert back.verification is None and told.restore_success_count == 1 and told.ledger_cleared_count == 1
+    assert [r.layer for r in back.ledger.collect()] == ["valves"]
+
+
+def test_plans_refuse_before_they_do_anything(spark):
+    cap, auth = pages(spark, [feature(1, "{c1}", "x", 0.0, 0.0)]), pages(spark, [feature(10, "{a10}", " ", 0.0, 0.0)])
+    none, config = spark.createDataFrame([], artifacts.LEDGER), LayerConfig("hydrants", 5.0)
+    with pytest.raises(RuntimeError, match="declares 3"):
+        runs.preview(cap, auth, none, config, keep, declared=(1, 3))
+    lines = auth.select("attributes", F.struct(F.lit("p").alias("paths")).alias("geometry"))
+    with pytest.raises(ValueError, match="only point layers"):
+        runs.preview(cap, lines, none, config, keep)
+
+
+def test_run_store_shows_finished_runs_only(spark):
+    store = new_path(spark, "store")
+    cap, auth = pages(spark, [feature(1, "{c1}", "x", 0.00001, 0.0)]), pages(spark, [feature(10, "{a10}", " ", 0.0, 0.0)])
+    config = LayerConfig("hydrants", 5.0)
+    with pytest.raises(ValueError, match="give its authoritative layer"):
+        stored.apply_run(cap, store, config, "t1", "s", keep)
+    with pytest.raises(ValueError, match="can't name a directory"):
+        stored.apply_run(cap, store, config, "a/b", "s", keep, auth)
+    run_store.write_tables(store, "hydrants", "t1", layer=auth.select("attributes"))  # broken off
+    with pytest.raises(ValueError, match="no finished run 't1'"):
+        stored.roll_back_run(spark, store, "hydrants", "t1", "t2", keep)
+    stored.apply_run(cap, store, config, "t1", "s", keep, auth)
+    assert stored.state_of(spark, store, "hydrants").layer.first().Notes == "x"
+    with pytest.raises(ValueError, match="already"):
+        stored.apply_run(cap, store, config, "t1", "s", keep)
+    back = stored.roll_back_run(spark, store, "hydrants", "t1", "t2", keep)
+    assert back.audit.first().restore_success_count == 1
+    state = stored.state_of(spark, store, "hydrants")
+    assert (state.run_ts, state.layer.first().Notes, state.ledger.count()) == ("t2", " ", 0)
+    with pytest.raises(ValueError, match="undone already"):
+        stored.roll_back_run(spark, store, "hydrants", "t1", "t3", keep)
+    with pytest.raises(ValueError, match="is a rollback"):
+        stored.roll_back_run(spark, store, "hydrants", "t2", "t3", keep)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tiepoint.config import LayerConfig
 from tiepoint.operators import assignment, attachments, candidates, ledger as ledgers, merge, rollback as undo, verify as checks
 from tiepoint.sources.artifacts import OUTCOME_COLUMNS, PLAN_COLUMNS
-from tiepoint.sources.layers import check_layer_pair, flatten, with_points, without_points
+from tiepoint.sources.layers import check_count, check_layer_pair, flatten, point_counts, with_points, without_points
 
 Checkpoint = Callable[[DataFrame], DataFrame]
 Writer = Callable[[DataFrame], DataFrame]
@@ -27,6 +27,7 @@ class Preview:
     updates: DataFrame
     appends: DataFrame
     report: DataFrame
+    places: DataFrame  # one row: authoritative records with a usable point and without; these can't be matched
 
 
 def match(captured: DataFrame, authoritative: DataFrame, ledger: DataFrame, config: LayerConfig, checkpoint: Checkpoint) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -40,12 +41,16 @@ def match(captured: DataFrame, authoritative: DataFrame, ledger: DataFrame, conf
 
 def preview(
     captured: DataFrame, authoritative: DataFrame, ledger: DataFrame, config: LayerConfig, checkpoint: Checkpoint, whole: bool = True,
+    declared: tuple[int, int] | None = None,
 ) -> Preview:
     """What a merge would do: planned updates and appends, and the report in captured order, skipped rows first.
 
-    Without ``whole`` the authoritative layer is read where it lies, as often as it is needed, and not stored again.
+    Both layers must have their fields and points, and as many rows as their sources declare (``declared``: captured,
+    authoritative), or nothing is done. Without ``whole`` the authoritative layer is read where it lies, as often as it is needed, and not stored again.
     """
     check_layer_pair(captured, authoritative, config)
+    for layer, count in zip((captured, authoritative), declared or (), strict=False):
+        check_count(layer, count)
     flat_c, flat_a = checkpoint(flatten(captured)), flatten(authoritative)
     if whole:
         flat_a = checkpoint(flat_a)
@@ -75,7 +80,7 @@ def preview(
         F.lit("[]").alias("candidates_json"), F.lit(False).alias("assignment_overridden_nearest"), *fixed,
     )
     report = none.unionByName(rows).orderBy("section", "OBJECTID").select(*PLAN_COLUMNS)
-    return Preview(carried, updates, appends, report)
+    return Preview(carried, updates, appends, report, point_counts(flat_a))
 
 
 def summary(report: DataFrame) -> DataFrame:
@@ -93,13 +98,14 @@ class Applied:
     attachments: DataFrame | None
     changed: DataFrame  # of the flat layer, the records that were updated or appended
     copied: DataFrame | None  # of the attachments, those added
+    places: DataFrame  # as in the preview
     left: DataFrame  # captured rows to be taken again: no place, not written, or not all attachments copied
 
 
 def apply(
     captured: DataFrame, authoritative: DataFrame, ledger: DataFrame, config: LayerConfig, run_ts: str, checkpoint: Checkpoint,
     source_attachments: DataFrame | None = None, target_attachments: DataFrame | None = None, unlisted: DataFrame | None = None,
-    writer: Writer | None = None, whole: bool = True,
+    writer: Writer | None = None, whole: bool = True, declared: tuple[int, int] | None = None,
 ) -> Applied:
     """Merge: snapshot first, then the layer, then attachments, report and ledger.
 
@@ -111,7 +117,7 @@ def apply(
     what failed or has no result isn't in the layer and is reported with its error. A row enters the ledger
     only if its write and all its attachments succeeded; the others are retried by the next run.
     """
-    plan = preview(captured, authoritative, ledger, config, checkpoint, whole)
+    plan = preview(captured, authoritative, ledger, config, checkpoint, whole, declared)
     updates, appends = checkpoint(plan.updates), checkpoint(plan.appends)
     touched = updates.select(F.col("auth_oid").alias("oid")).distinct()
     before = authoritative.select(F.col("attributes.OBJECTID").alias("oid"), "attributes", "geometry").join(touched, "oid", "left_semi")
@@ -169,7 +175,7 @@ def apply(
     finished = outcome.where(ok).select(F.col("cap_oid").alias("_done"))
     open_ids = ledgers.unprocessed(flatten(captured), ledger, config.name).select(F.col("OBJECTID").alias("_open")).join(finished, F.col("_open") == F.col("_done"), "left_anti")
     left = captured.join(open_ids, F.col("attributes.OBJECTID") == F.col("_open"), "left_semi")
-    return Applied(snapshot, layer, report, checkpoint(ledgers.upsert(ledger, entries)), after, changed, copied, checkpoint(left))
+    return Applied(snapshot, layer, report, checkpoint(ledgers.upsert(ledger, entries)), after, changed, copied, plan.places, checkpoint(left))
 
 
 @dataclass(frozen=True)

@@ -219,6 +219,27 @@ def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.summary(runs.preview(cap, auth, done.ledger, CONFIG, keep).report).select("action", "planned")
 
 
+def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned and succeeded writes of a merge whose writer fails for every fifth record."""
+    return runs.summary(_written(spark, sf_dir).report)
+
+
+def report_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate lists that both reports carry, read back from their JSON."""
+    kind = "array<struct<OBJECTID:bigint,GlobalID:string,distance_m:double>>"
+    ids = F.array_join(F.transform(F.from_json("candidates_json", kind), lambda x: F.concat_ws("/", x["OBJECTID"], x["GlobalID"])), ",").alias("candidates")
+    reports = {"plan": _preview(spark, sf_dir).report, "outcome": _applied(spark, sf_dir).report}
+    return functools.reduce(DataFrame.unionByName, (r.select(F.lit(k).alias("report"), "captured_global_id", ids, "assignment_overridden_nearest") for k, r in reports.items()))
+
+
+def dropped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a preview says of authoritative records without a usable point, every seventh here; counts are reconciled first."""
+    cap, auth = fixtures.planted(spark, sf_dir)
+    lost = F.when(F.col("attributes.OBJECTID") % 7 != 0, F.col("geometry.y"))
+    auth = auth.withColumn("geometry", F.col("geometry").withField("y", lost))
+    return runs.preview(cap, auth, fixtures.planted_ledger(cap, auth), CONFIG, keep, declared=(cap.count(), auth.count())).places
+
+
 # ---- attachments ---------------------------------------------------------------------------------
 
 
@@ -381,7 +402,7 @@ def ledger_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledgers.upsert(orders.where(~late), orders.where(late)).select("captured_global_id", "authoritative_oid", "run_time")
 
 
-def write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written(spark: SparkSession, sf_dir: str) -> runs.Applied:
     """A merge whose writer fails for every fifth record and has no result for every seventh."""
     cap, auth = fixtures.planted(spark, sf_dir)
 
@@ -391,7 +412,12 @@ def write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         bad = bad & (F.col("action") == "updated")
         return rows.select("action_id", F.col("target_oid").alias("object_id"), F.lit("").alias("global_id"), (~bad).alias("success"), F.when(bad, "locked").alias("error"))
 
-    done = runs.apply(cap, auth, fixtures.planted_ledger(cap, auth), replace(CONFIG, copy_attachments=False), "2024-01-01T00:00:00", keep, writer=writer)
+    return runs.apply(cap, auth, fixtures.planted_ledger(cap, auth), replace(CONFIG, copy_attachments=False), "2024-01-01T00:00:00", keep, writer=writer)
+
+
+def write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each write, in the report and in the layer."""
+    done = _written(spark, sf_dir)
     written = done.layer.where("Condition is not null").select(F.col("OBJECTID").alias("authoritative_oid"), F.lit(True).alias("in_layer"))
     rows = done.report.join(written, "authoritative_oid", "left")
     oid = F.when(F.col("action") == "updated", F.col("authoritative_oid")).alias("authoritative_oid")
@@ -639,6 +665,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pairs_within, pairs_within_typed, pairs_within_far, nearest, candidate_ranks, candidates_list, flattened, eligible_captured,
     skipped_no_geometry, unclaimed_auth, claimed_ids, point_counts, assign_star, assign_planted, assignment_totals, field_updates,
     append_rows, dry_run_report, run_summary, merged_layer, new_ids, snapshot_rows, outcome_report, ledger_after, second_run,
+    outcome_summary, report_candidates, dropped_records,
     attachment_plan, attachment_status, attachment_removal, attachments_restored, skipped_restores, audit_record, pages_read, page_faults, ledger_round_trip,
     snapshot_round_trip, ledger_last_wins, write_outcomes, wkids, restored_layer, rollback_summary, ledger_cleared, verify_diff,
     ledger_layers, layer_guard, stored_runs, stored_layer,
@@ -764,6 +791,19 @@ ORACLES["pairs_within_far"] = _PLANTED + ", " + _FAR + ", " + _ellipsoid_sql("fa
 ORACLES["geodesic_long"] = "WITH " + CONTENTION_SQL + ", far AS (SELECT oid, lon AS x1, lat AS y1, 2.35::DOUBLE AS x2, 48.85::DOUBLE AS y2 FROM auth), " + _ellipsoid_sql("far", "oid") + ' SELECT oid AS "OBJECTID", round(d, 2) AS distance_m FROM measured'
 # no earlier run
 ORACLES["stream_layer"] = ORACLES["merged_layer"].replace("SELECT * FROM cap WHERE (k // 4) % 11 <> 0", "SELECT * FROM cap")
+ORACLES["outcome_summary"] = _PLANTED + """ SELECT CASE WHEN auth_oid IS NULL THEN 'appended' ELSE 'updated' END AS action, count(*) AS planned,
+    count(*) FILTER (auth_oid IS NULL OR (auth_oid % 7 <> 0 AND auth_oid % 5 <> 0)) AS succeeded FROM won GROUP BY 1"""
+# records of earlier runs are no candidates
+_FREE = _PLANTED_PAIRS + """, listed AS (
+        SELECT p.cap_oid, string_agg(auth_oid || '/' || a.gid, ',' ORDER BY round(p.d * 1e6), auth_oid) AS ids, arg_min(auth_oid, round(p.d * 1e6)) AS nearest
+        FROM pairs p JOIN auth a ON a.oid = p.auth_oid WHERE (a.k // 4) % 11 <> 0 GROUP BY p.cap_oid
+    ), told AS (
+        SELECT t.gid, t.lon, coalesce(l.ids, '') AS candidates, coalesce(w.auth_oid <> l.nearest, false) AS other
+        FROM todo t LEFT JOIN listed l ON l.cap_oid = t.oid LEFT JOIN won w ON w.oid = t.oid
+    )"""
+ORACLES["report_candidates"] = _FREE + """ SELECT 'plan' AS report, gid AS captured_global_id, candidates, other AS assignment_overridden_nearest FROM told
+    UNION ALL SELECT 'outcome', gid, candidates, other FROM told WHERE lon IS NOT NULL"""
+ORACLES["dropped_records"] = _PLANTED + " SELECT count(*) FILTER (oid % 7 <> 0) AS with_point, count(*) FILTER (oid % 7 = 0) AS without_point FROM auth"
 ORACLES["page_faults"] = _PLANTED + """, paged AS (SELECT oid // 20 AS page, count(*) AS n, CAST(sum(oid) AS BIGINT) AS ids FROM cap GROUP BY 1)
     SELECT page, CASE WHEN page % 3 <> 1 THEN n + (CASE WHEN page % 5 = 1 THEN 1 ELSE 0 END) END AS declared, CASE WHEN page % 3 <> 1 THEN n ELSE 0 END AS found,
         CASE WHEN page % 3 = 1 THEN 'unreadable' WHEN page % 5 = 1 THEN 'incomplete' END AS fault,

@@ -59,9 +59,11 @@ def check_fields(features: DataFrame, required: list[str] | tuple[str, ...], lay
 
 
 def check_layer_pair(captured: DataFrame, authoritative: DataFrame, config: LayerConfig) -> None:
+    """Fail unless both layers have the fields that a merge needs, and points."""
     ours, theirs = config.required_fields()
-    check_fields(captured, ours, f"captured layer of {config.name}")
-    check_fields(authoritative, theirs, f"authoritative layer of {config.name}")
+    for which, layer, required in (("captured", captured, ours), ("authoritative", authoritative, theirs)):
+        check_fields(layer, required, f"{which} layer of {config.name}")
+        check_points(layer)
 
 
 def check_points(features: DataFrame, geometry_type: str | None = None) -> None:

@@ -135,7 +135,7 @@ def test_ledger_files(spark, tmp_path):
     artifacts.write_ledger(ledgers.upsert(rows, newer), path)
     got = artifacts.read_ledger(spark, path, "x")
     assert sorted((r.captured_global_id, r.authoritative_oid) for r in got.collect()) == [("a", 6), ("b", None)]
-    assert [r.OBJECTID for r in ledgers.claimed(got, "hydrants").collect()] == [6]
+    assert [r.OBJECTID for r in ledgers.claimed(got, "x").collect()] == [6] and not ledgers.claimed(got, "y").count()
 
 
 def test_snapshots_with_and_without_a_layer(spark, tmp_path):

@@ -244,12 +244,13 @@ def test_write_results(spark):
 def test_faulty_pages_are_named_and_refused(spark, tmp_path):
     kind = "OBJECTID bigint, GlobalID string"
     good = {"count": 1, "features": [{"attributes": {"OBJECTID": 1, "GlobalID": "{a}"}, "geometry": {"x": 1.0, "y": 2.0}}]}
-    texts = {"good": json.dumps(good), "cut": json.dumps(good)[:-9], "short": json.dumps(good | {"count": 2}), "error": json.dumps({"error": "busy"}), "plain": json.dumps({"features": []})}
+    null = json.dumps(good | {"features": [{"attributes": {"OBJECTID": 1, "GlobalID": "{a}"}, "geometry": None}]})
+    texts = {"good": json.dumps(good), "cut": json.dumps(good)[:-9], "in_a_word": null[:-6], "short": json.dumps(good | {"count": 2}), "error": json.dumps({"error": "busy"}), "plain": json.dumps({"features": []})}
     for name, text in texts.items():
         (tmp_path / f"{name}.json").write_text(text)
     pages = layers.page_files(spark, str(tmp_path), kind)
     found = {r.file.rsplit("/", 1)[1]: (r.declared, r.found, r.fault) for r in layers.page_counts(pages).collect()}
-    assert found == {"good.json": (1, 1, None), "cut.json": (None, 0, "unreadable"), "short.json": (2, 1, "incomplete"), "error.json": (None, 0, "no features"), "plain.json": (None, 0, None)}
+    assert found == {"good.json": (1, 1, None), "cut.json": (None, 0, "unreadable"), "in_a_word.json": (None, 0, "unreadable"), "short.json": (2, 1, "incomplete"), "error.json": (None, 0, "no features"), "plain.json": (None, 0, None)}
     for name, fault in (("cut", "unreadable"), ("short", "incomplete"), ("error", "no features")):
         with pytest.raises(Exception, match=f"{name}.json is {fault}"):
             layers.read_pages(spark, str(tmp_path / f"{name}.json"), kind).collect()

@@ -24,7 +24,9 @@ def page_files(spark: SparkSession, path: str, attributes: str | StructType) ->
     schema = f"features array<struct<attributes:{kind},geometry:{GEOMETRY}>>, count bigint, unread string"
     pages = spark.read.schema(schema).option("columnNameOfCorruptRecord", "unread").json(path, multiLine=True)
     fault = F.when(F.col("unread").isNotNull(), "unreadable").when(F.col("features").isNull(), "no features").when(F.col("count") != F.size("features"), "incomplete")
-    return pages.select(F.col("_metadata.file_path").alias("file"), F.col("count").alias("declared"), "features", fault.alias("fault"))
+    # a page that breaks off may have been read in part
+    known = lambda name: F.when(F.col("unread").isNull(), F.col(name))
+    return pages.select(F.col("_metadata.file_path").alias("file"), known("count").alias("declared"), known("features").alias("features"), fault.alias("fault"))
 
 
 def page_counts(pages: DataFrame) -> DataFrame:

@@ -78,6 +78,49 @@ def test_pairs_equal_brute_force(spark, threshold):
         assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def sited(rnd, n, spread):
+    """``n`` rows, a third of them on one site of ``spread`` metres, the others one by one."""
+    step = spread / 111320
+    return [(k, "hv"[k % 2], rnd.uniform(0, step), rnd.uniform(0, step)) if k % 3 == 0 else (k, None, 0.001 * (k % 40) + 0.01, 0.001 * (k // 40) + 0.01) for k in range(1, n + 1)]
+
+
+@pytest.mark.parametrize(("threshold", "spread", "most"), [(10.67, 0.0, 20), (10.67, 30.0, 20), (10.67, 200.0, 5), (0.3, 3.0, 7), (2000.0, 4000.0, 10), (10.67, 30.0, 1)])
+def test_crowded_cells_are_divided_and_dealt(spark, threshold, spread, most):
+    rnd = np.random.default_rng(5)
+    cap, auth = sited(rnd, 150, spread), sited(rnd, 300, spread)
+    c, a = flat(spark, cap), flat(spark, auth)
+    x, y, v, w = (np.asarray(q) for q in ([r[k] for r in cap for _ in auth] if side == 0 else [r[k] for _ in cap for r in auth] for side, k in ((0, 2), (0, 3), (1, 2), (1, 3))))
+    near = geo.vincenty(x, y, v, w) <= threshold
+    want = {(i[0], j[0]) for (i, j), d in zip(((i, j) for i in cap for j in auth), near, strict=True) if d}
+    for typed in (False, True):
+        kinds = ("type", "type") if typed else ()
+        rows = [(r.cap_oid, r.auth_oid) for r in candidates.pairs_within(c, a, threshold, *kinds, crowded=most).collect()]
+        types = {r[0]: r[1] for r in cap}, {r[0]: r[1] for r in auth}
+        assert len(rows) == len(set(rows)) and set(rows) == {(i, j) for i, j in want if not typed or types[0][i] == types[1][j]}
+
+
+def test_no_key_of_the_distance_join_holds_a_site(spark):
+    rnd = np.random.default_rng(6)
+    rows = flat(spark, sited(rnd, 6000, 8.0))
+    most = 100
+    for side in candidates.keyed(rows, rows, 10.67, crowded=most)[:2]:
+        keys = [k for k in side.columns if k in {"cx", "cy", "cz", "fx", "fy", "fz", "auth_part", "cap_part"}]
+        assert len(keys) == 8
+        assert side.groupBy(*keys).count().agg(F.max("count")).first()[0] < 2 * most
+
+
+def test_crowded_records_without_captured_points_do_not_travel(spark):
+    a = flat(spark, [(k, None, 0.0, 0.0) for k in range(50)] + [(99, None, 1.0, 1.0)])
+    kept, _, _ = candidates.keyed(flat(spark, [(1, None, 1.0, 1.0)]), a, 10.67, crowded=10)
+    assert [r.auth_oid for r in kept.collect()] == [99]
+
+
+def test_layers_without_rows_make_no_pair(spark):
+    some, none = flat(spark, [(k, None, 0.0, 0.0) for k in range(9)]), flat(spark, [(1, None, None, None)]).limit(0)
+    for c, a in ((some, none), (none, some), (none, none)):
+        assert candidates.pairs_within(c, a, 10.67, crowded=3).count() == 0
+
+
 def test_wrong_type_closer(spark):
     cap = flat(spark, [(1, "hydrant", 0.0, 0.0)])
     auth = flat(spark, [(1, "hydrant", 1 / 111320, 0.0), (2, "valve", 0.5 / 111320, 0.0)])

@@ -4,7 +4,14 @@ A chord is never longer than the way over ground, so all pairs within ``t`` metr
 radius ``t`` in earth-centred coordinates, at poles and the date line too. The authoritative side has one
 cell of a cubic grid each; the captured side is repeated for the cells that its ball touches (3.4 on
 average); cells are joined by equality and pairs filtered by distance, which is carried along. No pair
-arises twice. Dense cells are left to adaptive execution, which splits them.
+arises twice.
+
+Crowded cells, those with more than ``CROWDED`` rows of either side, are divided into finer ones, for both
+sides alike. Finer cells that are crowded still, as where very many rows share one place, are dealt: each
+side's rows into parts by a hash, and every part of one side meets every part of the other. So no join key
+has much more than ``CROWDED`` rows a side, and crowded cells that only the authoritative side has don't
+travel at all. Which cells are crowded is counted first, with partial sums before the shuffle; layers without
+any are joined by cell alone.
 """
 
 from __future__ import annotations
@@ -15,27 +22,99 @@ from pyspark.sql import functions as F
 from tiepoint.functions.geo import CHORD_LIMIT_M, arc, ecef, geodesic_m
 
 _SLACK_M = 1e-6
+CROWDED = 4_096  # rows of either side in one cell
+LISTED = 100_000  # crowded cells that are divided, the fullest first: the list is broadcast. Any other has at most 1/100,000 of the rows
+FINER = 4  # finer cells along each edge; a power of two, so that both grids agree in floating point
+
+_CELL = ["cx", "cy", "cz"]
+_FINE = ["fx", "fy", "fz"]
 
 
 def _cell(coordinate: Column, side: float) -> Column:
     return F.floor(coordinate / side).cast("bigint")
 
 
+def _crowded(a: DataFrame, c: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The cells with more than ``most`` rows of a side, and both sides' rows in them."""
+    both = a.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("c")).unionByName(c.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("c")))
+    return both.groupBy(*keys).agg(F.sum("a").alias("auth_rows"), F.sum("c").alias("cap_rows")).where(F.greatest("auth_rows", "cap_rows") > most)
+
+
+def _listed(cells: DataFrame, keys: list[str]) -> DataFrame:
+    return F.broadcast(cells.orderBy(F.greatest("auth_rows", "cap_rows").desc(), *keys).limit(LISTED))
+
+
+def _divided(a: DataFrame, c: DataFrame, side: float, reach: float, most: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the keys to join them by: cell, finer cell, and the parts of either side.
+
+    ``a`` and ``c`` have their cells (``c`` once for each that its ball touches). Cells that aren't crowded
+    have zeros for the rest. One job finds out whether there are crowded cells at all.
+    """
+    fine = side / FINER
+    cells = _crowded(a, c, _CELL, most)
+    if cells.isEmpty():
+        return a, c, _CELL
+    cells = _listed(cells, _CELL).withColumn("divided", F.lit(True))
+    a, c = (x.join(cells, _CELL, "left").where("auth_rows is null or (auth_rows > 0 and cap_rows > 0)").drop("auth_rows", "cap_rows") for x in (a, c))
+    for k, f, v in zip(_CELL, _FINE, "xyz", strict=True):
+        first = F.col(k) * FINER
+        a = a.withColumn(f, F.when(F.col("divided"), _cell(F.col(v), fine) - first).otherwise(F.lit(0)))
+        low = F.greatest(_cell(F.col(v) - reach, fine) - first, F.lit(0))
+        high = F.least(_cell(F.col(v) + reach, fine) - first, F.lit(FINER - 1))
+        c = c.withColumn(f, F.explode(F.when(F.col("divided"), F.sequence(low, high)).otherwise(F.array(F.lit(0).cast("bigint")))))
+    parts = _listed(_crowded(a.where("divided"), c.where("divided"), _CELL + _FINE, most), _CELL + _FINE)
+    for size in ("auth_rows", "cap_rows"):
+        parts = parts.withColumn(size, F.ceil(F.col(size) / most))
+    a, c = (x.drop("divided").join(parts, _CELL + _FINE, "left").where("auth_rows is null or (auth_rows > 0 and cap_rows > 0)") for x in (a, c))
+
+    def own(size: str, *of: str) -> Column:
+        return F.coalesce(F.pmod(F.xxhash64(*of), F.col(size)), F.lit(0))
+
+    def every(size: str) -> Column:
+        return F.explode(F.coalesce(F.sequence(F.lit(0).cast("bigint"), F.col(size) - 1), F.array(F.lit(0).cast("bigint"))))
+
+    a = a.withColumn("auth_part", own("auth_rows", "auth_oid", "auth_gid")).withColumn("cap_part", every("cap_rows"))
+    c = c.withColumn("cap_part", own("cap_rows", "cap_oid")).withColumn("auth_part", every("auth_rows"))
+    return a, c, [*_CELL, *_FINE, "auth_part", "cap_part"]
+
+
 def pairs_within(
     captured: DataFrame,
     authoritative: DataFrame,
     threshold_m: float,
     type_captured: str | None = None,
     type_authoritative: str | None = None,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """``(cap_oid, auth_oid, auth_gid, distance_m)`` for all pairs up to ``threshold_m`` apart, inclusive.
 
     Both layers are flat (``OBJECTID, GlobalID, lon, lat``); rows without a point make no pair. With type
-    fields, types must be equal, null to null included.
+    fields, types must be equal, null to null included. ``crowded`` decides how dense cells are dealt with,
+    never what is found.
     """
+    a, c, keys = keyed(captured, authoritative, threshold_m, type_captured, type_authoritative, crowded)
+    c, a = c.alias("c"), a.alias("a")
+    same = [F.col(f"c.{k}") == F.col(f"a.{k}") for k in keys]
+    if type_captured is not None:
+        same.append(F.col("c.kind").eqNullSafe(F.col("a.kind")))
+    gap = F.sqrt(sum(((F.col(f"c.{v}") - F.col(f"a.{v}")) * (F.col(f"c.{v}") - F.col(f"a.{v}")) for v in "xyz"), F.lit(0.0)))
+    near = c.join(a, same).select("cap_oid", "auth_oid", "auth_gid", gap.alias("chord"), *(F.col(f"{s}.{v}").alias(f"{s}_{v}") for s in "ca" for v in ("lon", "lat")))
+    near = near.where(F.col("chord") <= threshold_m + _SLACK_M)
+    distance = arc(F.col("chord")) if threshold_m <= CHORD_LIMIT_M else geodesic_m("c_lon", "c_lat", "a_lon", "a_lat")
+    return near.select("cap_oid", "auth_oid", "auth_gid", distance.alias("distance_m")).where(F.col("distance_m") <= threshold_m)
+
+
+def keyed(
+    captured: DataFrame,
+    authoritative: DataFrame,
+    threshold_m: float,
+    type_captured: str | None = None,
+    type_authoritative: str | None = None,
+    crowded: int = CROWDED,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Authoritative and captured rows with the keys by which ``pairs_within`` joins them."""
     reach = threshold_m + _SLACK_M
     side = 4.0 * max(threshold_m, 1.0)
-    keys = ["cx", "cy", "cz"]
 
     def placed(layer: DataFrame, oid: str, kind: str | None, *more: str) -> DataFrame:
         point = F.col("lon").isNotNull() & F.col("lat").isNotNull()
@@ -47,19 +126,11 @@ def pairs_within(
         )
 
     a = placed(authoritative, "auth_oid", type_authoritative, F.col("GlobalID").alias("auth_gid"))
-    a = a.withColumns({k: _cell(F.col(v), side) for k, v in zip(keys, "xyz", strict=True)})
+    a = a.withColumns({k: _cell(F.col(v), side) for k, v in zip(_CELL, "xyz", strict=True)})
     c = placed(captured, "cap_oid", type_captured)
-    for k, v in zip(keys, "xyz", strict=True):
+    for k, v in zip(_CELL, "xyz", strict=True):
         c = c.withColumn(k, F.explode(F.sequence(_cell(F.col(v) - reach, side), _cell(F.col(v) + reach, side))))
-    c, a = c.alias("c"), a.alias("a")
-    same = [F.col(f"c.{k}") == F.col(f"a.{k}") for k in keys]
-    if type_captured is not None:
-        same.append(F.col("c.kind").eqNullSafe(F.col("a.kind")))
-    gap = F.sqrt(sum(((F.col(f"c.{v}") - F.col(f"a.{v}")) * (F.col(f"c.{v}") - F.col(f"a.{v}")) for v in "xyz"), F.lit(0.0)))
-    near = c.join(a, same).select("cap_oid", "auth_oid", "auth_gid", gap.alias("chord"), *(F.col(f"{s}.{v}").alias(f"{s}_{v}") for s in "ca" for v in ("lon", "lat")))
-    near = near.where(F.col("chord") <= reach)
-    distance = arc(F.col("chord")) if threshold_m <= CHORD_LIMIT_M else geodesic_m("c_lon", "c_lat", "a_lon", "a_lat")
-    return near.select("cap_oid", "auth_oid", "auth_gid", distance.alias("distance_m")).where(F.col("distance_m") <= threshold_m)
+    return _divided(a, c, side, reach, crowded)
 
 
 def micrometres(distance: Column) -> Column:

@@ -57,6 +57,31 @@ auth AS (
 )"""
 
 
+def crowded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The contention layers with a third of the records, and every 500th captured point, on one site of ten metres."""
+    cap, auth = contention(spark, sf_dir)
+
+    def moved(layer: DataFrame, on_site, across: int, up: int) -> DataFrame:
+        return layer.withColumns({
+            "lon": F.when(on_site, F.lit(-121.0) - (F.col("OBJECTID") % across) * F.lit(0.000001)).otherwise(F.col("lon")),
+            "lat": F.when(on_site, F.lit(39.0) + (F.col("OBJECTID") % up) * F.lit(0.000001)).otherwise(F.col("lat")),
+        })
+
+    return moved(cap, F.col("OBJECTID") % 500 == 0, 101, 103), moved(auth, F.col("OBJECTID") % 3 == 0, 89, 97)
+
+
+# a third of the records, and every 500th captured point, on one site
+CROWDED_SQL = CONTENTION_SQL.replace("auth AS", "spread AS").replace("cap AS", "taken AS").replace("auth a", "spread a") + """, auth AS (
+  SELECT oid, type, CASE WHEN oid % 3 = 0 THEN CAST(-121.0 AS DOUBLE) - (oid % 89) * CAST(0.000001 AS DOUBLE) ELSE lon END AS lon,
+         CASE WHEN oid % 3 = 0 THEN CAST(39.0 AS DOUBLE) + (oid % 97) * CAST(0.000001 AS DOUBLE) ELSE lat END AS lat
+  FROM spread
+), cap AS (
+  SELECT oid, type, CASE WHEN oid % 500 = 0 THEN CAST(-121.0 AS DOUBLE) - (oid % 101) * CAST(0.000001 AS DOUBLE) ELSE lon END AS lon,
+         CASE WHEN oid % 500 = 0 THEN CAST(39.0 AS DOUBLE) + (oid % 103) * CAST(0.000001 AS DOUBLE) ELSE lat END AS lat
+  FROM taken
+)"""
+
+
 def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Captured and authoritative features ``(attributes, geometry)``."""
     q, i = F.floor(F.col("k") / 4), F.col("k") % 4

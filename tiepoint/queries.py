@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tiepoint.functions import geo, values
 from tiepoint.operators import assignment, attachments, candidates, ledger as ledgers, merge, rollback as undo, verify as checks
 from tiepoint.plans import fixtures, runs, stored
-from tiepoint.plans.fixtures import CONFIG, CONTENTION_SQL, PLANTED_SQL, THRESHOLD_M
+from tiepoint.plans.fixtures import CONFIG, CONTENTION_SQL, CROWDED_SQL, PLANTED_SQL, THRESHOLD_M
 from tiepoint.sources import artifacts, layers, run_store
 from tiepoint.sources.storage import materialize, new_path, table
 from tiepoint.streaming import incremental
@@ -48,6 +48,13 @@ def pairs_within_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.groupBy("cap_oid").agg(F.count("*").alias("n"), F.round(F.max("distance_m"), 2).alias("farthest_m"))
 
 
+def pairs_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One site holds a third of the records; its cells are divided and dealt."""
+    cap, auth = fixtures.crowded(spark, sf_dir)
+    pairs = candidates.pairs_within(cap, auth, THRESHOLD_M, crowded=64)
+    return pairs.groupBy("cap_oid").agg(F.count("*").alias("n"), F.round(F.min("distance_m"), 3).alias("nearest_m"), F.round(F.max("distance_m"), 3).alias("farthest_m"))
+
+
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap, auth = fixtures.contention(spark, sf_dir)
     return candidates.nearest(candidates.pairs_within(cap, auth, THRESHOLD_M)).select("cap_oid", "auth_oid", _m())
@@ -662,7 +669,7 @@ def stream_retried_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    pairs_within, pairs_within_typed, pairs_within_far, nearest, candidate_ranks, candidates_list, flattened, eligible_captured,
+    pairs_within, pairs_within_typed, pairs_within_far, pairs_crowded, nearest, candidate_ranks, candidates_list, flattened, eligible_captured,
     skipped_no_geometry, unclaimed_auth, claimed_ids, point_counts, assign_star, assign_planted, assignment_totals, field_updates,
     append_rows, dry_run_report, run_summary, merged_layer, new_ids, snapshot_rows, outcome_report, ledger_after, second_run,
     outcome_summary, report_candidates, dropped_records,
@@ -692,6 +699,7 @@ ORACLES: dict[str, str] = {
     "pairs_within_typed": _CONTENTION + " SELECT cap_oid, auth_oid, round(d, 3) AS distance_m FROM pairs WHERE cap_type IS NOT DISTINCT FROM auth_type",
     "nearest": _CONTENTION + """ SELECT cap_oid, auth_oid, round(d, 3) AS distance_m FROM (
         SELECT *, row_number() OVER (PARTITION BY cap_oid ORDER BY round(d * 1e6), auth_oid) AS r FROM pairs) WHERE r = 1""",
+    "pairs_crowded": _pairs_sql(CROWDED_SQL) + " SELECT cap_oid, count(*) AS n, round(min(d), 3) AS nearest_m, round(max(d), 3) AS farthest_m FROM pairs GROUP BY cap_oid",
     "candidate_ranks": _PLANTED_PAIRS + """ SELECT cap_oid, CAST(row_number() OVER (PARTITION BY cap_oid ORDER BY round(d * 1e6), auth_oid) AS INTEGER) AS rank,
         auth_oid, round(d, 3) AS distance_m FROM pairs""",
     "candidates_list": _PLANTED_PAIRS + """ SELECT c.oid AS cap_oid, coalesce(l.ids, '') AS candidates FROM cap c LEFT JOIN (

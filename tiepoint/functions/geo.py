@@ -148,8 +148,13 @@ def geodesic_columns(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
     whole = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
     equator, north = F.lit(0.0), F.lit(90.0)
     mids = [(lon1 + 90.0, equator), (lon1 - 90.0, equator), (lon1, north), (lon1, -north)]
-    legs = [_vincenty_columns(lon1, lat1, x, y)["length"] + _vincenty_columns(x, y, lon2, lat2)["length"] for x, y in mids]
-    around = F.array_min(F.filter(F.array(*legs), lambda d: ~F.isnan(d)))
+    # one formula for all legs: an expression per leg would have to be planned nine times over
+    here, there = (lon1, lat1), (lon2, lat2)
+    legs = lambda one, two: F.struct(*(x.cast("double").alias(n) for x, n in zip((*one, *two), ("x1", "y1", "x2", "y2"), strict=True)))
+    routes = F.array(*(F.array(legs(here, m), legs(m, there)) for m in mids))
+    long = lambda e: _vincenty_columns(e["x1"], e["y1"], e["x2"], e["y2"])["length"]
+    lengths = F.transform(routes, lambda r: F.aggregate(F.transform(r, long), F.lit(0.0), lambda x, y: x + y))
+    around = F.array_min(F.filter(lengths, lambda d: ~F.isnan(d)))
     return F.when(whole, _once(_vincenty_columns(lon1, lat1, lon2, lat2), lambda d: F.when(d["settled"], d["length"]).otherwise(around)))
 
 

@@ -1,7 +1,10 @@
 import random
 import re
 
-from tiepoint.llm.substrings import drop_repeats
+import numpy as np
+import pyarrow as pa
+
+from tiepoint.llm.substrings import Batch, _places, drop_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,3 +74,23 @@ def test_repeats_inside_one_document_stay(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_rows_of_one_id_take_many_batches(spark):
+    rows = [(i if i is not None and i % 3 else None, t) for i, t in corpus(150, 3)] + [(7, t) for _, t in corpus(60, 4)]
+    want = brute(rows)
+    assert run(spark, rows, batch_bytes=4_000, bucket_bytes=3_000) == want
+    assert run(spark, [(None, t) for _, t in rows], batch_bytes=4_000) == brute([(None, t) for _, t in rows])
+
+
+def test_places_compare_as_documents_do():
+    # documents of three batches: 0 1 2 | 2 | 2 3 4; the second and third batch begin in the first
+    ids = [pa.array(x, pa.int64()) for x in ([0, 1, 2], [2], [2, 3, 4])]
+    found = []
+    for k, x in enumerate(ids):
+        own = Batch(pa.table({"doc_id": x, "text": pa.array(["a"] * len(x))}))
+        found += zip(x.to_pylist(), _places(k, own, np.arange(own.n_docs), 0).tolist(), strict=True)
+    for one, p in found:
+        for two, q in found:
+            assert (p == q) == (one == two) or {one, two} <= {0, 1} or {one, two} <= {3, 4}
+            assert not one < two or p <= q

@@ -6,13 +6,13 @@ document, so: every document's aligned blocks are the index, every rolling run o
 it, and only windows around hits are compared in full (128 bits of hash); hits that overlap extend to the
 maximal repeats, which go.
 
-How it is spread. Documents are stored once in batches, ranges of ``doc_id`` of about ``BATCH_BYTES``. A
-batch sends, for each bucket of the hash space, its sorted distinct block hashes (32 bits beside the
+How it is spread. Documents are stored once in batches, ranges of ``doc_id`` of about ``BATCH_BYTES``; rows of
+one id may take many batches, as where a third of all ids are null. A batch sends, for each bucket of the hash space, its sorted distinct block hashes (32 bits beside the
 bucket's number, as wrong hits cost time only) and gets back one bit for each: whether it anchors a
-repeat in another batch. Then it sends the full hashes of the windows at anchors and gets back one bit
-for each: whether an earlier batch has it. Repeats inside a batch are found there. A passage that very many
-documents hold is one entry a batch, so no key is hot. Batches follow ``doc_id``, so the earliest batch
-decides. Batches and buckets follow the size of the input.
+repeat in another batch. Then it sends the full hashes of the windows at anchors, each with the place of its first document here, and gets
+back one bit for each: whether a batch has it in an earlier document. Repeats inside a batch are found there. A
+passage that very many documents hold is one entry a batch, so no key is hot. Batches and buckets follow the size of
+the input; a batch sends at most one message for each of its hashes, so messages never outgrow the words.
 
 Cases: null or empty text has no words; a null ``doc_id`` is the smallest; rows that share a ``doc_id`` are
 one document (they don't remove each other's words); an empty table gives no rows; ``doc_id`` ties aside,
@@ -38,7 +38,9 @@ BUCKET_BYTES = 8 << 20  # of text for each bucket of the hash space
 MAX_BUCKETS = 50_000  # files of batches; beyond, a task handles several batches, one after another
 RESIDUE = 32  # bits of a block hash beside its bucket's number
 
-SENT = "bucket long, batch long, hashes binary, aligned binary"
+SENT = "bucket long, batch long, hashes binary, aligned binary"  # windows: in place of flags, the places of their documents
+NO_ID = -(1 << 63)  # stands for a null id, before all others
+LEAD, BLOCKS, WINDOWS = -1, 0, 1  # stages of what a batch gets back
 BITS = "batch long, stage int, bucket long, bits binary"
 KEPT = "doc_id long, n_words long, n_removed long, text string"
 
@@ -57,9 +59,10 @@ class Batch:
         self.hash = np.concatenate([p.hash for p in parts]) if parts else np.zeros(0, np.uint64)
         counts = np.concatenate([np.diff(p.first) for p in parts]) if parts else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        same = np.asarray(ids.fill_null(-(1 << 63)))
+        same = np.asarray(ids.fill_null(NO_ID))
         number = np.concatenate([[0], np.cumsum(same[1:] != same[:-1])]) if len(same) else np.zeros(0, np.int64)
         self.doc = np.repeat(number, counts).astype(np.int32)  # of each word
+        self.n_docs = int(number[-1]) + 1 if len(number) else 0
         self.at = (np.arange(len(self.hash)) - np.repeat(self.first[:-1], counts)).astype(np.int32)  # in its row
 
     def blocks(self, block: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +102,15 @@ class Batch:
         return s[order], a[order], b[order]
 
 
+def _places(batch: int, own: Batch, docs: np.ndarray, lead: int) -> np.ndarray:
+    """Numbers for documents of a batch that compare, between batches, as the documents do.
+
+    Only the first and the last document of a batch can have rows elsewhere; ``lead`` is the first batch that
+    has the first one, where it is the last."""
+    places = 2 * batch + (docs == own.n_docs - 1)
+    return np.where((docs == 0) & (lead < batch), 2 * lead + 1, places).astype(np.int64)
+
+
 def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     new = np.ones(len(a), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -125,13 +137,16 @@ def _send_blocks(batch: int, own: Batch, block: int, bits: int) -> pa.Table:
 
 
 def _answer(bucket: int, rows: pa.Table, stage: int, choose) -> pa.Table:
-    """``choose(hashes, batch of each, row of each, rows' aligned flags)`` gives a flag for each hash."""
+    """``choose(hashes, what came with each: aligned flags or places)`` gives a flag for each hash."""
     batches = rows.column("batch").to_pylist()
     dtype = np.dtype([("a", "<u8"), ("b", "<u8")]) if stage else np.dtype("<u4")
     arrays = [np.frombuffer(x.as_py(), dtype=dtype) for x in rows.column("hashes")]
     sizes = np.asarray([len(x) for x in arrays])
-    aligned = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n).astype(bool) for x, n in zip(rows.column("aligned"), sizes, strict=True)] if not stage else []
-    flags = choose(np.concatenate(arrays), np.repeat(np.asarray(batches), sizes), np.concatenate(aligned) if aligned else None)
+    if stage == WINDOWS:
+        beside = [np.frombuffer(x.as_py(), "<i8") for x in rows.column("aligned")]
+    else:
+        beside = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n).astype(bool) for x, n in zip(rows.column("aligned"), sizes, strict=True)]
+    flags = choose(np.concatenate(arrays), np.concatenate(beside))
     edges = np.concatenate([[0], np.cumsum(sizes)])
     kept = [k for k in range(len(batches)) if flags[edges[k] : edges[k + 1]].any()]
     return pa.table({
@@ -142,7 +157,7 @@ def _answer(bucket: int, rows: pa.Table, stage: int, choose) -> pa.Table:
     })
 
 
-def _anchors(keys: np.ndarray, batch: np.ndarray, aligned: np.ndarray) -> np.ndarray:
+def _anchors(keys: np.ndarray, aligned: np.ndarray) -> np.ndarray:
     """Hashes that some batch has aligned and that two batches have."""
     order = np.argsort(keys, kind="stable")
     new = np.ones(len(keys), dtype=bool)
@@ -155,12 +170,14 @@ def _anchors(keys: np.ndarray, batch: np.ndarray, aligned: np.ndarray) -> np.nda
     return out
 
 
-def _later(keys: np.ndarray, batch: np.ndarray, _: None) -> np.ndarray:
-    """Hashes that an earlier batch has too."""
-    order = np.lexsort((batch, keys["b"], keys["a"]))
+def _later(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes that another batch has in an earlier document."""
+    order = np.lexsort((places, keys["b"], keys["a"]))
     ranked = keys[order]
+    new = _runs(ranked["a"], ranked["b"])
+    earliest = places[order][np.flatnonzero(new)]
     out = np.empty(len(keys), dtype=bool)
-    out[order] = ~_runs(ranked["a"], ranked["b"])
+    out[order] = places[order] > earliest[np.cumsum(new) - 1]
     return out
 
 
@@ -176,21 +193,24 @@ def _flags(bits: pa.Table, stage: int, buckets: np.ndarray, edges: np.ndarray) -
 
 def _candidates(own: Batch, answers: pa.Table, window: int, block: int, bits: int):
     keys, _, inside, starts, number = own.blocks(block, bits)
-    anchors = inside | _flags(answers, 0, *_bucket_edges(keys, RESIDUE, bits))
+    anchors = inside | _flags(answers, BLOCKS, *_bucket_edges(keys, RESIDUE, bits))
     return own.anchored(window, block, starts, anchors[number])
 
 
 def _send_windows(batch: int, own: Batch, answers: pa.Table, window: int, block: int, bits: int) -> pa.Table:
-    _, a, b = _candidates(own, answers, window, block, bits)
-    new = _runs(a, b)
-    pairs = np.empty(int(new.sum()), dtype=[("a", "<u8"), ("b", "<u8")])
-    pairs["a"], pairs["b"] = a[new], b[new]
+    s, a, b = _candidates(own, answers, window, block, bits)
+    heads = np.flatnonzero(_runs(a, b))
+    pairs = np.empty(len(heads), dtype=[("a", "<u8"), ("b", "<u8")])
+    pairs["a"], pairs["b"] = a[heads], b[heads]
+    earliest = np.minimum.reduceat(own.doc[s], heads) if len(heads) else np.zeros(0, np.int32)
+    lead = min((x for stage, x in zip(*(answers.column(c).to_pylist() for c in ("stage", "bucket")), strict=True) if stage == LEAD), default=batch)
+    places = _places(batch, own, earliest, lead)
     buckets, edges = _bucket_edges(pairs["a"], 64 - bits, bits)
     return pa.table({
         "bucket": pa.array(buckets, pa.int64()),
         "batch": pa.array(np.full(len(buckets), batch), pa.int64()),
         "hashes": pa.array([pairs[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-        "aligned": pa.array([b""] * len(buckets), pa.binary()),
+        "aligned": pa.array([places[i:j].astype("<i8").tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
     })
 
 
@@ -200,7 +220,7 @@ def _cut(own: Batch, answers: pa.Table, window: int, block: int, bits: int) -> p
     gone = np.zeros(len(own.hash) + 1, dtype=np.int32)
     if len(s):
         heads, group = np.flatnonzero(new), np.cumsum(new) - 1
-        flags = _flags(answers, 1, *_bucket_edges(a[heads], 64 - bits, bits))
+        flags = _flags(answers, WINDOWS, *_bucket_edges(a[heads], 64 - bits, bits))
         earliest = np.minimum.reduceat(own.doc[s], heads)
         out = s[flags[group] | (own.doc[s] > earliest[group])]
         np.add.at(gone, out, 1)
@@ -244,6 +264,14 @@ def _bucketed(rows: DataFrame, n: int) -> DataFrame:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def _leads(stored: DataFrame) -> DataFrame:
+    """For batches whose first document begins in an earlier batch: that batch, in the form of an answer."""
+    ends = stored.groupBy("batch").agg(*(f(F.coalesce("doc_id", F.lit(NO_ID))).alias(n) for f, n in ((F.min, "one"), (F.max, "last"))))
+    begins = ends.select(F.explode(F.array("one", "last")).alias("one"), F.col("batch").alias("lead")).groupBy("one").agg(F.min("lead").alias("lead"))
+    led = ends.join(begins, "one").where("lead < batch")
+    return led.select("batch", F.lit(LEAD).cast("int").alias("stage"), F.col("lead").alias("bucket"), F.lit(b"").alias("bits"))
+
+
 def drop_repeats(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_removed, text)``: ``text`` holds the kept words, joined by one space."""
     spark = docs.sparkSession
@@ -252,26 +280,29 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // batch_bytes))
     bits = max(0, int(-(-size // bucket_bytes) - 1).bit_length())
-    batched = rows.repartitionByRange(batches, F.col("doc_id").asc_nulls_first()).withColumn("batch", F.spark_partition_id().cast("long"))
-    stored = _bucketed(batched, min(batches, MAX_BUCKETS)).groupBy("batch")
+    # the second key divides the rows of one id; numbers follow the files' splits, so a task run again gives the same
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    batched = numbered.repartitionByRange(batches, F.col("doc_id").asc_nulls_first(), "_row").drop("_row").withColumn("batch", F.spark_partition_id().cast("long"))
+    kept = _bucketed(batched, min(batches, MAX_BUCKETS))
+    stored = kept.groupBy("batch")
 
     def first(key: tuple, rows: pa.Table) -> pa.Table:
         return _send_blocks(key[0].as_py(), Batch(rows), block, bits)
 
     def answer_first(key: tuple, rows: pa.Table) -> pa.Table:
-        return _answer(key[0].as_py(), rows, 0, _anchors)
+        return _answer(key[0].as_py(), rows, BLOCKS, _anchors)
 
     def second(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         return _send_windows(key[0].as_py(), Batch(rows), answers, window, block, bits)
 
     def answer_second(key: tuple, rows: pa.Table) -> pa.Table:
-        return _answer(key[0].as_py(), rows, 1, _later)
+        return _answer(key[0].as_py(), rows, WINDOWS, _later)
 
     def last(rows: pa.Table, answers: pa.Table) -> pa.Table:
         return _cut(Batch(rows), answers, window, block, bits)
 
     sent = stored.applyInArrow(first, SENT)
-    anchors = materialize(sent.groupBy("bucket").applyInArrow(answer_first, BITS), "anchors")
+    anchors = materialize(sent.groupBy("bucket").applyInArrow(answer_first, BITS).unionByName(_leads(kept)), "anchors")
     sent = stored.cogroup(anchors.groupBy("batch")).applyInArrow(second, SENT)
     repeats = materialize(sent.groupBy("bucket").applyInArrow(answer_second, BITS), "repeats")
     return stored.cogroup(anchors.unionByName(repeats).groupBy("batch")).applyInArrow(last, KEPT)

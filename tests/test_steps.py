@@ -6,6 +6,7 @@ from tiepoint.config import LayerConfig
 from tiepoint.operators import assignment, attachments, candidates
 from tiepoint.plans import runs
 from tiepoint.sources.artifacts import LEDGER
+from tiepoint.sources.layers import flatten
 from tiepoint.sources.storage import materialize
 
 
@@ -69,3 +70,33 @@ def test_removal_tells_what_was_there(spark, store):
     left, results = attachments.remove(target, gone, store)
     assert sorted(r.name for r in left.collect()) == ["b", "c"]
     assert sorted((r.oid, r.attachment_id, r.success, r.error) for r in results.collect()) == [(1, 10, True, None), (2, 10, True, None), (3, 1, False, "attachment not found")]
+
+
+def test_candidates_are_stored_by_captured_row(spark):
+    """Pairs are stored once, as one row a captured row; a run's ledger entries come without the ledger before it."""
+    stored = []
+
+    def counted(df):
+        rows = keep(df)
+        stored.append(rows.count())
+        return rows
+
+    close = lambda prefix, shift: keep(spark.range(12).selectExpr(
+        f"named_struct('OBJECTID', id, 'GlobalID', concat('{{{prefix}', id, '}}'), 'Notes', 'n') as attributes",
+        f"named_struct('x', (id div 4) * 0.01D + (id % 4) * 4 / 111320D + {shift}, 'y', 0D) as geometry",
+    ))
+    auth, cap = close("a", 0.0), close("c", 3 / 111320)
+    pairs = candidates.pairs_within(flatten(cap), flatten(auth), 10.67).count()
+    before = spark.createDataFrame([("hydrants", "{c0}", "created", None, "0/0", "t0")], LEDGER)
+    done = runs.apply(cap, auth, before, LayerConfig("hydrants", 10.67), "t1", counted)
+    assert max(stored) < pairs
+    assert {r.captured_global_id for r in done.entries.collect()} == {f"{{c{i}}}" for i in range(1, 12)}
+    assert done.ledger.count() == 12
+
+
+def test_rivals_for_one_record(spark):
+    """Of captured rows with the same only candidate the nearest counts; ties go to the lowest id."""
+    rows = [(i, 1, 2.0 if i in (40, 41) else 5.0) for i in range(100)] + [(200, 1, 1.0), (200, 2, 9.0)]
+    pairs = spark.createDataFrame(rows, "cap_oid long, auth_oid long, distance_m double")
+    found = sorted((r.cap_oid, r.auth_oid) for r in assignment.assign(pairs, keep).collect())
+    assert found == [(40, 1), (200, 2)]

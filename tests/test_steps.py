@@ -3,11 +3,11 @@
 import pytest
 
 from tiepoint.config import LayerConfig
-from tiepoint.operators import assignment, attachments, candidates
+from tiepoint.operators import assignment, attachments, candidates, ledger as ledgers
 from tiepoint.plans import runs
 from tiepoint.sources.artifacts import LEDGER
 from tiepoint.sources.layers import flatten
-from tiepoint.sources.storage import materialize
+from tiepoint.sources.storage import empty, materialize
 
 
 def keep(df):
@@ -100,3 +100,21 @@ def test_rivals_for_one_record(spark):
     pairs = spark.createDataFrame(rows, "cap_oid long, auth_oid long, distance_m double")
     found = sorted((r.cap_oid, r.auth_oid) for r in assignment.assign(pairs, keep).collect())
     assert found == [(40, 1), (200, 2)]
+
+
+def test_statuses_come_from_one_join(spark):
+    done = keep(spark.createDataFrame([(1, 7, True), (2, 7, True), (3, 8, False), (4, 9, True)], "cap_oid long, target_oid long, success boolean"))
+    wanted = keep(spark.createDataFrame([(1, 7), (1, 7), (1, 7), (2, 7), (3, 8)], "cap_oid long, target_oid long"))
+    before = keep(spark.createDataFrame([(7,)], "target_oid long"))
+    made = keep(spark.createDataFrame([(7, 71), (7, 70)], "target_oid long, new_id long"))
+    told = attachments.with_statuses(done, wanted, before, made)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = {r.cap_oid: (r.attachments_status, r.attachments_added, r.attachments_ok) for r in told.collect()}
+    assert got == {1: ("3/3", [70, 71], True), 2: ("3/1", [70, 71], False), 3: (None, None, None), 4: ("0/0", [], True)}
+    same = {r.cap_oid: (r.attachments_status, r.attachments_added, r.attachments_ok) for r in attachments.statuses(done, wanted, before, made).collect()}
+    assert same == {k: v for k, v in got.items() if k != 3}
+
+
+def test_an_empty_ledger_needs_no_join(spark):
+    rows = ledgers.unprocessed(spark.createDataFrame([("{c1}", 1)], "GlobalID string, OBJECTID long"), empty(spark, LEDGER), "hydrants")
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 1

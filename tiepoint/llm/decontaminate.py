@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import materialize, table
-from .words import mix, windows, within, word_chunks
+from .words import PIECE, mix, windows, within, word_chunks
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -146,7 +146,7 @@ def _scan(docs: DataFrame, ids: list[int | None], texts: list[str]) -> DataFrame
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             rows = []
-            for part in word_chunks(batch.column("text"), lower=True):
+            for part in word_chunks(batch.column("text"), lower=True, most=PIECE):
                 shingles = windows(part.hash, SHINGLE)
                 at = items.hits(shingles)
                 at = at[within(part.first, SHINGLE)[at]]

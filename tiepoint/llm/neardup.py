@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from tiepoint.operators.components import connected_components
 
 from .storage import materialize, table
-from .words import mix, randoms, windows, word_chunks
+from .words import PIECE, mix, randoms, windows, word_chunks
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
@@ -67,7 +67,7 @@ SIGNED = "node long, doc_id long, n_shingles long, k1 long, k2 long, bands array
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE, lower: bool = True):
     """For pieces of a string column: first row, and the sorted distinct shingle hashes of each row."""
-    for part in word_chunks(texts, lower=lower):
+    for part in word_chunks(texts, lower=lower, most=PIECE):
         hashes = windows(part.hash, k)
         sets = []
         for a, b in zip(part.first[:-1], part.first[1:], strict=True):

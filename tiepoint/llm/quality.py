@@ -18,6 +18,7 @@ every score is the prior 0.5; an empty table gives no rows; further columns are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,10 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .storage import materialize, table
-from .words import CHUNK, word_chunks
+from .words import PIECE, word_chunks
 
 SAMPLE = 6_000  # rows of each sample
 THRESHOLD = 0.3
@@ -44,8 +44,12 @@ FEATURES = CLASSES * CLASSES + CLASSES + 5
 
 def features(texts: pa.Array) -> np.ndarray:
     """Square roots of the shares of each class and pair of classes; length, word and line length, repeated words."""
-    out = []
-    for part in word_chunks(texts, most=CHUNK):
+    return np.concatenate([np.zeros((0, FEATURES), np.float32), *_features(texts)])
+
+
+def _features(texts: pa.Array) -> Iterator[np.ndarray]:
+    """``features`` of the rows of one piece of text after another."""
+    for part in word_chunks(texts, most=PIECE):
         n = part.hi - part.lo
         x = np.zeros((n, FEATURES), dtype=np.float32)
         kinds = _CLASS[part.data]
@@ -68,8 +72,7 @@ def features(texts: pa.Array) -> np.ndarray:
             own = part.hash[part.first[k] : part.first[k + 1]]
             x[k, -1] = 1 - len(np.unique(own)) / len(own)
             x[k, -5] = (own[1:] == own[:-1]).sum() / len(own)
-        out.append(x)
-    return np.concatenate(out) if out else np.zeros((0, FEATURES), np.float32)
+        yield x
 
 
 def _sizes(texts: pa.Array, lo: int, hi: int) -> np.ndarray:
@@ -178,17 +181,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x[positive], x[~positive])
 
 
+def scores_of(texts: pa.Array, model: Model) -> pa.Array:
+    """The score of each text; features are held for one piece of text only."""
+    return pa.array(np.concatenate([np.zeros(0), *map(model.score, _features(texts))]), pa.float64())
+
+
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score``."""
-    kept = docs.select(*keep, F.col("text").alias("_q_text"))
+    """Columns ``keep`` of ``docs`` and ``score``. Only texts go to Python, and only scores come back."""
 
-    def run(batches):
-        for batch in batches:
-            scores = model.score(features(batch.column("_q_text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, "_q_score"])
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield scores_of(texts, model)
 
-    schema = StructType([f for f in kept.schema if f.name != "_q_text"] + [StructField("_q_score", DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return docs.select(*keep, scored("text").alias("_q_score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

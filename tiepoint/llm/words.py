@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20  # bytes of text handled at once; a longer text is handled alone
+PIECE = 1 << 18  # the same where two workers share an executor's memory with much else: some 60 bytes are held for each
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -45,7 +46,8 @@ _powers: dict[str, np.ndarray] = {}
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
-        base = np.full(max(n, CHUNK + 1), _BASE if which == "up" else _INVERSE, dtype=_U)
+        size = (1 << max(n - 2, 0).bit_length()) + 1  # at least ``n``; ``CHUNK + 1`` for a chunk
+        base = np.full(size, _BASE if which == "up" else _INVERSE, dtype=_U)
         base[0] = 1
         have = np.cumprod(base, dtype=_U)
         if n <= CHUNK + 1:
